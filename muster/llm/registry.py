@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from muster.llm.bpe import op1_byte_bpe
+from muster.llm.idcoder import op9_token_files
+from muster.llm.neardup import op4_near_dedup
+from muster.llm.packing import op5_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_packing": op5_packing,
+    "op9_token_files": op9_token_files,
 }
 ORACLES: dict[str, str] = {}
