@@ -167,6 +167,25 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
+def reject(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose texts score below `threshold`, with all their columns; no join, so keys do not matter."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        wanted, weight = model.tables()
+        for batch in parts:
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                texts = part.column(place).to_pylist()
+                text, bucket = buckets(texts, wanted)
+                z = model.bias + np.bincount(text, weight[bucket], minlength=len(texts))
+                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 THRESHOLD = 0.7
 
 
