@@ -3,28 +3,31 @@
 Both kinds of tokenizer that are supported cut a text at white space before they look up anything, so the ids of
 a text are those of its parts in turn:
 
-* ``byte``: byte-level BPE whose pre-tokens take at most one leading space (parts as in `bpe.pieces`);
-* ``word``: white space is dropped and letters are lower-cased, so parts are the white-space-delimited words.
-
-Texts for which that can't be shown (control separators that count as space in one library only, letters whose
-lower case depends on their neighbours, texts not in NFC) go to the tokenizer whole. Null and empty texts have no
-ids. Special tokens' strings are ordinary text.
+* ``byte``: byte-level BPE whose pre-tokens take at most one leading space. A part is a word with the white space
+  before it. Texts with white space outside ASCII, which may continue such a run, go to the tokenizer whole.
+* ``word``: white space is dropped and letters are lower-cased. A part is a word.
+
+Words are runs of bytes other than space and the control characters 9 to 13. The memo is an open-addressing table
+from a part's 64-bit hash to a stretch of a pool of ids, so that a whole batch is looked up by a few array
+operations; the library encodes the parts that the memo lacks, and the memo is cleared when it holds `memo_size`
+parts. Null and empty texts have no ids. Special tokens' strings are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import unicodedata
 
 import numpy as np
 
-from muster.llm.bpe import pieces
+from muster.llm.bpe import mix
+from muster.llm.shingles import _BASE, _INVERSE, _LOWER, _SPACE, powers
 
 #: Tokenizer files are read on the driver and sent to the executors; a larger one is refused.
 MAX_FILE_BYTES = 64 << 20
 
-_UNSURE = re.compile("[\x1c-\x1fİΣ]")
+_WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_TAIL = ".,;:!?|"
 
 
 def read_tokenizer(path: str) -> str:
@@ -35,8 +38,70 @@ def read_tokenizer(path: str) -> str:
     return text
 
 
+class Memo:
+    """From hashes to stretches of ids."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.used, self.filled = 0, 0
+        self.pool = np.empty(1 << 16, self.dtype)
+        self._table(1 << 16)
+
+    def _table(self, size: int) -> None:
+        self.mask = np.uint64(size - 1)
+        self.keys = np.zeros(size, np.uint64)  # 0: free
+        self.begin, self.count = np.zeros(size, np.uint32), np.zeros(size, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slots, -1 where a hash is not in the table."""
+        slot = (hashes & self.mask).astype(np.int64)
+        held = self.keys[slot]
+        slot[held == 0] = -1
+        open_ = np.flatnonzero((held != hashes) & (held != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & int(self.mask)
+            held = self.keys[slot[open_]]
+            slot[open_[held == 0]] = -1
+            open_ = open_[(held != hashes[open_]) & (held != 0)]
+        return slot
+
+    def add(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Distinct hashes that the table lacks."""
+        counts = np.array([len(x) for x in ids], np.uint32)
+        total = int(counts.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
+        self.pool[self.used : self.used + total] = np.concatenate(ids)
+        begin = (self.used + np.cumsum(counts) - counts).astype(np.uint32)
+        self.used += total
+        if 2 * (self.filled + len(hashes)) > len(self.keys):
+            old = self.keys != 0
+            rest = self.keys[old], self.begin[old], self.count[old]
+            size = len(self.keys)
+            while 2 * (self.filled + len(hashes)) > size:
+                size *= 2
+            self._table(size)
+            self._place(*rest)
+        self._place(hashes, begin, counts)
+        self.filled += len(hashes)
+
+    def _place(self, hashes: np.ndarray, begin: np.ndarray, count: np.ndarray) -> None:
+        slot = (hashes & self.mask).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            free = self.keys[slot[left]] == 0
+            _, first = np.unique(slot[left[free]], return_index=True)
+            now = left[free][first]
+            self.keys[slot[now]], self.begin[slot[now]], self.count[slot[now]] = hashes[now], begin[now], count[now]
+            left = left[self.keys[slot[left]] != hashes[left]]
+            slot[left] = (slot[left] + 1) & int(self.mask)
+
+
 class MemoTokenizer:
-    def __init__(self, source: str, kind: str, memo_size: int = 700_000):
+    def __init__(self, source: str, kind: str, memo_size: int = 2_000_000):
         if kind not in ("byte", "word"):
             raise ValueError(f"no such kind of tokenizer: {kind}")
         self.source, self.kind, self.memo_size = source, kind, memo_size
@@ -53,8 +118,7 @@ class MemoTokenizer:
         self.marks = np.zeros(self.vocab_size, bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.marks[k] = token.startswith("Ġ") if self.kind == "byte" else token.endswith("</w>")
-        self.memo: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.memo = Memo(self.dtype)
 
     def __getstate__(self) -> dict:
         return {k: self.__dict__[k] for k in ("source", "kind", "memo_size")}
@@ -63,61 +127,101 @@ class MemoTokenizer:
         self.__dict__ |= state
         self._ready()
 
-    def _ids(self, string: str) -> np.ndarray:
+    def _one(self, string: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([string], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _library(self, strings: list[str]) -> list[bytes]:
+    def _library(self, strings: list[str]) -> list[np.ndarray]:
         """Ids of each string. Words of letters alone are given to the tokenizer many at a time, and the ids cut
         where a word begins or ends: only a word's first id has the mark of the space before it, only its last the
         mark of a word's end."""
-        out: dict[str, bytes] = {}
+        out: dict[str, np.ndarray] = {}
         lead = " " if self.kind == "byte" else ""
         words = [x for x in strings if x[: len(lead)] == lead and x[len(lead) :].isalpha()]
         for k in range(0, len(words), 4096):
             some = words[k : k + 4096]
-            ids = self._ids(("" if lead else " ").join(some))
+            ids = self._one(("" if lead else " ").join(some))
             marked = np.flatnonzero(self.marks[ids])
-            ends = np.append(marked[1:], len(ids)) if lead else marked + 1
-            if len(ends) != len(some):
+            bounds = np.append(marked, len(ids)) if lead else np.concatenate(([0], marked + 1))
+            if len(bounds) != len(some) + 1 or bounds[0] or bounds[-1] != len(ids):
                 break  # not so for this vocabulary: one by one
-            data, ends = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
-            out.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            out.update(zip(some, np.split(ids, bounds[1:-1]), strict=True))
         if rest := [x for x in strings if x not in out]:
             for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                out[x] = np.array(e.ids, self.dtype).tobytes()
+                out[x] = np.array(e.ids, self.dtype)
         return [out[x] for x in strings]
 
-    def _cut(self, text: str) -> list[str] | None:
-        if self.kind == "byte":
-            return pieces(text)
-        if _UNSURE.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
-            return None
-        return text.lower().split()
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of parts that the memo lacks, which it takes up."""
-        # a letter and a punctuation mark after it are never in one pre-token
-        split = []
-        for p in new:
-            core = p.rstrip(".,;:!?|")
-            split.append((core, p[len(core) :]) if core and len(core) < len(p) and core[-1].isalpha() else (p, ""))
-        if len(self.cores) > self.memo_size // 2:
-            self.cores.clear()
-        if missing := list({x for s in split for x in s if x and x not in self.cores}):
-            self.cores.update(zip(missing, self._library(missing), strict=True))
-        of = self.cores.__getitem__
-        fresh = {p: of(core) + of(tail) if tail else of(core) for p, (core, tail) in zip(new, split, strict=True)}
-        if len(self.memo) + len(fresh) > self.memo_size:
+    def _hash(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if self.kind == "word":
+            data = _LOWER[data]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=sums[1:])
+        h = mix((sums[ends] - sums[starts]) * powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+        h[h == 0] = 1
+        return h
+
+    def _slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, split: bool = True) -> np.ndarray:
+        """The memo's slots of parts of `data`, after it has taken up those that it lacked."""
+        hashes = self._hash(data, starts, ends)
+        slots = self.memo.find(hashes)
+        if not (slots < 0).any():
+            return slots
+        _, first = np.unique(np.where(slots < 0, hashes, 0), return_index=True)
+        first = first[slots[first] < 0]
+        if self.memo.filled and self.memo.filled + len(first) > self.memo_size:
             self.memo.clear()
-        self.memo.update(fresh)
-        return fresh
+            return self._slots(data, starts, ends, split)
+        raw = data.tobytes()
+        new = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if split:
+            # a letter and a punctuation mark after it are never in one pre-token
+            cores = [x.rstrip(_TAIL) for x in new]
+            cut = [bool(c) and len(c) < len(x) and c[-1].lower().isalpha() for c, x in zip(cores, new, strict=True)]
+            halves = [h for c, x, s in zip(cores, new, cut, strict=True) for h in ((c, x[len(c) :]) if s else (x,))]
+            ids = iter(self._strings(halves))
+            made = [np.concatenate((next(ids), next(ids))) if s else next(ids) for s in cut]
+            first = first[np.array(cut)]  # the others are in the memo by now
+            made = [m for m, s in zip(made, cut, strict=True) if s]
+        else:
+            made = self._library(new)
+        if made:
+            lacking = self.memo.find(hashes[first]) < 0
+            self.memo.add(hashes[first[lacking]], [m for m, x in zip(made, lacking.tolist(), strict=True) if x] or [np.zeros(0, self.dtype)])
+        return self.memo.find(hashes)
+
+    def _strings(self, strings: list[str]) -> list[np.ndarray]:
+        raw = [s.encode("utf-8", "surrogatepass") for s in strings]
+        ends = np.cumsum([len(r) for r in raw])
+        slots = self._slots(np.frombuffer(b"".join(raw), np.uint8), ends - np.array([len(r) for r in raw]), ends, split=False)
+        begin = self.memo.begin[slots].astype(np.int64)
+        return [self.memo.pool[a:b] for a, b in zip(begin.tolist(), (begin + self.memo.count[slots]).tolist(), strict=True)]
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [self._cut(t) if t else [] for t in texts]
-        found = [list(map(self.memo.get, c)) if c is not None else self._library([t]) for c, t in zip(cut, texts, strict=True)]
-        open_ = [k for k, f in enumerate(found) if None in f]
-        if open_:
-            fresh = self._learn(list({p for k in open_ for p, v in zip(cut[k], found[k], strict=True) if v is None}))
-            for k in open_:
-                found[k] = [fresh[p] if v is None else v for p, v in zip(cut[k], found[k], strict=True)]
-        return [np.frombuffer(b"".join(f), self.dtype) for f in found]
+        whole = {k for k, t in enumerate(texts) if t and self.kind == "byte" and _WIDE_SPACE.search(t)}
+        raw = [(t or "").encode("utf-8", "surrogatepass") if k not in whole else b"" for k, t in enumerate(texts)]
+        data = np.frombuffer(b"\n".join(raw), np.uint8)
+        first = np.cumsum([0] + [len(r) + 1 for r in raw])[:-1]
+        last = first + np.array([len(r) for r in raw], np.int64)
+        edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        if self.kind == "byte":
+            # white space before a word belongs to it; what follows a text's last word is a part of its own
+            begin = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+            doc = np.searchsorted(first, starts, side="right") - 1
+            begin = np.maximum(begin, first[doc])
+            at = np.searchsorted(starts, last)
+            tail = np.maximum(first, np.where(at > 0, ends[np.maximum(at - 1, 0)] if len(ends) else 0, 0))
+            some = tail < last
+            order = np.argsort(np.concatenate((begin, tail[some])), kind="stable")
+            starts, ends = np.concatenate((begin, tail[some]))[order], np.concatenate((ends, last[some]))[order]
+        if not len(starts):
+            out = [np.zeros(0, self.dtype) for _ in texts]
+        else:
+            slots = self._slots(data, starts, ends)
+            counts, begin = self.memo.count[slots].astype(np.int64), self.memo.begin[slots].astype(np.int64)
+            upto = np.cumsum(counts)
+            ids = self.memo.pool[np.repeat(begin - upto + counts, counts) + np.arange(int(upto[-1]))]
+            bounds = np.concatenate(([0], upto))[np.searchsorted(starts, np.append(first, len(data) + 1))]
+            out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for k in whole:
+            out[k] = self._one(texts[k])
+        return out
