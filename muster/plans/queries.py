@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from muster.operators import views
+from muster.functions import times
+from muster.operators import calendar, capture, duplicates, reads, upsert, views
 from muster.plans.oracles import BOARD, DELTA, RATE, REVIEW, sql
 from muster.sources.domain import Domain
 
@@ -41,3 +42,273 @@ query("count_mismatch_report", sql("SELECT event_id, declared, recorded, recorde
 @query("import_verdict", sql("SELECT CASE WHEN coverage_pct IS NULL THEN 'unknown' WHEN coverage_pct > 100.5 THEN 'over' WHEN coverage_pct >= 99.5 THEN 'complete' WHEN coverage_pct >= 90 THEN 'partial' ELSE 'poor' END AS verdict, count(*) AS events FROM delta2 GROUP BY ALL", DELTA))
 def import_verdicts(d: Domain) -> DataFrame:
     return views.event_import_delta(d).groupBy(views.import_verdict(F.col("coverage_pct")).alias("verdict")).agg(F.count("*").alias("events"))
+
+
+# reads
+
+
+@query("latest_events", sql("SELECT event_id, event_date, event_type, total_battlers, imported, delta, coverage_pct FROM evs JOIN delta2 USING (event_id) WHERE evs.alliance_id = 3 ORDER BY event_dt DESC, event_id LIMIT 20", DELTA))
+def latest_events(d: Domain) -> DataFrame:
+    return reads.latest_events(d, 3)
+
+
+@query("event_page", sql("SELECT event_id, total_battlers, CAST(greatest(1, ceil((SELECT count(*) FROM evs) / 10.0)) AS BIGINT) AS pages FROM evs ORDER BY event_dt DESC, event_id LIMIT 10 OFFSET 20"))
+def event_page(d: Domain) -> DataFrame:
+    return reads.page(d.events.select("event_id", "event_dt", "total_battlers"), [F.desc("event_dt"), F.asc("event_id")], 2, 10).select("event_id", "total_battlers", "pages")
+
+
+@query("player_history_left_embed", sql("SELECT participation_id, points, power, e.event_type, strftime(e.event_dt, '%Y-%m-%d') AS event_date FROM parts p LEFT JOIN evs e ON e.event_id = p.event_id AND e.alliance_id = 4 WHERE p.player_id = 5"))
+def player_history(d: Domain) -> DataFrame:
+    return reads.player_history(d, 5, 4)
+
+
+@query("donation_history_inner_embed", sql("SELECT player_id, period_id, honor, n FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY period_start DESC, donation_id) AS n FROM dons WHERE alliance_id = 4) WHERE n <= 5"))
+def donation_history(d: Domain) -> DataFrame:
+    return reads.donation_history(d, 4, 5)
+
+
+@query("player_search", sql("SELECT CASE count(*) WHEN 0 THEN 'none' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status, count(*) AS matches, min(player_id) AS first_player FROM (SELECT * FROM roster WHERE alliance_id = 2 AND contains(lower(player_name), '#00000') ORDER BY player_name, player_id LIMIT 5)"))
+def player_search(d: Domain) -> DataFrame:
+    return reads.find_player(d, 2, " #00000 ")
+
+
+@query("event_count_since", sql("SELECT alliance_id, count(*) AS events FROM evs WHERE event_dt >= date_trunc('year', (SELECT max(event_dt) FROM evs)) GROUP BY alliance_id"))
+def event_count_since(d: Domain) -> DataFrame:
+    return reads.events_since(d, "ytd")
+
+
+@query("period_participation", sql("""SELECT r.player_id, n.events, coalesce(p.played, 0) AS played, floor((2000 * coalesce(p.played, 0) + n.events) / (2.0 * n.events)) / 10 AS rate_pct FROM roster r
+  LEFT JOIN (SELECT alliance_id, count(*) AS events FROM evs WHERE event_dt >= (SELECT date_trunc('year', max(event_dt)) FROM evs) GROUP BY alliance_id) n USING (alliance_id)
+  LEFT JOIN (SELECT player_id, count(DISTINCT event_id) AS played FROM parts WHERE event_dt >= (SELECT date_trunc('year', max(event_dt)) FROM evs) GROUP BY player_id) p USING (player_id)"""))
+def period_participation(d: Domain) -> DataFrame:
+    return reads.period_participation(d)
+
+
+@query("current_or_latest_period", sql("SELECT alliance_id, period_id FROM (SELECT DISTINCT alliance_id, period_id, period_start FROM dons) QUALIFY row_number() OVER (PARTITION BY alliance_id ORDER BY CASE WHEN period_start = DATE '1998-01-05' THEN 0 ELSE 1 END, period_start DESC) = 1"))
+def current_or_latest_period(d: Domain) -> DataFrame:
+    return reads.current_or_latest_period(d, "1998-01-05")
+
+
+@query("week_keys", "SELECT event_id, CAST(CAST(date_trunc('week', (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Paris') AS DATE) AS VARCHAR) AS paris_week, CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS utc_week FROM events")
+def week_keys(d: Domain) -> DataFrame:
+    at = F.col("ts").cast("timestamp")
+    return d.raw("events").select("event_id", times.paris_week_start(at).cast("string").alias("paris_week"), times.utc_week_start(at).cast("string").alias("utc_week"))
+
+
+@query("secured_leaderboard", sql("SELECT * FROM board WHERE alliance_id IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 4 = 1)", BOARD))
+def secured_leaderboard(d: Domain) -> DataFrame:
+    acl = d.alliances.select("alliance_id", F.concat(F.lit("u"), (F.col("alliance_id") % 4).cast("string")).alias("user_id"))
+    own = Domain(d.spark, d.sf_dir)
+    own.participations = reads.secured(d.participations, acl, "u1")
+    return views.event_leaderboard(own)
+
+
+@query("review_tallies", sql("SELECT kind, row_id, player_id, count(*) OVER (PARTITION BY player_id) AS of_player, count(*) OVER (PARTITION BY kind) AS of_kind FROM review", REVIEW))
+def review_tallies(d: Domain) -> DataFrame:
+    rows = views.needs_review(d)
+    of_player = rows.groupBy("player_id").agg(F.count("*").alias("of_player"))
+    of_kind = rows.groupBy("kind").agg(F.count("*").alias("of_kind"))
+    return rows.join(of_player, "player_id").join(F.broadcast(of_kind), "kind").select("kind", "row_id", "player_id", "of_player", "of_kind")  # two kinds
+
+
+@query("latest_power", sql("SELECT player_id, arg_max(power, event_id) FILTER (power IS NOT NULL) AS power FROM (SELECT player_id, power, strftime(event_dt, '%Y-%m-%d') || event_id AS event_id FROM parts) GROUP BY player_id"))
+def latest_power(d: Domain) -> DataFrame:
+    known = F.when(F.col("power").isNotNull(), F.concat(F.date_format("event_dt", "yyyy-MM-dd"), "event_id"))
+    return d.participations.groupBy("player_id").agg(F.max_by("power", known).alias("power"))
+
+
+# writes
+
+
+def _captures(d: Domain) -> DataFrame:
+    """Readings of participations: each of the event stream's rows reads a player's row of a day again."""
+    e = d.raw("events")
+    return e.select(F.col("event_id").alias("ordinal"), (F.col("user_id") % 50).alias("player_id"), F.col("event_type").alias("field"), F.round("value").cast("bigint").alias("value"), (F.col("event_id") % 7 / 10.0).alias("confidence"))
+
+
+CAPTURES = "caps AS (SELECT event_id AS ordinal, user_id % 50 AS player_id, event_type AS field, CAST(round(value) AS BIGINT) AS value, (event_id % 7)::DOUBLE / 10 AS confidence FROM events)"
+
+
+@query("dedup_by_confidence", f"WITH {CAPTURES} SELECT * FROM caps QUALIFY row_number() OVER (PARTITION BY player_id, field ORDER BY confidence DESC, ordinal) = 1")
+def dedup_by_confidence(d: Domain) -> DataFrame:
+    return upsert.highest_confidence(_captures(d), ["player_id", "field"])
+
+
+@query("upsert_latest_wins", f"WITH {CAPTURES} SELECT player_id, field, value FROM (SELECT player_id, field, value, CASE WHEN ordinal % 2 = 0 THEN -1 ELSE ordinal END AS version FROM caps WHERE ordinal % 2 = 1 OR ordinal % 3 = 0 QUALIFY ordinal % 2 = 1 OR row_number() OVER (PARTITION BY player_id, field, ordinal % 2 ORDER BY ordinal) = 1) QUALIFY row_number() OVER (PARTITION BY player_id, field ORDER BY version DESC) = 1")
+def upsert_latest_wins(d: Domain) -> DataFrame:
+    caps = _captures(d)
+    state = upsert.best_by(caps.where("ordinal % 2 = 0 and ordinal % 3 = 0"), ["player_id", "field"], [F.asc("ordinal")]).select("player_id", "field", "value")
+    return upsert.latest_wins(state, caps.where("ordinal % 2 = 1").select("player_id", "field", "value", "ordinal"), ["player_id", "field"])
+
+
+@query("upsert_first_wins", f"WITH {CAPTURES} SELECT player_id, field, value FROM caps WHERE ordinal % 2 = 1 OR ordinal % 6 = 0 QUALIFY row_number() OVER (PARTITION BY player_id, field ORDER BY ordinal % 2, ordinal) = 1")
+def upsert_first_wins(d: Domain) -> DataFrame:
+    caps = _captures(d)
+    state = upsert.best_by(caps.where("ordinal % 6 = 0"), ["player_id", "field"], [F.asc("ordinal")]).select("player_id", "field", "value")
+    return upsert.first_wins(state, caps.where("ordinal % 2 = 1").select("player_id", "field", "value", "ordinal"), ["player_id", "field"])
+
+
+@query("insert_outcomes", f"WITH {CAPTURES}, held AS (SELECT DISTINCT player_id, field, CASE WHEN player_id % 2 = 0 THEN 'processed' ELSE 'failed' END AS held FROM caps WHERE player_id < 20) SELECT outcome, count(*) AS rows FROM (SELECT CASE WHEN held = 'processed' OR row_number() OVER (PARTITION BY player_id, field ORDER BY ordinal) > 1 THEN 'duplicate' WHEN held IS NOT NULL THEN 'reset' ELSE 'inserted' END AS outcome FROM caps LEFT JOIN held USING (player_id, field)) GROUP BY outcome")
+def insert_outcomes(d: Domain) -> DataFrame:
+    caps = _captures(d)
+    state = caps.where("player_id < 20").select("player_id", "field", F.when(F.col("player_id") % 2 == 0, "processed").otherwise("failed").alias("status")).distinct()
+    return upsert.insert_outcomes(state, caps, ["player_id", "field"]).groupBy("outcome").agg(F.count("*").alias("rows"))
+
+
+@query("reversal_audit", sql("SELECT participation_id AS target_id, field, old_value, new_value, 'auto:ocr-reingest' AS corrected_by FROM (SELECT participation_id, 'points' AS field, points AS old_value, points + participation_id % 3 AS new_value FROM parts UNION ALL SELECT participation_id, 'power', power, CASE WHEN participation_id % 2 = 0 THEN power + participation_id % 3 END FROM parts) WHERE participation_id % 4 = 0 AND (old_value IS DISTINCT FROM new_value) AND NOT (field = 'power' AND (old_value IS NULL OR new_value IS NULL))"))
+def reversal_audit(d: Domain) -> DataFrame:
+    p = d.participations.withColumnRenamed("participation_id", "row_id")
+    again = p.select("event_id", "player_id", (F.col("points") + F.col("row_id") % 3).alias("points"), F.when(F.col("row_id") % 2 == 0, F.col("power") + F.col("row_id") % 3).alias("power"))
+    corrected = p.where("row_id % 4 = 0").select(F.col("row_id").alias("target_id"))
+    return upsert.reversal_audit(p, again, corrected, ["event_id", "player_id"], {"points": False, "power": True})
+
+
+@query("membership_sync", sql("SELECT alliance_id, player_id, strftime(min(event_dt), '%Y-%m-%d') AS joined_at FROM parts WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.player_id = parts.player_id AND m.left_at IS NULL) GROUP BY ALL"))
+def membership_sync(d: Domain) -> DataFrame:
+    out = upsert.membership_sync(d.memberships, d.participations.select("alliance_id", "player_id", F.col("event_dt").alias("at")))
+    return out.withColumn("joined_at", reads.day("joined_at"))
+
+
+@query("unknown_players_rejected", "SELECT DISTINCT user_id AS player_id FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_custkey % 3 > 0)")
+def unknown_players_rejected(d: Domain) -> DataFrame:
+    posts = d.raw("events").select(F.col("user_id").alias("player_id")).distinct()
+    return posts.join(d.roster.where("player_id % 3 > 0"), "player_id", "left_anti")
+
+
+@query("apply_correction", sql("SELECT participation_id AS row_id, CASE WHEN participation_id % 10 = 0 THEN points + 7 ELSE points END AS value FROM parts"))
+def apply_correction(d: Domain) -> DataFrame:
+    target = d.participations.select(F.col("participation_id").alias("row_id"), F.col("points").alias("value"))
+    fix = target.where("row_id % 10 = 0")
+    rows = fix.select(F.col("row_id").alias("target_id"), F.explode(F.array(F.struct(F.lit(1).alias("ordinal"), F.lit("points").alias("field"), (F.col("value") + 99).alias("new_value")), F.struct(F.lit(2).alias("ordinal"), F.lit("points").alias("field"), (F.col("value") + 7).alias("new_value")), F.struct(F.lit(3).alias("ordinal"), F.lit("name").alias("field"), F.lit(0).cast("bigint").alias("new_value")))).alias("c")).select("target_id", "c.*")
+    return upsert.apply_correction(target, rows)[0]
+
+
+@query("correction_audit", sql("SELECT participation_id AS target_id, field, CASE WHEN error IS NULL THEN points + add_old END AS old_value, new_value, error FROM parts, (VALUES ('points', 0, 99, NULL), ('points', 99, 7, NULL), ('name', NULL, NULL, '22023')) v(field, add_old, add_new, error), LATERAL (SELECT CASE WHEN error IS NULL THEN points + add_new ELSE 0 END AS new_value) WHERE participation_id % 10 = 0"))
+def correction_audit(d: Domain) -> DataFrame:
+    target = d.participations.select(F.col("participation_id").alias("row_id"), F.col("points").alias("value"))
+    fix = target.where("row_id % 10 = 0")
+    rows = fix.select(F.col("row_id").alias("target_id"), F.explode(F.array(F.struct(F.lit(1).alias("ordinal"), F.lit("points").alias("field"), (F.col("value") + 99).alias("new_value")), F.struct(F.lit(2).alias("ordinal"), F.lit("points").alias("field"), (F.col("value") + 7).alias("new_value")), F.struct(F.lit(3).alias("ordinal"), F.lit("name").alias("field"), F.lit(0).cast("bigint").alias("new_value")))).alias("c")).select("target_id", "c.*")
+    return upsert.apply_correction(target, rows)[1]
+
+
+def _merges(d: Domain) -> DataFrame:
+    return d.roster.where("player_id % 10 = 1").select("player_id", (F.col("player_id") - 1).alias("canonical_id"))
+
+
+MOVED = "moved AS (SELECT CASE WHEN player_id % 10 = 1 THEN player_id - 1 ELSE player_id END AS player_id, player_id % 10 <> 1 AS own, period_start, honor, donation_id FROM dons)"
+for policy, order in (("keep", "own DESC, donation_id"), ("latest", "donation_id DESC"), ("max", "honor DESC, donation_id")):
+    query(f"merge_players_{policy}", sql(f"SELECT player_id, CAST(period_start AS VARCHAR) AS period_start, honor FROM moved QUALIFY row_number() OVER (PARTITION BY player_id, period_start ORDER BY {order}) = 1", MOVED))(
+        lambda d, policy=policy: upsert.merge_players(d.donations.select("player_id", "period_start", "honor", "donation_id"), _merges(d), ["period_start"], policy, "honor", "donation_id").select("player_id", F.col("period_start").cast("string").alias("period_start"), "honor")
+    )
+
+
+# names
+
+
+@query("fuzzy_roster_match", sql("SELECT n.alliance_id, n.raw_name, CASE WHEN count(*) FILTER (r.player_name = n.raw_name) > 0 THEN 'exact' WHEN count(r.player_id) = 1 THEN 'fuzzy' WHEN count(r.player_id) > 1 THEN 'ambiguous' ELSE 'new' END AS resolution, CASE WHEN count(*) FILTER (r.player_name = n.raw_name) > 0 THEN min(r.player_id) FILTER (r.player_name = n.raw_name) WHEN count(r.player_id) = 1 THEN min(r.player_id) END AS player_id FROM (SELECT alliance_id, CASE WHEN player_id % 3 = 0 THEN player_name ELSE player_name || 'x' END AS raw_name FROM roster) n LEFT JOIN roster r ON r.alliance_id = n.alliance_id AND levenshtein(lower(replace(r.player_name, '#', '')), lower(replace(n.raw_name, '#', ''))) <= 1 GROUP BY n.alliance_id, n.raw_name"))
+def fuzzy_roster_match(d: Domain) -> DataFrame:
+    names = d.roster.select("alliance_id", F.when(F.col("player_id") % 3 == 0, F.col("player_name")).otherwise(F.concat("player_name", F.lit("x"))).alias("raw_name"))
+    aliases = d.spark.createDataFrame([], "alliance_id bigint, raw_name string, player_id bigint")
+    return duplicates.resolve(names, d.roster, aliases)
+
+
+PAIRS = """
+ctx AS (SELECT event_id AS context_id, player_id, lower(replace(player_name, '#', '')) AS key, points AS value FROM parts JOIN roster USING (player_id)),
+pairs AS (SELECT a.context_id, a.player_id AS a_id, b.player_id AS b_id, levenshtein(a.key, b.key) AS dist, length(a.key) AS len_a, length(b.key) AS len_b, a.key = b.key AS same_key, coalesce(a.value = b.value, false) AS same FROM ctx a JOIN ctx b ON a.context_id = b.context_id AND a.player_id < b.player_id),
+near AS (SELECT *, 1 - dist / CAST(greatest(len_a, len_b) AS DOUBLE) AS similarity, CASE WHEN same_key THEN 'exact-key' WHEN 1 - dist / CAST(greatest(len_a, len_b) AS DOUBLE) >= 0.8 THEN 'strong' WHEN 1 - dist / CAST(greatest(len_a, len_b) AS DOUBLE) >= 0.6 THEN 'weak' ELSE 'none' END AS proximity FROM pairs),
+tiers AS (SELECT context_id, a_id, b_id, proximity, similarity, CASE WHEN proximity IN ('exact-key', 'strong') THEN CASE WHEN same THEN 'high' ELSE 'medium' END WHEN proximity = 'weak' AND same THEN 'medium' WHEN proximity = 'none' AND same THEN 'low' END AS tier FROM near)
+"""
+
+
+def _pairs(d: Domain) -> DataFrame:
+    p = d.participations.join(d.roster.select("player_id", "player_name"), "player_id")
+    return duplicates.duplicate_pairs(p.select(F.col("event_id").alias("context_id"), "player_id", "player_name", F.col("points").alias("value")))
+
+
+@query("duplicate_candidates", sql("SELECT t.*, (SELECT count(DISTINCT context_id) - 1 FROM tiers u WHERE u.tier IS NOT NULL AND u.a_id = t.a_id AND u.b_id = t.b_id) AS also_in_contexts FROM tiers t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a_id, b_id ORDER BY CASE tier WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, similarity DESC, context_id) = 1", PAIRS))
+def duplicate_candidates(d: Domain) -> DataFrame:
+    return duplicates.rank_candidates(_pairs(d))
+
+
+# captures
+
+
+@query("swap_repair", sql("SELECT participation_id, CASE WHEN participation_id % 3 = 0 AND points > 0 THEN power ELSE power END AS power, points, power >= 1000000 AS valid FROM parts WHERE power IS NOT NULL AND points > 0 AND points < 10000 AND power >= 1000000"))
+def swap_repair(d: Domain) -> DataFrame:
+    rows = d.participations.where("power is not null and points > 0 and points < 10000 and power >= 1000000").select("participation_id", F.lit("x").alias("player_name"), F.lit("R1").alias("rank"), F.when(F.col("participation_id") % 3 == 0, F.col("points")).otherwise(F.col("power")).alias("power"), F.when(F.col("participation_id") % 3 == 0, F.col("power")).otherwise(F.col("points")).alias("points"))
+    return capture.swap_repair(rows).select("participation_id", "power", "points", capture.valid_event_row().alias("valid"))
+
+
+@query("truncation_reject", sql("SELECT event_id, imported < declared AS possible_truncation, imported < declared AND declared > 0 AND imported / greatest(declared, 1)::DOUBLE < 0.5 AS rejected FROM delta WHERE declared IS NOT NULL", DELTA))
+def truncation_reject(d: Domain) -> DataFrame:
+    rows = views.event_import_delta(d).where("declared is not null").select("event_id", F.col("imported").alias("n_rows"), F.col("declared").alias("expected_rows"))
+    return capture.truncation(rows).select("event_id", "possible_truncation", "rejected")
+
+
+@query("strict_increase", sql("SELECT donation_id, CASE WHEN leaderboard_position > coalesce(max(leaderboard_position) OVER (PARTITION BY period_id ORDER BY donation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN leaderboard_position END AS position FROM dons"))
+def strict_increase(d: Domain) -> DataFrame:
+    return d.donations.select("donation_id", capture.strictly_increasing(d.donations, "period_id", "donation_id", "leaderboard_position").alias("position"))
+
+
+@query("position_vote", f"WITH {CAPTURES}, c AS (SELECT player_id, field, value % 3 AS value, count(*) AS n FROM caps GROUP BY ALL) SELECT player_id, field, CAST(sum(n) AS BIGINT) AS total, CASE WHEN max(n) >= 0.7 * sum(n) THEN arg_max(value, n * 10 + value) END AS value FROM c GROUP BY player_id, field")
+def position_vote(d: Domain) -> DataFrame:
+    return capture.vote(_captures(d).withColumn("value", F.col("value") % 3), ["player_id", "field"], "value")
+
+
+@query("honor_repair")
+def honor_repair(d: Domain) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("period_id").orderBy(F.desc("honor"), "donation_id"))
+    rows = d.donations.select(F.col("period_id").alias("capture_id"), n.cast("bigint").alias("row_index"), F.when(F.col("donation_id") % 9 == 0, F.col("honor") * 10).otherwise(F.col("honor")).alias("honor"), F.array(F.col("honor")).alias("candidates"), F.lit(0.9).alias("confidence"))
+    return capture.repair_honor(rows)
+
+
+@query("position_repair")
+def position_repair(d: Domain) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("period_id").orderBy("donation_id")).cast("bigint")
+    return capture.repair_positions(d.donations.select(F.col("period_id").alias("capture_id"), n.alias("row_index"), F.when(F.col("donation_id") % 5 > 0, n + 3).alias("position")))
+
+
+@query("mask_runs", sql("SELECT player_id, min(k) AS first, max(k) AS last, count(*) AS length, min(k) = min(low) OR max(k) = max(high) AS clipped FROM (SELECT *, k - row_number() OVER (PARTITION BY player_id ORDER BY k) AS island FROM (SELECT player_id, row_number() OVER (PARTITION BY player_id ORDER BY event_id) AS k, value > 100 AS bit, 1 AS low, count(*) OVER (PARTITION BY player_id) AS high FROM (SELECT user_id AS player_id, event_id, value FROM events)) WHERE bit) GROUP BY player_id, island HAVING count(*) BETWEEN 2 AND 5"))
+def mask_runs(d: Domain) -> DataFrame:
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint")
+    return capture.runs(d.raw("events").select(F.col("user_id").alias("player_id"), k.alias("k"), (F.col("value") > 100).alias("bit")), "player_id", "k", "bit", 2, 5)
+
+
+@query("delta_histogram", "SELECT l_returnflag AS bucket, count(*) FILTER (l_quantity < 10) AS low, count(*) FILTER (l_quantity >= 10 AND l_quantity < 25) AS mid, count(*) FILTER (l_quantity >= 25 AND l_quantity < 40) AS high, count(*) FILTER (l_quantity >= 40) AS top, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem GROUP BY 1")
+def delta_histogram(d: Domain) -> DataFrame:
+    q = F.col("l_quantity")
+    bands = {"low": q < 10, "mid": (q >= 10) & (q < 25), "high": (q >= 25) & (q < 40), "top": q >= 40}
+    return d.raw("lineitem").groupBy(F.col("l_returnflag").alias("bucket")).agg(*(F.count_if(c).alias(k) for k, c in bands.items()), F.min(q).alias("least"), F.max(q).alias("most"))
+
+
+# calendar
+
+
+def _calendar(d: Domain) -> DataFrame:
+    o = d.raw("orders").where("o_orderkey % 7 = 0")
+    code = F.element_at(F.array(*map(F.lit, ("none", "daily", "weekly", "4weekly", "monthly", "yearly", "odd"))), (F.col("o_orderkey") / 7 % 7 + 1).cast("int"))
+    day_ = F.col("o_orderdate").cast("timestamp").cast("date")
+    return o.select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("title"), F.lit("20:00").alias("time"), F.lit("raid").alias("type"), F.lit("a,b;c\\d\ne").alias("description"), day_.alias("date"), code.alias("recurrence"), F.when(F.col("o_orderkey") % 2 == 0, F.date_add(day_, 400)).alias("recurrence_end"))
+
+
+CALENDAR = """
+cal AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS first, (['none', 'daily', 'weekly', '4weekly', 'monthly', 'yearly', 'odd'])[CAST(o_orderkey // 7 % 7 + 1 AS INTEGER)] AS code,
+        CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) + 400 END AS until FROM orders WHERE o_orderkey % 7 = 0),
+steps AS (SELECT event_id, first, until, k, CAST(CASE code WHEN 'daily' THEN first + INTERVAL 1 DAY * k WHEN 'weekly' THEN first + INTERVAL 7 DAY * k WHEN '4weekly' THEN first + INTERVAL 28 DAY * k WHEN 'monthly' THEN first + INTERVAL 1 MONTH * k WHEN 'yearly' THEN first + INTERVAL 12 MONTH * k ELSE first END AS DATE) AS occurs_on
+        FROM cal, range(0, 500) r(k) WHERE code IN ('daily', 'weekly', '4weekly', 'monthly', 'yearly') OR k = 0)
+"""
+
+
+@query("calendar_expand", f"WITH {CALENDAR} SELECT event_id, CAST(occurs_on AS VARCHAR) AS occurs_on FROM steps WHERE occurs_on BETWEEN DATE '1997-03-01' AND DATE '1997-06-30' AND (until IS NULL OR occurs_on <= until OR k = 0)")
+def calendar_expand(d: Domain) -> DataFrame:
+    return calendar.expand(_calendar(d), "1997-03-01", "1997-06-30").select("event_id", F.col("occurs_on").cast("string").alias("occurs_on"))
+
+
+@query("calendar_upcoming", f"WITH {CALENDAR} SELECT event_id, CAST(occurs_on AS VARCHAR) AS occurs_on FROM steps WHERE occurs_on BETWEEN DATE '1997-05-01' AND DATE '1998-05-01' AND (until IS NULL OR occurs_on <= until OR k = 0) ORDER BY occurs_on, event_id LIMIT 30")
+def calendar_upcoming(d: Domain) -> DataFrame:
+    return calendar.upcoming(_calendar(d), "1997-05-01").select("event_id", F.col("occurs_on").cast("string").alias("occurs_on"))
+
+
+@query("ics_export")
+def ics_export(d: Domain) -> DataFrame:
+    return calendar.vevent(_calendar(d))
