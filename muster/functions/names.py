@@ -8,17 +8,18 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Cyrillic letters that look like Latin ones, and those.
 CONFUSABLE = ("авекмнорстух", "abekmhopctyx")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(names: pd.Series) -> pd.Series:
     return names.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfd(names: pd.Series) -> pd.Series:
     return names.map(lambda x: unicodedata.normalize("NFD", x), na_action="ignore")
 
@@ -64,15 +65,74 @@ def tier(near: Column, same_value: Column) -> Column:
     return F.when(close & same_value, "high").when(close, "medium").when((near == "weak") & same_value, "medium").when((near == "none") & same_value, "low")
 
 
+#: Marks that no handle holds, marks that one may hold, and the blocks of its letters and ornaments.
+JUNK = r"[|\\«»№<>§¢]"
+PUNCTUATION = r"._\-•⚓←→'’`,()\[\]! *~^"
+SCRIPTS = r"À-ɏḀ-ỿЀ-ӿ぀-ヿ㐀-鿿豈-﫿가-힣ᄀ-ᇿ†-•←-⇿①-⓿\x{1F000}-\x{1FAFF}"
+
+
 def looks_misread(name: Column) -> Column:
-    """Fewer than two letters or digits, or these are less than 60 % of it, or it holds junk marks."""
-    plain = F.length(F.regexp_replace(name, r"[^\p{L}\p{N}]", ""))
-    return F.coalesce((plain < 2) | name.rlike(r"[|\\~<>{}=]") | (plain / F.greatest(F.length(F.regexp_replace(name, r"\s", "")), F.lit(1)) < 0.6), F.lit(True))
+    """Fewer than two letters or digits, a junk mark, a share of letters and digits under 0.6, or a foreign character."""
+    t = F.trim(name)
+    plain = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
+    foreign = t.rlike(rf"[^\sA-Za-z\p{{Nd}}{PUNCTUATION}{SCRIPTS}]")
+    return F.coalesce((plain < 2) | t.rlike(JUNK) | (plain / F.greatest(F.length(t), F.lit(1)) < 0.6) | foreign, F.lit(True))
 
 
 def strip_alliance_tag(name: Column) -> Column:
-    """(tag, name) of `[TAG] name`, the tag among the first 20 characters; never leaves an empty name."""
-    tag = F.regexp_extract(F.substring(name, 1, 20), r"^\s*[\[(]([^\])]{1,8})[\])]", 1)
-    rest = F.trim(F.regexp_replace(name, r"^\s*[\[(][^\])]{1,8}[\])]\s*", ""))
-    found = (tag != "") & (F.length(F.regexp_replace(rest, r"\s", "")) >= 2)
-    return F.struct(F.when(found, F.trim(tag)).alias("tag"), F.when(found, rest).otherwise(F.trim(name)).alias("name"))
+    """(tag, name): the first `(TAG)` of 1 to 5 letters or digits within 20 characters and what follows it; else a garbled
+    prefix is dropped if two characters remain. A name is never left empty; without a tag it is null."""
+    window = F.substring(name, 1, 20)
+    strict = r"(?s)^(.*?\(\s*([A-Za-z0-9]{1,5})\s*\)\s*)"
+    garbled = r"^((?:.{0,9}?\)|.{0,6}?\([^\s)]{1,5})\s*)"
+    after = lambda pattern: F.trim(F.substring(name, F.length(F.regexp_extract(window, pattern, 1)) + 1, F.length(name)))
+    tagged, salvaged, whole = after(strict), after(garbled), F.trim(name)
+    has_tag = window.rlike(strict)
+    salvage = ~has_tag & window.rlike(garbled) & (F.length(F.replace(salvaged, F.lit(" "), F.lit(""))) >= 2)
+    tag = F.when(has_tag & (tagged != ""), F.regexp_extract(window, strict, 2))
+    return F.struct(tag.alias("tag"), F.when(tag.isNotNull(), tagged).when(salvage, salvaged).otherwise(whole).alias("name"))
+
+
+@pandas_udf(StringType())
+def _repair_encoding(names: pd.Series) -> pd.Series:
+    """UTF-8 read as Latin-1 or Windows-1252 turned back, then the composed form."""
+
+    def fix(s: str) -> str:
+        for codec in ("cp1252", "latin-1"):
+            try:
+                back = s.encode(codec).decode("utf-8")
+            except UnicodeError:
+                continue
+            if len(back) < len(s):
+                s = back
+                break
+        return unicodedata.normalize("NFC", s)
+
+    return names.map(fix, na_action="ignore")
+
+
+def normalize_name(name: Column) -> Column:
+    """Encoding damage repaired; full-width ASCII narrowed; zero-width marks out; runs of spaces one; trimmed."""
+    wide = "".join(map(chr, [*range(0xFF01, 0xFF5F), 0x3000]))
+    narrow = "".join(map(chr, [*range(0x21, 0x7F), 0x20]))
+    n = F.translate(_ascii_first(_repair_encoding, name), wide, narrow)
+    return F.trim(F.regexp_replace(F.regexp_replace(n, "[​-‍﻿]", ""), " {2,}", " "))
+
+
+_KANA, _CJK = "぀-ヿ", "぀-ヿ㐀-䶿一-鿿豈-﫿"
+
+
+def fix_substitutions(name: Column) -> Column:
+    """Arrows at the ends restored, the kanji for one next to kana as the prolonging mark, no spaces between CJK
+    letters, none around an underscore between word characters."""
+    n = F.regexp_replace(name, r"^(?:«=|«-|<=|<<|«)\s*", "←")
+    n = F.regexp_replace(n, r"\s*(?:=>|>>|=»|->|»)$", "→")
+    n = F.when(n.startswith("←"), F.regexp_replace(n, ">$", "→")).otherwise(n)
+    n = F.regexp_replace(n, f"(?<=[{_KANA}])一|一(?=[{_KANA}])", "ー")
+    n = F.regexp_replace(n, f"(?<=[{_CJK}]) (?=[{_CJK}])", "")
+    return F.regexp_replace(n, r"(?U)(?<=\w) *_ *(?=\w)", "_")
+
+
+def distinctive_cyrillic(text: Column) -> Column:
+    """Whether a Cyrillic letter occurs that no Latin one looks like."""
+    return F.regexp_replace(text, "[АВЕКМНОРСТХаеорсухк]", "").rlike("[Ѐ-ӿ]")

@@ -39,20 +39,28 @@ def upcoming(events: DataFrame, today: str, n: int = 30) -> DataFrame:
 
 def escape(text: Column) -> Column:
     """RFC 5545 text: backslash first, then semicolon, comma and line feed."""
-    for a, b in (("\\", "\\\\"), (";", "\;"), (",", "\\,"), ("\n", "\\n")):
+    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\n", "\\n")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 
 
-def vevent(events: DataFrame) -> DataFrame:
-    """One VEVENT of an hour a row, lines ended by CR LF."""
+def recurrence_rule(events: DataFrame) -> Column:
+    """FREQ and what belongs to it; null for an event that does not recur."""
+    freq = F.when(F.col("recurrence") == "daily", "DAILY").when(F.col("recurrence") == "weekly", "WEEKLY").when(F.col("recurrence") == "4weekly", "WEEKLY;INTERVAL=4").when(F.col("recurrence") == "monthly", "MONTHLY").when(F.col("recurrence") == "yearly", "YEARLY")
+    until = F.coalesce(F.concat(F.lit(";UNTIL="), F.date_format("recurrence_end", "yyyyMMdd"), F.lit("T235959Z")), F.lit(""))
+    return F.concat(F.lit("FREQ="), freq, until)
+
+
+def vevent(events: DataFrame, dtstamp: str, domain: str = "muster.example", with_rule: bool = True) -> DataFrame:
+    """One VEVENT of an hour a row, lines ended by CR LF; lines without content are left out."""
     at = F.try_to_timestamp(F.concat_ws(" ", F.col("date").cast("string"), "time"), F.lit("yyyy-MM-dd HH:mm"))
-    stamp = lambda t: F.date_format(t, "yyyyMMdd'T'HHmmss")
-    rule = F.when(F.col("recurrence") == "daily", "FREQ=DAILY").when(F.col("recurrence") == "weekly", "FREQ=WEEKLY").when(F.col("recurrence") == "4weekly", "FREQ=WEEKLY;INTERVAL=4").when(F.col("recurrence") == "monthly", "FREQ=MONTHLY").when(F.col("recurrence") == "yearly", "FREQ=YEARLY")
-    until = F.coalesce(F.concat(F.lit(";UNTIL="), F.date_format("recurrence_end", "yyyyMMdd"), F.lit("T235959")), F.lit(""))
+    stamp = lambda t: F.date_format(t, "yyyyMMdd'T'HHmmss'Z'")
+    named = lambda name, value: F.concat(F.lit(name), value)
     lines = [
-        F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("event_id").cast("string")), F.concat(F.lit("DTSTART:"), stamp(at)), F.concat(F.lit("DTEND:"), stamp(at + F.expr("INTERVAL 1 HOUR"))),
-        F.concat(F.lit("SUMMARY:"), escape(F.col("title"))), F.concat(F.lit("DESCRIPTION:"), escape(F.coalesce("description", F.lit("")))), F.concat(F.lit("RRULE:"), rule, until), F.lit("END:VEVENT"),
+        F.lit("BEGIN:VEVENT"), named("UID:", F.concat_ws("-", F.col("event_id").cast("string"), F.concat(F.col("date").cast("string"), F.lit(f"@{domain}")))), F.lit(f"DTSTAMP:{dtstamp}"),
+        named("DTSTART:", stamp(at)), named("DTEND:", stamp(at + F.expr("INTERVAL 1 HOUR"))), named("SUMMARY:", escape(F.col("title"))),
+        F.when(F.col("description") != "", named("DESCRIPTION:", escape(F.col("description")))), named("ORGANIZER:CN=", escape(F.col("author"))),
+        named("RRULE:", recurrence_rule(events)) if with_rule else F.lit(None), F.lit("END:VEVENT"),
     ]
     return events.select("event_id", F.concat_ws("\r\n", *lines).alias("ics"))
 

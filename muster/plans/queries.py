@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from muster.functions import times
-from muster.operators import calendar, capture, duplicates, reads, upsert, views
+from muster.functions import names, times
+from muster.operators import calendar, capture, duplicates, reads, screens, stats_chat, upsert, views
 from muster.plans.oracles import BOARD, DELTA, RATE, REVIEW, sql
 from muster.sources.domain import Domain
+from muster.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -207,9 +208,9 @@ for policy, order in (("keep", "own DESC, donation_id"), ("latest", "donation_id
 
 @query("fuzzy_roster_match", sql("SELECT n.alliance_id, n.raw_name, CASE WHEN count(*) FILTER (r.player_name = n.raw_name) > 0 THEN 'exact' WHEN count(r.player_id) = 1 THEN 'fuzzy' WHEN count(r.player_id) > 1 THEN 'ambiguous' ELSE 'new' END AS resolution, CASE WHEN count(*) FILTER (r.player_name = n.raw_name) > 0 THEN min(r.player_id) FILTER (r.player_name = n.raw_name) WHEN count(r.player_id) = 1 THEN min(r.player_id) END AS player_id FROM (SELECT alliance_id, CASE WHEN player_id % 3 = 0 THEN player_name ELSE player_name || 'x' END AS raw_name FROM roster) n LEFT JOIN roster r ON r.alliance_id = n.alliance_id AND levenshtein(lower(replace(r.player_name, '#', '')), lower(replace(n.raw_name, '#', ''))) <= 1 GROUP BY n.alliance_id, n.raw_name"))
 def fuzzy_roster_match(d: Domain) -> DataFrame:
-    names = d.roster.select("alliance_id", F.when(F.col("player_id") % 3 == 0, F.col("player_name")).otherwise(F.concat("player_name", F.lit("x"))).alias("raw_name"))
+    read = d.roster.select("alliance_id", F.when(F.col("player_id") % 3 == 0, F.col("player_name")).otherwise(F.concat("player_name", F.lit("x"))).alias("raw_name"))
     aliases = d.spark.createDataFrame([], "alliance_id bigint, raw_name string, player_id bigint")
-    return duplicates.resolve(names, d.roster, aliases)
+    return duplicates.resolve(read, d.roster, aliases)
 
 
 PAIRS = """
@@ -311,4 +312,42 @@ def calendar_upcoming(d: Domain) -> DataFrame:
 
 @query("ics_export")
 def ics_export(d: Domain) -> DataFrame:
-    return calendar.vevent(_calendar(d))
+    return calendar.vevent(_calendar(d).withColumn("author", F.lit("x")), "20260101T000000Z")
+
+
+# names and screens as text
+
+
+@query("name_cleanup")
+def name_cleanup(d: Domain) -> DataFrame:
+    p = d.raw("part").select("p_partkey", F.concat(F.lit("(SOD) "), F.col("p_name")).alias("raw"))
+    clean = names.strip_alliance_tag(names.fix_substitutions(names.normalize_name(F.col("raw"))))
+    return p.select("p_partkey", clean.alias("c")).select("p_partkey", "c.tag", "c.name", names.looks_misread(F.col("c.name")).alias("misread"))
+
+
+@query("screen_routing")
+def screen_routing(d: Domain) -> DataFrame:
+    code = F.element_at(F.array(*map(F.lit, ("Elite Wars 12:00 Rank", "Eiite Wars Rank", "Contribution Ranking", "City stats chat", "hello there"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return screens.route(d.raw("part").select("p_partkey", code.alias("header")), screens.titles(d.spark)).select("p_partkey", "kind", "code")
+
+
+@query("stats_chat_parse")
+def stats_chat_parse(d: Domain) -> DataFrame:
+    return stats_chat.parse(stats_chat.sample_lines(d.raw("events")))
+
+
+@query("llm_crosscheck", sql("SELECT donation_id, CASE WHEN donation_id % 3 = 0 AND donation_id % 2 = 0 THEN honor + 5 ELSE honor END AS honor, CASE WHEN donation_id % 3 > 0 THEN 0.9 WHEN donation_id % 2 = 0 THEN 0.45 ELSE 0.0 END::DOUBLE AS confidence FROM dons"))
+def llm_crosscheck(d: Domain) -> DataFrame:
+    rows = d.donations.select("donation_id", F.col("period_id").alias("capture_id"), F.col("player_id").cast("string").alias("player_name"), "honor", F.lit(0.9).alias("confidence"), (F.col("honor") - 10).alias("lower"), (F.col("honor") + 10).alias("upper"))
+    answers = rows.where("donation_id % 3 = 0").select("capture_id", "player_name", F.lit(1).alias("ordinal"), F.when(F.col("donation_id") % 2 == 0, F.col("honor") + 5).otherwise(F.col("honor") + 50).alias("score"))
+    return capture.cross_check(rows, answers).select("donation_id", "honor", "confidence")
+
+
+@query("streaming_ingest", "SELECT user_id AS player_id, event_type AS field, event_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
+def streaming_ingest(d: Domain) -> DataFrame:
+    rows = d.raw("events").select(F.col("user_id").alias("player_id"), F.col("event_type").alias("field"), "event_id", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    base = ingest.scratch(d.spark)
+    rows.where("event_id % 2 = 0").write.parquet(f"{base}/in/a")
+    rows.where("event_id % 2 = 1").write.parquet(f"{base}/in/b")
+    keys = ["player_id", "field"]
+    return ingest.ingest(d.spark, f"{base}/in/*", rows.schema, f"{base}/state", f"{base}/log", keys, [*keys, "event_id", "cents"], ["event_id"], by_batch=False).select(*keys, "event_id", "cents")

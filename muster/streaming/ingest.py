@@ -1,12 +1,15 @@
 """Continuous ingestion of captures: idempotent by content, the latest arrival wins.
 
 Each micro-batch becomes one versioned snapshot below `state_dir`; a batch that is run again writes the same version,
-so a restart neither loses nor doubles anything. Arrival order is (batch, ordinal), not event time.
+so a restart neither loses nor doubles anything. Arrival order is (batch, ordinal), not event time; `by_batch` False
+orders by the columns of `order` alone.
 """
 
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +28,15 @@ def _versions(spark: SparkSession, state_dir: str) -> list[int]:
     return sorted(v for m in found if m and done(v := int(m[1])))
 
 
-def merge_batch(batch: DataFrame, batch_id: int, state_dir: str, keys: list[str], content: list[str], order: list[str]) -> None:
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one that the cluster names; a local one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{named.rstrip('/')}/ingest-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="muster-ingest-")
+
+
+def merge_batch(batch: DataFrame, batch_id: int, state_dir: str, keys: list[str], content: list[str], order: list[str], by_batch: bool = True) -> None:
     """The next snapshot: rows whose content was already taken in are dropped, then the latest of each key stays."""
     spark = batch.sparkSession
     older = [v for v in _versions(spark, state_dir) if v < batch_id]
@@ -33,13 +44,13 @@ def merge_batch(batch: DataFrame, batch_id: int, state_dir: str, keys: list[str]
     if older:
         state = spark.read.parquet(f"{state_dir}/v={older[-1]}")
         numbered = state.unionByName(numbered.join(state.select("content_hash"), "content_hash", "left_anti"))
-    latest = best_by(numbered, keys, [F.desc("batch_id"), *(F.desc(c) for c in order)])
+    latest = best_by(numbered, keys, [*([F.desc("batch_id")] if by_batch else []), *(F.desc(c) for c in order)])
     latest.write.mode("overwrite").parquet(f"{state_dir}/v={batch_id}")
 
 
-def ingest(spark: SparkSession, source: str, schema: StructType, state_dir: str, checkpoint: str, keys: list[str], content: list[str], order: list[str], files_per_batch: int = 1) -> DataFrame:
+def ingest(spark: SparkSession, source: str, schema: StructType, state_dir: str, checkpoint: str, keys: list[str], content: list[str], order: list[str], files_per_batch: int = 1, by_batch: bool = True) -> DataFrame:
     """Takes in all files that are there, in batches; the state afterwards. Run again, it takes in only what is new."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    step = lambda batch, k: merge_batch(batch, k, state_dir, keys, content, order)
+    step = lambda batch, k: merge_batch(batch, k, state_dir, keys, content, order, by_batch)
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{state_dir}/v={_versions(spark, state_dir)[-1]}")
