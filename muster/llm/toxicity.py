@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, n_feat
         yield pa.RecordBatch.from_arrays(columns, names=["n0", "n1", "at", "other", "toxic"])
 
     total, n = np.zeros((2, 1 << BITS), np.int64), [0, 0]
-    for r in sample.mapInArrow(count, "n0 bigint, n1 bigint, at binary, other binary, toxic binary").toLocalIterator():
+    for r in sample.mapInArrow(count, "n0 bigint, n1 bigint, at binary, other binary, toxic binary").collect():  # eight rows
         at = np.frombuffer(r.at, np.int32)
         total[0][at] += np.frombuffer(r.other, np.int32)
         total[1][at] += np.frombuffer(r.toxic, np.int32)
