@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from muster.functions import names, times
-from muster.operators import calendar, capture, duplicates, reads, screens, stats_chat, upsert, views
+from muster.operators import accuracy, calendar, capture, duplicates, maintenance, reads, screens, stats_chat, upsert, views
 from muster.plans.oracles import BOARD, DELTA, RATE, REVIEW, sql
 from muster.sources.domain import Domain
 from muster.streaming import ingest
@@ -351,3 +351,42 @@ def streaming_ingest(d: Domain) -> DataFrame:
     rows.where("event_id % 2 = 1").write.parquet(f"{base}/in/b")
     keys = ["player_id", "field"]
     return ingest.ingest(d.spark, f"{base}/in/*", rows.schema, f"{base}/state", f"{base}/log", keys, [*keys, "event_id", "cents"], ["event_id"], by_batch=False).select(*keys, "event_id", "cents")
+
+
+# maintenance and accuracy
+
+
+@query("rename_planner", sql("SELECT player_id, alliance_id, player_name, new_name, CASE WHEN count(*) OVER (PARTITION BY alliance_id, new_name) > 1 THEN 'collision' ELSE 'rename' END AS action FROM (SELECT *, regexp_replace(player_name, '[0-9]$', '') AS new_name FROM roster) WHERE new_name <> player_name"))
+def rename_planner(d: Domain) -> DataFrame:
+    return maintenance.rename_plan(d.roster, F.regexp_replace("player_name", "[0-9]$", "")).select("player_id", "alliance_id", "player_name", "new_name", "action")
+
+
+@query("batch_name_fix", sql("SELECT t.player_id, t.alliance_id, 'SOD' AS tag, t.new_name, r.player_id AS canonical_id, CASE WHEN r.player_id IS NULL THEN 'rename' ELSE 'merge' END AS action FROM (SELECT player_id, alliance_id, CASE WHEN player_id % 2 = 0 THEN player_name ELSE replace(player_name, '#', '') END AS new_name FROM roster WHERE player_id % 5 = 0) t LEFT JOIN (SELECT * FROM roster WHERE player_id % 5 > 0 OR player_id % 2 = 0) r ON r.alliance_id = t.alliance_id AND r.player_name = t.new_name"))
+def batch_name_fix(d: Domain) -> DataFrame:
+    tagged = d.roster.where("player_id % 5 = 0").withColumn("player_name", F.concat(F.lit("(SOD) "), F.when(F.col("player_id") % 2 == 0, F.col("player_name")).otherwise(F.replace("player_name", F.lit("#"), F.lit("")))))
+    rest = d.roster.where("player_id % 5 > 0 or player_id % 2 = 0")
+    return maintenance.tagged_names(tagged.unionByName(rest)).select("player_id", "alliance_id", "tag", "new_name", "canonical_id", "action")
+
+
+@query("membership_leave", sql("SELECT player_id, CAST(coalesce(left_at, CASE WHEN player_id % 2 = 0 THEN TIMESTAMP '2000-01-01' END) AS VARCHAR) AS left_at FROM members"))
+def membership_leave(d: Domain) -> DataFrame:
+    leavers = d.roster.where("player_id % 2 = 0").select("alliance_id", "player_id", F.lit("2000-01-01").cast("timestamp").alias("left_at"))
+    return maintenance.leave(d.memberships, leavers).select("player_id", F.date_format("left_at", "yyyy-MM-dd HH:mm:ss").alias("left_at"))
+
+
+@query("orphan_players", sql("SELECT player_id, player_name FROM roster WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.player_id = roster.player_id) AND NOT EXISTS (SELECT 1 FROM stat0 s WHERE s.player_id = roster.player_id)"))
+def orphan_players(d: Domain) -> DataFrame:
+    return maintenance.orphans(d.roster, d.participations, d.stats).select("player_id", "player_name")
+
+
+@query("cascade_delete", sql("SELECT participation_id FROM parts WHERE alliance_id % 3 > 0"))
+def cascade_delete(d: Domain) -> DataFrame:
+    return maintenance.cascade(d.participations, d.events.where("alliance_id % 3 > 0"), "event_id").select("participation_id")
+
+
+@query("bench_accuracy", "SELECT l_orderkey, count(*) AS rows, count(*) FILTER (l_quantity = CASE WHEN l_orderkey % 3 = 0 THEN l_quantity + 1 ELSE l_quantity END AND l_orderkey % 5 > 0) AS quantity, count(*) FILTER (l_orderkey % 5 > 0) AS flag FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS k FROM lineitem) GROUP BY l_orderkey")
+def bench_accuracy(d: Domain) -> DataFrame:
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"))
+    rows = d.raw("lineitem").select("l_orderkey", k.alias("k"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    read = rows.where("l_orderkey % 5 > 0").withColumn("quantity", F.when(F.col("l_orderkey") % 3 == 0, F.col("quantity") + 1).otherwise(F.col("quantity")))
+    return accuracy.compare(rows, read, ["l_orderkey", "k"], ["quantity", "flag"])
