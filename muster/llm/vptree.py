@@ -17,7 +17,6 @@ vector counts once a shard; extra columns are left out. Without valid rows there
 from __future__ import annotations
 
 import io
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,10 @@ from pyspark.sql import functions as F
 from muster.llm.tables import keep, load
 
 
+#: Different vector lengths up to which their table of shards is broadcast.
+MAX_LENGTHS = 10_000
+
+
 class VpTree:
     """Over rows of a matrix; `leaf` rows at most in a leaf."""
 
@@ -198,6 +201,8 @@ def nearest(
     named = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = named.where(F.col("id").isNotNull() & valid(F.col("vector"))).withColumn("dim", F.size("vector"))
     sizes = keep(rows.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / shard_rows)).alias("shards"), F.greatest(F.lit(1), F.ceil(F.count_if("asks") / block_queries)).alias("blocks")))
+    # one row a vector length: broadcast where these are few, so that no shuffle deals all rows out by their length
+    sizes = F.broadcast(sizes) if sizes.count() <= MAX_LENGTHS else sizes
     rows = rows.join(sizes, "dim")
     key = F.xxhash64("id")
     trees = rows.select("dim", F.pmod(key, "shards").alias("part"), "id", "vector").groupBy("dim", "part").applyInArrow(_build_tree(k), "dim int, part bigint, data binary")
