@@ -79,12 +79,16 @@ def looks_misread(name: Column) -> Column:
     return F.coalesce((plain < 2) | t.rlike(JUNK) | (plain / F.greatest(F.length(t), F.lit(1)) < 0.6) | foreign, F.lit(True))
 
 
+#: A tag in brackets, and a prefix that was one.
+TAG = r"\(\s*([A-Za-z0-9]{1,5})\s*\)\s*"
+GARBLED_TAG = r"(?:.{0,9}?\)|.{0,6}?\([^\s)]{1,5})\s*"
+
+
 def strip_alliance_tag(name: Column) -> Column:
     """(tag, name): the first `(TAG)` of 1 to 5 letters or digits within 20 characters and what follows it; else a garbled
     prefix is dropped if two characters remain. A name is never left empty; without a tag it is null."""
     window = F.substring(name, 1, 20)
-    strict = r"(?s)^(.*?\(\s*([A-Za-z0-9]{1,5})\s*\)\s*)"
-    garbled = r"^((?:.{0,9}?\)|.{0,6}?\([^\s)]{1,5})\s*)"
+    strict, garbled = f"(?s)^(.*?{TAG})", f"^({GARBLED_TAG})"
     after = lambda pattern: F.trim(F.substring(name, F.length(F.regexp_extract(window, pattern, 1)) + 1, F.length(name)))
     tagged, salvaged, whole = after(strict), after(garbled), F.trim(name)
     has_tag = window.rlike(strict)
@@ -119,6 +123,7 @@ def normalize_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(n, "[​-‍﻿]", ""), " {2,}", " "))
 
 
+#: The blocks of kana, and of the letters between which no space belongs.
 _KANA, _CJK = "぀-ヿ", "぀-ヿ㐀-䶿一-鿿豈-﫿"
 
 
@@ -133,6 +138,10 @@ def fix_substitutions(name: Column) -> Column:
     return F.regexp_replace(n, r"(?U)(?<=\w) *_ *(?=\w)", "_")
 
 
+#: Cyrillic letters of a Latin shape.
+LOOKALIKES = "АВЕКМНОРСТХаеорсухк"
+
+
 def distinctive_cyrillic(text: Column) -> Column:
     """Whether a Cyrillic letter occurs that no Latin one looks like."""
-    return F.regexp_replace(text, "[АВЕКМНОРСТХаеорсухк]", "").rlike("[Ѐ-ӿ]")
+    return F.regexp_replace(text, f"[{LOOKALIKES}]", "").rlike("[Ѐ-ӿ]")

@@ -135,18 +135,22 @@ def dedup_by_confidence(d: Domain) -> DataFrame:
     return upsert.highest_confidence(_captures(d), ["player_id", "field"])
 
 
-@query("upsert_latest_wins", f"WITH {CAPTURES} SELECT player_id, field, value FROM (SELECT player_id, field, value, CASE WHEN ordinal % 2 = 0 THEN -1 ELSE ordinal END AS version FROM caps WHERE ordinal % 2 = 1 OR ordinal % 3 = 0 QUALIFY ordinal % 2 = 1 OR row_number() OVER (PARTITION BY player_id, field, ordinal % 2 ORDER BY ordinal) = 1) QUALIFY row_number() OVER (PARTITION BY player_id, field ORDER BY version DESC) = 1")
+def _state(d: Domain) -> DataFrame:
+    return upsert.best_by(_captures(d).where("ordinal % 2 = 0"), ["player_id", "field"], [F.asc("ordinal")]).select("player_id", "field", "value")
+
+
+def _batch(d: Domain) -> DataFrame:
+    return _captures(d).where("ordinal % 2 = 1").select("player_id", "field", "value", "ordinal")
+
+
+@query("upsert_latest_wins", f"WITH {CAPTURES} SELECT player_id, field, value FROM caps QUALIFY row_number() OVER (PARTITION BY player_id, field ORDER BY ordinal % 2 DESC, CASE WHEN ordinal % 2 = 1 THEN -ordinal ELSE ordinal END) = 1")
 def upsert_latest_wins(d: Domain) -> DataFrame:
-    caps = _captures(d)
-    state = upsert.best_by(caps.where("ordinal % 2 = 0 and ordinal % 3 = 0"), ["player_id", "field"], [F.asc("ordinal")]).select("player_id", "field", "value")
-    return upsert.latest_wins(state, caps.where("ordinal % 2 = 1").select("player_id", "field", "value", "ordinal"), ["player_id", "field"])
+    return upsert.latest_wins(_state(d), _batch(d), ["player_id", "field"])
 
 
-@query("upsert_first_wins", f"WITH {CAPTURES} SELECT player_id, field, value FROM caps WHERE ordinal % 2 = 1 OR ordinal % 6 = 0 QUALIFY row_number() OVER (PARTITION BY player_id, field ORDER BY ordinal % 2, ordinal) = 1")
+@query("upsert_first_wins", f"WITH {CAPTURES} SELECT player_id, field, value FROM caps QUALIFY row_number() OVER (PARTITION BY player_id, field ORDER BY ordinal % 2, ordinal) = 1")
 def upsert_first_wins(d: Domain) -> DataFrame:
-    caps = _captures(d)
-    state = upsert.best_by(caps.where("ordinal % 6 = 0"), ["player_id", "field"], [F.asc("ordinal")]).select("player_id", "field", "value")
-    return upsert.first_wins(state, caps.where("ordinal % 2 = 1").select("player_id", "field", "value", "ordinal"), ["player_id", "field"])
+    return upsert.first_wins(_state(d), _batch(d), ["player_id", "field"])
 
 
 @query("insert_outcomes", f"WITH {CAPTURES}, held AS (SELECT DISTINCT player_id, field, CASE WHEN player_id % 2 = 0 THEN 'processed' ELSE 'failed' END AS held FROM caps WHERE player_id < 20) SELECT outcome, count(*) AS rows FROM (SELECT CASE WHEN held = 'processed' OR row_number() OVER (PARTITION BY player_id, field ORDER BY ordinal) > 1 THEN 'duplicate' WHEN held IS NOT NULL THEN 'reset' ELSE 'inserted' END AS outcome FROM caps LEFT JOIN held USING (player_id, field)) GROUP BY outcome")
@@ -234,15 +238,16 @@ def duplicate_candidates(d: Domain) -> DataFrame:
 # captures
 
 
-@query("swap_repair", sql("SELECT participation_id, CASE WHEN participation_id % 3 = 0 AND points > 0 THEN power ELSE power END AS power, points, power >= 1000000 AS valid FROM parts WHERE power IS NOT NULL AND points > 0 AND points < 10000 AND power >= 1000000"))
+@query("swap_repair", sql("SELECT participation_id, CASE WHEN swapped THEN q ELSE p END AS power, CASE WHEN swapped THEN p ELSE q END AS points, coalesce(CASE WHEN swapped THEN q ELSE p END >= 1000000, false) AND coalesce(CASE WHEN swapped THEN p ELSE q END >= 0, true) AS valid FROM (SELECT *, coalesce(p > 0 AND p < 10000 AND q >= 1000000, false) AS swapped FROM (SELECT participation_id, CASE WHEN participation_id % 3 = 0 THEN points ELSE power END AS p, CASE WHEN participation_id % 3 = 0 THEN power ELSE points END AS q FROM parts))"))
 def swap_repair(d: Domain) -> DataFrame:
-    rows = d.participations.where("power is not null and points > 0 and points < 10000 and power >= 1000000").select("participation_id", F.lit("x").alias("player_name"), F.lit("R1").alias("rank"), F.when(F.col("participation_id") % 3 == 0, F.col("points")).otherwise(F.col("power")).alias("power"), F.when(F.col("participation_id") % 3 == 0, F.col("power")).otherwise(F.col("points")).alias("points"))
+    mixed = F.col("participation_id") % 3 == 0
+    rows = d.participations.select("participation_id", F.lit("x").alias("player_name"), F.lit("R1").alias("rank"), F.when(mixed, F.col("points")).otherwise(F.col("power")).alias("power"), F.when(mixed, F.col("power")).otherwise(F.col("points")).alias("points"))
     return capture.swap_repair(rows).select("participation_id", "power", "points", capture.valid_event_row().alias("valid"))
 
 
-@query("truncation_reject", sql("SELECT event_id, imported < declared AS possible_truncation, imported < declared AND declared > 0 AND imported / greatest(declared, 1)::DOUBLE < 0.5 AS rejected FROM delta WHERE declared IS NOT NULL", DELTA))
+@query("truncation_reject", sql("SELECT event_id, coalesce(imported < declared, false) AS possible_truncation, coalesce(imported < declared AND declared > 0 AND imported / greatest(declared, 1)::DOUBLE < 0.5, false) AS rejected FROM delta", DELTA))
 def truncation_reject(d: Domain) -> DataFrame:
-    rows = views.event_import_delta(d).where("declared is not null").select("event_id", F.col("imported").alias("n_rows"), F.col("declared").alias("expected_rows"))
+    rows = views.event_import_delta(d).select("event_id", F.col("imported").alias("n_rows"), F.col("declared").alias("expected_rows"))
     return capture.truncation(rows).select("event_id", "possible_truncation", "rejected")
 
 
@@ -286,15 +291,15 @@ def delta_histogram(d: Domain) -> DataFrame:
 
 
 def _calendar(d: Domain) -> DataFrame:
-    o = d.raw("orders").where("o_orderkey % 7 = 0")
-    code = F.element_at(F.array(*map(F.lit, ("none", "daily", "weekly", "4weekly", "monthly", "yearly", "odd"))), (F.col("o_orderkey") / 7 % 7 + 1).cast("int"))
+    o = d.raw("orders")
+    code = F.element_at(F.array(*map(F.lit, ("none", "daily", "weekly", "4weekly", "monthly", "yearly", "odd"))), (F.col("o_orderkey") % 7 + 1).cast("int"))
     day_ = F.col("o_orderdate").cast("timestamp").cast("date")
     return o.select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("title"), F.lit("20:00").alias("time"), F.lit("raid").alias("type"), F.lit("a,b;c\\d\ne").alias("description"), day_.alias("date"), code.alias("recurrence"), F.when(F.col("o_orderkey") % 2 == 0, F.date_add(day_, 400)).alias("recurrence_end"))
 
 
 CALENDAR = """
-cal AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS first, (['none', 'daily', 'weekly', '4weekly', 'monthly', 'yearly', 'odd'])[CAST(o_orderkey // 7 % 7 + 1 AS INTEGER)] AS code,
-        CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) + 400 END AS until FROM orders WHERE o_orderkey % 7 = 0),
+cal AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS first, (['none', 'daily', 'weekly', '4weekly', 'monthly', 'yearly', 'odd'])[CAST(o_orderkey % 7 + 1 AS INTEGER)] AS code,
+        CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) + 400 END AS until FROM orders),
 steps AS (SELECT event_id, first, until, k, CAST(CASE code WHEN 'daily' THEN first + INTERVAL 1 DAY * k WHEN 'weekly' THEN first + INTERVAL 7 DAY * k WHEN '4weekly' THEN first + INTERVAL 28 DAY * k WHEN 'monthly' THEN first + INTERVAL 1 MONTH * k WHEN 'yearly' THEN first + INTERVAL 12 MONTH * k ELSE first END AS DATE) AS occurs_on
         FROM cal, range(0, 500) r(k) WHERE code IN ('daily', 'weekly', '4weekly', 'monthly', 'yearly') OR k = 0)
 """
