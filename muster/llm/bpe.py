@@ -197,11 +197,11 @@ def pieces(text: str) -> list[str]:
     return ([first] if first else []) + [f" {x}" for x in rest]
 
 
-def batches(columns: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[tuple[list, list]]:
+def batches(columns: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[tuple[list, list]]:
     """Row keys and texts, so many that a batch holds about `chars` characters, or a single longer text."""
     for batch in columns:
         keys, texts, held = [], [], 0
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for key, text in ((k.as_py(), t.as_py()) for k, t in zip(batch.column(0), batch.column(1), strict=True)):
             keys.append(key)
             texts.append(text)
             held += len(text or "")

@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, n_feat
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
-        for marks, texts in batches(parts):
+        for marks, texts in batches(parts, 500_000):  # every n-gram of a batch is sorted
             marks = np.array(marks)
             text, bucket = buckets(texts)
             for k in (0, 1):
