@@ -105,7 +105,15 @@ class MemoTokenizer:
         if kind not in ("byte", "word"):
             raise ValueError(f"no such kind of tokenizer: {kind}")
         self.source, self.kind, self.memo_size = source, kind, memo_size
+
+    def __getattr__(self, name: str):
+        """The tokenizer and the memo are made where they are first used: on an executor, not on the driver."""
+        if name.startswith("__") or name in ("source", "kind", "memo_size"):
+            raise AttributeError(name)
         self._ready()
+        if name not in self.__dict__:
+            raise AttributeError(name)
+        return self.__dict__[name]
 
     def _ready(self) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -125,7 +133,6 @@ class MemoTokenizer:
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
-        self._ready()
 
     def _one(self, string: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([string], add_special_tokens=False)[0].ids, self.dtype)

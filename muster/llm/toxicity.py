@@ -136,13 +136,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, n_feat
     def present(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for marks, texts in batches(parts):
             text, bucket = buckets(texts, wanted)
-            at = np.searchsorted(text, np.arange(len(texts) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.searchsorted(chosen, bucket), pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int32()), lists], names=["toxic", "features"])
+            at = np.searchsorted(text, np.arange(1, len(texts)))
+            lists = [x.astype(np.int32).tobytes() for x in np.split(np.searchsorted(chosen, bucket), at)]
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int32()), pa.array(lists, pa.binary())], names=["toxic", "features"])
 
     rows, y = [], []
-    for r in sample.mapInArrow(present, "toxic int, features array<int>").collect():
-        rows.append(np.array(r.features, np.int64))
+    for r in sample.mapInArrow(present, "toxic int, features binary").collect():
+        rows.append(np.frombuffer(r.features, np.int32))
         y.append(r.toxic)
     bias, coefficients = fit_logistic(rows, np.array(y, float), ratio[chosen])
     return Model(bias, chosen, coefficients * ratio[chosen])
