@@ -450,6 +450,48 @@ def test_lines_of_odd_rows(odd, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def brute_passages(rows):
+    """Marks the lines of every run of two lines or more that has stood earlier."""
+    first, out = {}, {}
+    for key, text in sorted(rows):
+        lines = text.split("\n")
+        gone = set()
+        for k in range(len(lines) - 1):
+            pair = (lines[k], lines[k + 1])
+            if not "".join(pair).strip():
+                continue
+            doc, at = first.setdefault(pair, (key, k))
+            if doc != key or k - at >= 2:
+                gone |= {k, k + 1}
+        out[key] = "\n".join(line for k, line in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_repeated_passages_go_whole(spark):
+    draw = random.Random(9)
+    rows, kept, lines = [], {}, lambda n: [f"line {draw.randint(0, 10**12)}" for _ in range(n)]
+    for trial in range(140):
+        passage, key = lines(2 + trial % 7), 10 * trial
+        before, after = lines(draw.randint(0, 6)), lines(draw.randint(0, 6))
+        rows += [(key, "\n".join([*lines(draw.randint(0, 6)), *passage, *lines(draw.randint(0, 6))])), (key + 1, "\n".join([*before, *passage, *after]))]
+        kept |= {key: rows[-2][1], key + 1: "\n".join([*before, *after])}
+    got = {r.doc_id: r for r in linededup.dedup_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {k: r.text for k, r in got.items()} == kept
+    assert all(got[10 * t + 1].removed_lines == 2 + t % 7 and got[10 * t + 1].removed_chunks == 1 for t in range(140))
+
+
+def test_passages_of_a_corpus_and_of_one_text(spark, docs, texts, odd, none):
+    got = {r.doc_id: r.text for r in linededup.dedup_passages(docs).collect()}
+    assert got == brute_passages(texts.items()) and got != texts
+    assert {s for t in got.values() for s in t.split("\n") if s} == {s for t in texts.values() for s in t.split("\n") if s}
+    rows = [(1, "a\na\na\na"), (2, "b\nc\nb\nc\nb"), (3, "d\n\n\ne"), (4, "f\n\n\ng"), (5, "h\nx"), (6, "x\nh")]
+    got = {r.doc_id: r.text for r in linededup.dedup_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "a\na", 2: "b\nc", 3: "d\n\n\ne", 4: "f\n\n\ng", 5: "h\nx", 6: "x\nh"}
+    out = linededup.dedup_passages(odd)
+    assert out.columns == [*odd.columns, "n_lines", "removed_chunks", "removed_lines"] and out.count() == odd.count()
+    assert linededup.dedup_passages(none).count() == 0
+
+
 # registry and pipeline
 
 
