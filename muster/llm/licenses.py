@@ -12,7 +12,8 @@ as long as itself holds at least `percent` of its shingles.
    0.6 with its template.
 3. Each window gets a signature of 64 minima, cut into 32 bands of two rows: at a similarity of 0.6 it shares no band
    with its template with a probability of 0.64 ** 32, below one in a million. Bands are joined with the templates'.
-4. A candidate's shingles are intersected with the template's; the best window of a text and template is reported.
+4. A candidate stands for all windows that start within one step of it: the shingles of each are intersected with the
+   template's, so containment is taken at the true offset; the best window of a text and template is reported.
 
 Everything is DataFrame functions. Templates are a parameter bounded by MAX_TEMPLATE_WORDS, which is why their bands may
 be broadcast. Null and empty texts match nothing; repeated rows of a key count once; null keys are one key; ties
@@ -112,13 +113,21 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, pe
         hit = hashed.withColumn("at", F.filter(F.transform("hashes", lambda h, i: F.when(h.isin(known), i)), lambda i: i.isNotNull()))
         starts = [_starts(n, step, k) for n, step in steps]
         windows = hit.select("doc", "hashes", F.explode_outer(F.concat(*starts)).alias("w"))
-        windows = windows.select("doc", F.col("w.length").alias("length"), F.col("w.start").alias("start"), F.array_distinct(F.slice("hashes", F.col("w.start") + 1, F.col("w.length") - (k - 1))).alias("have"))
+        # the hashes of all windows that start less than a step away, and how far the grid's is from the first of them
+        step = F.greatest(F.lit(1), F.floor(F.col("w.length") / 8).cast("int"))
+        first = F.greatest(F.lit(0), F.col("w.start") - step + 1)
+        around = F.slice("hashes", first + 1, F.col("w.start") - first + step - 1 + F.col("w.length") - (k - 1))
+        windows = windows.select("doc", F.col("w.length").alias("length"), F.col("w.start").alias("start"), F.array_distinct(F.slice("hashes", F.col("w.start") + 1, F.col("w.length") - (k - 1))).alias("have"), around.alias("around"), (F.col("w.start") - first).alias("back"))
         minima, keys = _bands("have", F.col("length"))
         signed = windows.withColumn("sig", minima).withColumn("bands", keys(F.col("sig"))).drop("sig")
         wanted = named.select("license", F.col("length").alias("t_length"), "wanted", F.explode_outer("bands").alias("band"))
-        near = signed.select("doc", "length", "start", "have", F.explode_outer("bands").alias("band")).join(F.broadcast(wanted), "band").where("length = t_length")
-        shared = F.size(F.array_intersect("have", "wanted")).cast("bigint")
-        found = near.select("doc", "license", "start", F.col("length").cast("bigint").alias("n_words"), shared.alias("shared"), F.size("wanted").cast("bigint").alias("of"))
+        near = signed.select("doc", "length", "start", "back", "around", F.explode_outer("bands").alias("band")).join(F.broadcast(wanted), "band").where("length = t_length")
+        once = near.select("doc", "license", "length", "start", "back", "around", "wanted").distinct()
+        reach = F.greatest(F.lit(1), F.floor(F.col("length") / 8).cast("int")) - 1
+        shared = lambda j: F.size(F.array_intersect(F.slice("around", j + 1, F.col("length") - (k - 1)), F.col("wanted"))).cast("bigint")
+        tried = F.transform(F.sequence(F.lit(0), F.col("back") + reach), lambda j: F.struct(shared(j).alias("shared"), (F.col("back") - F.col("start") - j).alias("from_start")))
+        found = once.select("doc", "license", F.array_max(tried).alias("w"), F.col("length").cast("bigint").alias("n_words"), F.size("wanted").cast("bigint").alias("of"))
+        found = found.select("doc", "license", (-F.col("w.from_start")).alias("start"), "n_words", F.col("w.shared").alias("shared"), "of")
         found = found.where(100 * F.col("shared") >= percent * F.col("of"))
         best = found.groupBy("doc", "license").agg(F.max(F.struct("shared", (-F.col("start")).alias("back"), "n_words", "of")).alias("m"))
         part = best.select(F.col("doc").alias(id_col), "license", (-F.col("m.back")).cast("bigint").alias("first_word"), F.col("m.n_words").alias("n_words"), F.col("m.shared").alias("shared_shingles"), F.col("m.of").alias("template_shingles"))

@@ -411,6 +411,20 @@ def test_licenses_are_found_where_they_stand(spark, odd, none):
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
 
 
+def test_altered_licenses_are_found_at_every_offset(spark):
+    rows, want = [], {}
+    for name, text in licenses.TEMPLATES:
+        words = licenses.words_of(text)
+        if len(words) > 25:
+            words[len(words) // 2] = "changed"
+            for offset in range(2 * (len(words) // 8) + 1):
+                want[len(rows), name] = (offset, len(words) - 4 - 5)
+                rows.append((len(rows), " ".join([f"q{k}" for k in range(offset)] + words + [f"r{k}" for k in range(40)])))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = {(r.doc_id, r.license): (r.first_word, r.shared_shingles) for r in found if not r.license.endswith("/line")}
+    assert got == want
+
+
 # lines
 
 
