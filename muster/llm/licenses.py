@@ -95,9 +95,10 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, pe
     cut = [(name, words_of(text)) for name, text in templates]
     if sum(len(w) for _, w in cut) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
+    # bounded as WORD bounds words; \b would take an underscore for a part of the word
     anchor = "|".join(map(re.escape, anchors([w for _, w in cut], percent)))
     lower = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    texts = docs.select(F.col(id_col).alias("doc"), lower.alias("text")).where(F.col("text").rlike(rf"\b(?:{anchor})\b"))
+    texts = docs.select(F.col(id_col).alias("doc"), lower.alias("text")).where(F.col("text").rlike(rf"(?<![a-z0-9])(?:{anchor})(?![a-z0-9])"))
     texts = texts.select("doc", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
     out = None
     for k in sorted({min(5, len(w)) for _, w in cut}):

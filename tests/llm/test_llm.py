@@ -425,6 +425,12 @@ def test_altered_licenses_are_found_at_every_offset(spark):
     assert got == want
 
 
+def test_notices_in_underscores_are_found(spark):
+    rows = [(k, f"{mark}{text}{mark}") for mark in ("_", "__") for k, (_, text) in enumerate(licenses.TEMPLATES, 100 * len(mark))]
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {(100 * n + k, name) for n in (1, 2) for k, (name, _) in enumerate(licenses.TEMPLATES)} <= got
+
+
 # lines
 
 
