@@ -235,6 +235,22 @@ def duplicate_candidates(d: Domain) -> DataFrame:
     return duplicates.rank_candidates(_pairs(d))
 
 
+#: As PAIRS, over events and donation periods together; ids of the two kinds never meet, since only events name a type.
+ALL_PAIRS = PAIRS.replace("FROM parts JOIN roster USING (player_id)),", "FROM parts JOIN roster USING (player_id) UNION ALL SELECT period_id, player_id, lower(replace(player_name, '#', '')), honor FROM dons JOIN roster USING (player_id)),")
+
+
+def _all_pairs(d: Domain) -> DataFrame:
+    names = d.roster.select("player_id", "player_name")
+    events = d.participations.join(names, "player_id").select(F.col("event_id").alias("context_id"), "player_id", "player_name", F.col("points").cast("bigint").alias("value"))
+    periods = d.donations.join(names, "player_id").select(F.col("period_id").alias("context_id"), "player_id", "player_name", F.col("honor").cast("bigint").alias("value"))
+    return duplicates.duplicate_pairs(events.unionByName(periods))
+
+
+@query("duplicate_candidates_all", sql("SELECT t.*, (SELECT count(DISTINCT context_id) - 1 FROM tiers u WHERE u.tier IS NOT NULL AND u.a_id = t.a_id AND u.b_id = t.b_id) AS also_in_contexts FROM tiers t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a_id, b_id ORDER BY CASE tier WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, similarity DESC, context_id) = 1", ALL_PAIRS))
+def duplicate_candidates_all(d: Domain) -> DataFrame:
+    return duplicates.rank_candidates(_all_pairs(d))
+
+
 # captures
 
 

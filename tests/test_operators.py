@@ -171,6 +171,17 @@ def test_ingestion_survives_a_restart(spark, tmp_path):
     assert {(r.k, r.v) for r in run().collect()} == {(1, "b"), (2, "d")}
 
 
+def test_duplicates_of_donation_periods_are_found(spark, sf_dir):
+    from muster.plans.queries import QUERIES
+    from muster.sources.domain import Domain
+
+    periods = {r.period_id for r in Domain(spark, sf_dir).donations.select("period_id").distinct().collect()}
+    events, both = (QUERIES[n](spark, sf_dir).collect() for n in ("duplicate_candidates", "duplicate_candidates_all"))
+    assert any(r.context_id in periods for r in both) and not any(r.context_id in periods for r in events)
+    found = {(r.a_id, r.b_id): r.also_in_contexts for r in both}
+    assert all(found[r.a_id, r.b_id] >= r.also_in_contexts for r in events) and len(both) > len(events)
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
