@@ -45,14 +45,15 @@ def resolve(names: DataFrame, roster: DataFrame, aliases: DataFrame) -> DataFram
 def duplicate_pairs(members: DataFrame, cap: int = 500) -> DataFrame:
     """Pairs of members of one context that may be one player, with their proximity, similarity and tier.
 
-    Contexts of more than `cap` members are not scanned: that limit is part of the operator. Below it, pairs of a
-    context are bounded by cap squared.
+    Contexts of more than `cap` members are dealt in blocks of about `cap`, and every block meets every block, so that
+    no task has more than about cap squared pairs at once.
     """
     n = F.count("*").over(Window.partitionBy("context_id"))
-    small = members.withColumn("n", n).where(F.col("n") <= cap).select("context_id", "player_id", "player_name", "value", duplicate_key(F.col("player_name")).alias("key"))
-    a = small.select("context_id", F.col("player_id").alias("a_id"), F.col("key").alias("a_key"), F.col("value").alias("a_value"))
-    b = small.select("context_id", F.col("player_id").alias("b_id"), F.col("key").alias("b_key"), F.col("value").alias("b_value"))
-    pairs = a.join(b, "context_id").where("a_id < b_id")
+    dealt = members.withColumn("blocks", F.ceil(n / cap).cast("int")).withColumn("own", F.pmod(F.xxhash64("player_id"), F.col("blocks")).cast("int"))
+    keyed = dealt.select("context_id", "player_id", "value", duplicate_key(F.col("player_name")).alias("key"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    a = keyed.select("context_id", F.col("own").alias("a_block"), F.col("other").alias("b_block"), F.col("player_id").alias("a_id"), F.col("key").alias("a_key"), F.col("value").alias("a_value"))
+    b = keyed.select("context_id", F.col("other").alias("a_block"), F.col("own").alias("b_block"), F.col("player_id").alias("b_id"), F.col("key").alias("b_key"), F.col("value").alias("b_value"))
+    pairs = a.join(b, ["context_id", "a_block", "b_block"]).where("a_id < b_id")
     near = proximity(F.col("a_key"), F.col("b_key"))
     out = pairs.select("context_id", "a_id", "b_id", near.alias("proximity"), similarity(F.col("a_key"), F.col("b_key")).alias("similarity"), tier(near, F.coalesce(F.col("a_value") == F.col("b_value"), F.lit(False))).alias("tier"))
     return out.where("tier is not null")

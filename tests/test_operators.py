@@ -182,6 +182,15 @@ def test_duplicates_of_donation_periods_are_found(spark, sf_dir):
     assert all(found[r.a_id, r.b_id] >= r.also_in_contexts for r in events) and len(both) > len(events)
 
 
+def test_pairs_of_large_contexts_are_found_whole(spark):
+    from muster.operators.duplicates import duplicate_pairs
+
+    rows = [("c" if k < 60 else "d", k, f"Player{k * 7 % 13}x{k % 5}", k % 4) for k in range(70)]
+    members = spark.createDataFrame(rows, "context_id string, player_id bigint, player_name string, value bigint")
+    whole, blocks = (sorted(map(tuple, duplicate_pairs(members, cap).collect())) for cap in (500, 20))
+    assert whole == blocks and any(r[0] == "c" for r in blocks)
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
