@@ -14,7 +14,8 @@ exact zero would make the first symbol an outlier.
 Distances are sorted by counting: their logarithms fall into bins a 32nd wide, and each step is one map-side
 combined aggregation of counts, sums and products a bin, then a running count over a group's few bins. So a group
 of any size is never in one task, and the outcome depends on no order. Groups with fewer than `min_group` texts are
-pooled over their sources, languages with fewer over all languages; fewer than `min_group` texts in all reject nobody.
+pooled over their sources, languages with fewer over all such languages; where that pool has fewer too, its texts are
+judged by the estimate of all texts, however few there are.
 
 Everything is DataFrame functions. Null texts have no words, null languages and sources are groups like any other,
 ties share a bin and so a verdict, repeated rows have equal verdicts, extra columns do not matter, and an empty table
@@ -124,17 +125,22 @@ BROADCAST_GROUPS = 10_000
 
 
 def outliers(measured: DataFrame, min_group: int) -> DataFrame:
-    """`measured` with d2, the squared robust distance; null where no estimate can be made."""
+    """`measured` with d2, the squared robust distance; null where the base rules fail a group whole."""
     able = measured.where("not base_failed")
     sizes = able.groupBy("lang", "source").agg(F.count("*").alias("n"))
     pooled = F.sum(F.when(F.col("n") < min_group, F.col("n"))).over(Window.partitionBy("lang"))
     label = F.when(F.col("n") >= min_group, F.to_json(F.array("lang", "source"))).when(pooled >= min_group, F.to_json(F.array("lang"))).otherwise("[]")
     groups = keep(sizes.select("lang", "source", "n", label.alias("g")))
-    usable = keep(groups.groupBy("g").agg(F.sum("n").alias("size")).where(F.col("size") >= min_group))
+    left = groups.where("g = '[]'").agg(F.sum("n")).first()[0] or 0
+    # leftovers too few for an estimate of their own are judged by that of all texts
+    others = groups.where("g <> '[]'").unionByName(groups.withColumn("g", F.lit("[]")))
+    fed = others if 0 < left < min_group else groups
+    usable = keep(fed.groupBy("g").agg(F.sum("n").alias("size")))
     few = groups.count() <= BROADCAST_GROUPS
     hint = F.broadcast if few else (lambda df: df)
-    groups = groups.join(usable, "g").select(F.col("lang").alias("l"), F.col("source").alias("s"), "g", "size")
-    rows = able.join(hint(groups), able["lang"].eqNullSafe(F.col("l")) & able["source"].eqNullSafe(F.col("s"))).select("doc", "g", "size", *STATS)
+    fed = fed.join(usable, "g").select(F.col("lang").alias("l"), F.col("source").alias("s"), "g", "size")
+    groups = groups.select(F.col("lang").alias("l"), F.col("source").alias("s"), "g")
+    rows = able.join(hint(fed), able["lang"].eqNullSafe(F.col("l")) & able["source"].eqNullSafe(F.col("s"))).select("doc", "g", "size", *STATS)
 
     # the start: medians and median absolute deviations of values rounded to hundredths, so that few are distinct
     medians = rows.groupBy("g").agg(*(F.percentile(F.round(x, 2), F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(STATS)))
@@ -154,7 +160,7 @@ def outliers(measured: DataFrame, min_group: int) -> DataFrame:
         mean = [F.col(f"t{i}") / F.col("n") for i in range(len(STATS))]
         params = total.select("g", *(m.alias(f"m{i}") for i, m in enumerate(mean)), *((CONSISTENCY * (F.col(f"t{i}{j}") / F.col("n") - mean[i] * mean[j])).alias(f"s{i}{j}") for i, j in _pairs()))
         factors = keep(_factors(params))
-    keyed = measured.join(hint(groups), measured["lang"].eqNullSafe(F.col("l")) & measured["source"].eqNullSafe(F.col("s")), "left").drop("l", "s", "size")
+    keyed = measured.join(hint(groups), measured["lang"].eqNullSafe(F.col("l")) & measured["source"].eqNullSafe(F.col("s")), "left").drop("l", "s")
     return _far(keyed.join(hint(factors), "g", "left"))
 
 

@@ -300,6 +300,15 @@ def test_estimate_resists_a_quarter_of_outliers(spark):
     assert (out[out.doc % 5 == 0].d2 > quality.CUTOFF).all() and (out[out.doc % 5 > 0].d2 < quality.CUTOFF).all()
 
 
+def test_leftovers_are_judged_by_all_texts(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, "en" if k < 400 else "xx" if k < 430 else None, "s", 100, 500, 0, 0, 0, False, *rng.normal(5.0 if k in (3, 410, 435) else 0.0, 0.3, 5).tolist()) for k in range(440)]
+    kind = "doc bigint, lang string, source string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, x0 double, x1 double, x2 double, x3 double, x4 double"
+    for part in (rows, rows[400:]):
+        out = quality.outliers(spark.createDataFrame(part, kind), 200).toPandas()
+        assert len(out) == len(part) and set(out[out.d2 > quality.CUTOFF].doc) == {3, 410, 435} & {r[0] for r in part} and out.d2.notna().all()
+
+
 # toxicity
 
 
