@@ -28,6 +28,8 @@ from muster.llm.shingles import _BASE, _INVERSE, _LOWER, powers
 from muster.llm.tables import keep, load
 
 BITS = 20
+#: Partial counts are added up by slices of so many buckets.
+SLICE = 1 << 16
 SIZES = (4, 5, 6)
 
 
@@ -106,6 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, n_feat
     sample = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(marks), id_col)
     sample = keep(sample.select(F.col("toxic").cast("int"), "text").repartition(8))
 
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
         for marks, texts in batches(parts, 500_000):  # every n-gram of a batch is sorted
@@ -114,12 +118,20 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, n_feat
             for k in (0, 1):
                 sums[k] += np.bincount(bucket[marks[text] == k], minlength=1 << BITS).astype(np.int32)
                 n[k] += int((marks == k).sum())
-        at = np.flatnonzero(sums.sum(axis=0) >= 3)  # too rare to weigh anything
-        columns = [pa.array([n[0]]), pa.array([n[1]]), *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (at, sums[0][at], sums[1][at]))]
-        yield pa.RecordBatch.from_arrays(columns, names=["n0", "n1", "at", "other", "toxic"])
+        # the documents are counted with the first slice
+        slices = [(k, n[0] * (k == 0), n[1] * (k == 0), *(part.tobytes() for part in sums[:, k * SLICE : (k + 1) * SLICE])) for k in range((1 << BITS) // SLICE)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*slices, strict=True), kinds, strict=True)], names=["slice", "n0", "n1", "other", "toxic"])
+
+    def add(part: pa.Table) -> pa.Table:
+        """The sums of a slice over all partial counts; the floor holds for the sums."""
+        sums = [np.sum([np.frombuffer(x.as_py(), np.int32) for x in part.column(c)], axis=0, dtype=np.int32) for c in ("other", "toxic")]
+        at = np.flatnonzero(sums[0] + sums[1] >= 3).astype(np.int32)  # too rare to weigh anything
+        packed = [pa.array([x.tobytes()], pa.binary()) for x in (at + np.int32(part.column("slice")[0].as_py() * SLICE), sums[0][at], sums[1][at])]
+        return pa.Table.from_arrays([*(pa.array([sum(part.column(c).to_pylist())], pa.int64()) for c in ("n0", "n1")), *packed], names=["n0", "n1", "at", "other", "toxic"])
 
     total, n = np.zeros((2, 1 << BITS), np.int64), [0, 0]
-    for r in sample.mapInArrow(count, "n0 bigint, n1 bigint, at binary, other binary, toxic binary").collect():  # eight rows
+    partial = sample.mapInArrow(count, "slice int, n0 bigint, n1 bigint, other binary, toxic binary")
+    for r in partial.groupBy("slice").applyInArrow(add, "n0 bigint, n1 bigint, at binary, other binary, toxic binary").collect():  # a row a slice
         at = np.frombuffer(r.at, np.int32)
         total[0][at] += np.frombuffer(r.other, np.int32)
         total[1][at] += np.frombuffer(r.toxic, np.int32)

@@ -333,6 +333,16 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert all(r.score <= 0.5 for r in toxicity.score(odd, nobody).collect())
 
 
+def test_words_rare_in_every_partition_count(spark):
+    """A word in 9 of 400 documents, about one in each of eight partitions, is a feature with its whole count."""
+    rows = [(k, f"{'snotwaffle' if k < 9 else ''} {k * 7919 % 10007}", int(k < 20)) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    _, bucket = toxicity.buckets(["snotwaffle"])
+    weight = dict(zip(model.buckets.tolist(), model.weights, strict=True))
+    assert all(weight.get(b, 0) > 0 for b in bucket)
+
+
 def test_log_count_ratios():
     got = toxicity.log_count_ratios(np.array([5, 0]), np.array([1, 4]), 10, 20)
     assert got == pytest.approx([np.log(5.5 / 11 / (1.5 / 21)), np.log(0.5 / 11 / (4.5 / 21))])
