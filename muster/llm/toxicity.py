@@ -6,11 +6,12 @@ other labelled documents; the `n_features` buckets whose ratios weigh most keep
 and a logistic regression over these values gives the score.
 
 The model learns from at most about `max_labelled` labelled rows (all of them, if fewer), chosen by a hash of their
-key; that bound is why labels can be broadcast and the feature lists of the sample can come to the driver. Scoring
-is one pass over whole texts without a shuffle. A null or empty text has the score of no features. Labels are
-matched by key: repeated rows have equal scores, a null key never matches, of contradicting labels of one key the
-toxic one counts, null labels are ignored; without labels of both kinds every score is 0.5 at most and nothing is
-rejected. Extra columns are left out of the score and of its table.
+key; that bound is why labels can be broadcast and the regression is one task. The sample is counted in all tasks; only
+counts of buckets, of which there are 2**20 at most, and the coefficients come to the driver. Scoring is one pass over
+whole texts without a shuffle. A null or empty text has the score of no features. Labels are matched by key: repeated
+rows have equal scores, a null key never matches, of contradicting labels of one key the toxic one counts, null labels
+are ignored; without labels of both kinds every score is 0.5 at most and nothing is rejected. Extra columns are left out
+of the score and of its table.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,21 +78,32 @@ def log_count_ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other
     return np.log(p / q)
 
 
+#: Present features that a step of the regression holds at once.
+FIT_FEATURES = 1 << 19
+
+
 def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, values: np.ndarray, penalty: float = 0.01, steps: int = 300) -> tuple[float, np.ndarray]:
     """Bias and coefficients by gradient descent with momentum; rows hold the indices of present features."""
     n = len(rows)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    col = np.concatenate(rows).astype(np.int64) if n else np.zeros(0, np.int64)
-    scale = values[col] if len(col) else np.zeros(0)
+    sizes = np.array([len(r) for r in rows], np.int64)
+    col = np.concatenate(rows).astype(np.int32) if n else np.zeros(0, np.int32)
+    ends = np.cumsum(sizes)
+    # slices of rows, so that what a step computes for each present feature stays small
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(FIT_FEATURES, int(sizes.sum()) + FIT_FEATURES, FIT_FEATURES)) + 1, n).clip(0, n))
+    slices = [(a, b, int(ends[a - 1]) if a else 0, int(ends[b - 1])) for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True) if b > a]
     # a step no longer than the curvature allows
-    norms = np.bincount(row, scale**2, minlength=n)
-    rate = 1.0 / (0.25 * (1.0 + float(norms.mean())) + penalty)
+    squares = sum(float((values[col[first:last]] ** 2).sum()) for _, _, first, last in slices)
+    rate = 1.0 / (0.25 * (1.0 + squares / max(n, 1)) + penalty)
     w, b, vw, vb = np.zeros(len(values)), 0.0, np.zeros(len(values)), 0.0
     for _ in range(steps):
-        z = b + np.bincount(row, w[col] * scale, minlength=n)
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
-        gw = np.bincount(col, error[row] * scale, minlength=len(values)) + penalty * w / n
-        vw, vb = 0.9 * vw - rate * gw, 0.9 * vb - rate * float(error.sum())
+        gw, gb, scaled = np.zeros(len(values)), 0.0, w * values
+        for x, y, first, last in slices:
+            own, row = col[first:last], np.repeat(np.arange(y - x), sizes[x:y])
+            z = b + np.bincount(row, scaled[own], minlength=y - x)
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[x:y]) / n
+            gw += np.bincount(own, error[row], minlength=len(values))
+            gb += float(error.sum())
+        vw, vb = 0.9 * vw - rate * (gw * values + penalty * w / n), 0.9 * vb - rate * gb
         w, b = w + vw, b + vb
     return b, w
 
@@ -145,19 +158,19 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, n_feat
     wanted = np.zeros(1 << BITS, np.uint8)
     wanted[chosen] = 1
 
-    def present(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, y = [], []
         for marks, texts in batches(parts):
             text, bucket = buckets(texts, wanted)
             at = np.searchsorted(text, np.arange(1, len(texts)))
-            lists = [x.astype(np.int32).tobytes() for x in np.split(np.searchsorted(chosen, bucket), at)]
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int32()), pa.array(lists, pa.binary())], names=["toxic", "features"])
+            rows += np.split(np.searchsorted(chosen, bucket).astype(np.uint16 if len(chosen) <= 1 << 16 else np.int32), at)
+            y += marks
+        bias, coefficients = fit_logistic(rows, np.array(y, float), ratio[chosen])
+        yield pa.RecordBatch.from_arrays([pa.array([bias], pa.float64()), pa.array([coefficients.tolist()], pa.list_(pa.float64()))], names=["bias", "coefficients"])
 
-    rows, y = [], []
-    for r in sample.mapInArrow(present, "toxic int, features binary").collect():
-        rows.append(np.frombuffer(r.features, np.int32))
-        y.append(r.toxic)
-    bias, coefficients = fit_logistic(rows, np.array(y, float), ratio[chosen])
-    return Model(bias, chosen, coefficients * ratio[chosen])
+    # one task: the sample is bounded by `max_labelled`, and so is what a task holds of it, the places of its features
+    made = sample.coalesce(1).mapInArrow(fit, "bias double, coefficients array<double>").first()
+    return Model(made.bias, chosen, np.array(made.coefficients) * ratio[chosen])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +192,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
-def reject(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+def reject(docs: DataFrame, model: Model, threshold: float, text_col: str = "text", chars: int = 2_000_000) -> DataFrame:
     """The rows of `docs` whose texts score below `threshold`, with all their columns; no join, so keys do not matter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
@@ -188,8 +201,13 @@ def reject(docs: DataFrame, model: Model, threshold: float, text_col: str = "tex
         model = shared.value
         wanted, weight = model.tables()
         for batch in parts:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
+            ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(place)), 0).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < batch.num_rows:
+                # as many rows as hold `chars` characters, or a single longer text
+                upto = np.searchsorted(ends, (ends[first - 1] if first else 0) + chars, side="right")
+                part = batch.slice(first, max(1, int(upto) - first))
+                first += part.num_rows
                 texts = part.column(place).to_pylist()
                 text, bucket = buckets(texts, wanted)
                 z = model.bias + np.bincount(text, weight[bucket], minlength=len(texts))
