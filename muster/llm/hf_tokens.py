@@ -8,9 +8,11 @@ a text are those of its parts in turn:
 * ``word``: white space is dropped and letters are lower-cased. A part is a word.
 
 Words are runs of bytes other than space and the control characters 9 to 13. The memo is an open-addressing table
-from a part's 64-bit hash to a stretch of a pool of ids, so that a whole batch is looked up by a few array
-operations; the library encodes the parts that the memo lacks, and the memo is cleared when it holds `memo_size`
-parts. Null and empty texts have no ids. Special tokens' strings are ordinary text.
+from a part's bytes, up to 15 of them and their number in two 64-bit numbers, to a stretch of a pool of ids, so that a
+whole batch is looked up by a few array operations and bytes are always compared; longer parts, to `LONG` bytes, are
+held in a dictionary. The library encodes the parts that the memo lacks, and the memo is cleared when it holds
+`memo_size` parts. Null and empty texts have no ids. Texts that hold a special token's string go to the library whole,
+which gives that token's id, or with `special_as_text` the ids of its letters.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import re
 import numpy as np
 
 from muster.llm.bpe import mix
-from muster.llm.shingles import _BASE, _INVERSE, _LOWER, _SPACE, powers
+from muster.llm.shingles import _LOWER, _SPACE, eights, low_bytes
 
 #: Tokenizer files are read on the driver and sent to the executors; a larger one is refused.
 MAX_FILE_BYTES = 64 << 20
@@ -38,8 +40,12 @@ def read_tokenizer(path: str) -> str:
     return text
 
 
+#: Bytes up to which a part is held in the memo.
+LONG = 64
+
+
 class Memo:
-    """From hashes to stretches of ids."""
+    """From parts, as pairs of numbers, to stretches of ids."""
 
     def __init__(self, dtype: np.dtype):
         self.dtype = dtype
@@ -48,67 +54,84 @@ class Memo:
     def clear(self) -> None:
         self.used, self.filled = 0, 0
         self.pool = np.empty(1 << 16, self.dtype)
+        self.longer: dict[bytes, tuple[int, int]] = {}
         self._table(1 << 16)
 
     def _table(self, size: int) -> None:
-        self.mask = np.uint64(size - 1)
-        self.keys = np.zeros(size, np.uint64)  # 0: free
+        self.mask = size - 1
+        self.low, self.high = np.zeros(size, np.uint64), np.zeros(size, np.uint64)  # high 0: free
         self.begin, self.count = np.zeros(size, np.uint32), np.zeros(size, np.uint32)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Slots, -1 where a hash is not in the table."""
-        slot = (hashes & self.mask).astype(np.int64)
-        held = self.keys[slot]
-        slot[held == 0] = -1
-        open_ = np.flatnonzero((held != hashes) & (held != 0))
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix(low ^ mix(high)) & np.uint64(self.mask)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Slots, -1 where a part is not in the table."""
+        slot = self._slot(low, high)
+        held = self.high[slot]
+        free = held == 0
+        open_ = np.flatnonzero(~free & ((held != high) | (self.low[slot] != low)))
+        slot[free] = -1
         while len(open_):
-            slot[open_] = (slot[open_] + 1) & int(self.mask)
-            held = self.keys[slot[open_]]
-            slot[open_[held == 0]] = -1
-            open_ = open_[(held != hashes[open_]) & (held != 0)]
+            slot[open_] = at = (slot[open_] + 1) & self.mask
+            held = self.high[at]
+            free = held == 0
+            slot[open_[free]] = -1
+            open_ = open_[~free & ((held != high[open_]) | (self.low[at] != low[open_]))]
         return slot
 
-    def add(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Distinct hashes that the table lacks."""
+    def _take(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         counts = np.array([len(x) for x in ids], np.uint32)
         total = int(counts.sum())
         while self.used + total > len(self.pool):
             self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
-        self.pool[self.used : self.used + total] = np.concatenate(ids)
+        if total:
+            self.pool[self.used : self.used + total] = np.concatenate(ids)
         begin = (self.used + np.cumsum(counts) - counts).astype(np.uint32)
         self.used += total
-        if 2 * (self.filled + len(hashes)) > len(self.keys):
-            old = self.keys != 0
-            rest = self.keys[old], self.begin[old], self.count[old]
-            size = len(self.keys)
-            while 2 * (self.filled + len(hashes)) > size:
+        self.filled += len(ids)
+        return begin, counts
+
+    def add(self, low: np.ndarray, high: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Parts that the table lacks."""
+        if 2 * (self.filled + len(low)) > len(self.high):
+            old = self.high != 0
+            rest = self.low[old], self.high[old], self.begin[old], self.count[old]
+            size = len(self.high)
+            while 2 * (self.filled + len(low)) > size:
                 size *= 2
             self._table(size)
             self._place(*rest)
-        self._place(hashes, begin, counts)
-        self.filled += len(hashes)
+        self._place(low, high, *self._take(ids))
+
+    def add_longer(self, parts: list[bytes], ids: list[np.ndarray]) -> None:
+        self.longer.update(zip(parts, zip(*(x.tolist() for x in self._take(ids)), strict=True), strict=True))
 
-    def _place(self, hashes: np.ndarray, begin: np.ndarray, count: np.ndarray) -> None:
-        slot = (hashes & self.mask).astype(np.int64)
-        left = np.arange(len(hashes))
+    def _place(self, low: np.ndarray, high: np.ndarray, begin: np.ndarray, count: np.ndarray) -> None:
+        slot = self._slot(low, high)
+        left = np.arange(len(low))
         while len(left):
-            free = self.keys[slot[left]] == 0
+            free = self.high[slot[left]] == 0
             _, first = np.unique(slot[left[free]], return_index=True)
             now = left[free][first]
-            self.keys[slot[now]], self.begin[slot[now]], self.count[slot[now]] = hashes[now], begin[now], count[now]
-            left = left[self.keys[slot[left]] != hashes[left]]
-            slot[left] = (slot[left] + 1) & int(self.mask)
+            at = slot[now]
+            self.low[at], self.high[at], self.begin[at], self.count[at] = low[now], high[now], begin[now], count[now]
+            left = left[(self.high[slot[left]] != high[left]) | (self.low[slot[left]] != low[left])]
+            slot[left] = (slot[left] + 1) & self.mask
+
+
+_FIELDS = ("source", "kind", "memo_size", "special_as_text")
 
 
 class MemoTokenizer:
-    def __init__(self, source: str, kind: str, memo_size: int = 2_000_000):
+    def __init__(self, source: str, kind: str, memo_size: int = 2_000_000, special_as_text: bool = False):
         if kind not in ("byte", "word"):
             raise ValueError(f"no such kind of tokenizer: {kind}")
-        self.source, self.kind, self.memo_size = source, kind, memo_size
+        self.source, self.kind, self.memo_size, self.special_as_text = source, kind, memo_size, special_as_text
 
     def __getattr__(self, name: str):
         """The tokenizer and the memo are made where they are first used: on an executor, not on the driver."""
-        if name.startswith("__") or name in ("source", "kind", "memo_size"):
+        if name.startswith("__") or name in _FIELDS:
             raise AttributeError(name)
         self._ready()
         if name not in self.__dict__:
@@ -120,7 +143,9 @@ class MemoTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(self.source)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = self.special_as_text
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [] if self.special_as_text else special
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
         self.marks = np.zeros(self.vocab_size, bool)
@@ -129,7 +154,7 @@ class MemoTokenizer:
         self.memo = Memo(self.dtype)
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("source", "kind", "memo_size")}
+        return {k: self.__dict__[k] for k in _FIELDS}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -157,53 +182,74 @@ class MemoTokenizer:
                 out[x] = np.array(e.ids, self.dtype)
         return [out[x] for x in strings]
 
-    def _hash(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if self.kind == "word":
-            data = _LOWER[data]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=sums[1:])
-        h = mix((sums[ends] - sums[starts]) * powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
-        h[h == 0] = 1
-        return h
-
-    def _slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, split: bool = True) -> np.ndarray:
-        """The memo's slots of parts of `data`, after it has taken up those that it lacked."""
-        hashes = self._hash(data, starts, ends)
-        slots = self.memo.find(hashes)
-        if not (slots < 0).any():
-            return slots
-        _, first = np.unique(np.where(slots < 0, hashes, 0), return_index=True)
-        first = first[slots[first] < 0]
-        if self.memo.filled and self.memo.filled + len(first) > self.memo_size:
-            self.memo.clear()
-            return self._slots(data, starts, ends, split)
-        raw = data.tobytes()
-        new = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if split:
-            # a letter and a punctuation mark after it are never in one pre-token
-            cores = [x.rstrip(_TAIL) for x in new]
-            cut = [bool(c) and len(c) < len(x) and c[-1].lower().isalpha() for c, x in zip(cores, new, strict=True)]
-            halves = [h for c, x, s in zip(cores, new, cut, strict=True) for h in ((c, x[len(c) :]) if s else (x,))]
-            ids = iter(self._strings(halves))
-            made = [np.concatenate((next(ids), next(ids))) if s else next(ids) for s in cut]
-            first = first[np.array(cut)]  # the others are in the memo by now
-            made = [m for m, s in zip(made, cut, strict=True) if s]
+    def _find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, split: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the memo's pool the ids of parts of `data` begin, and how many they are; the memo takes up those that
+        it lacked. Parts with a punctuation mark after a letter are first cut there, if `split`."""
+        n = ends - starts
+        begin, count = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        short = np.flatnonzero(n <= 15)
+        ahead, a, m = eights(data), starts[short], n[short]
+        low = ahead[a] & low_bytes(np.minimum(m, 8))
+        high = np.where(m > 8, ahead[np.minimum(a + 8, len(data))] & low_bytes(np.maximum(m - 8, 0)), np.uint64(0)) | m.astype(np.uint64) << np.uint64(56)
+        slots = self.memo.find(low, high)
+        lacking = np.flatnonzero(slots < 0)
+        raw, longer = None, np.flatnonzero(n > 15).tolist()
+        if len(lacking) or longer:
+            raw = data.tobytes()
+        if len(lacking):
+            by = lacking[np.lexsort((low[lacking], high[lacking]))]
+            first = by[np.concatenate(([True], (low[by[1:]] != low[by[:-1]]) | (high[by[1:]] != high[by[:-1]])))]
         else:
-            made = self._library(new)
-        if made:
-            lacking = self.memo.find(hashes[first]) < 0
-            self.memo.add(hashes[first[lacking]], [m for m, x in zip(made, lacking.tolist(), strict=True) if x] or [np.zeros(0, self.dtype)])
-        return self.memo.find(hashes)
-
-    def _strings(self, strings: list[str]) -> list[np.ndarray]:
-        raw = [s.encode("utf-8", "surrogatepass") for s in strings]
-        ends = np.cumsum([len(r) for r in raw])
-        slots = self._slots(np.frombuffer(b"".join(raw), np.uint8), ends - np.array([len(r) for r in raw]), ends, split=False)
-        begin = self.memo.begin[slots].astype(np.int64)
-        return [self.memo.pool[a:b] for a, b in zip(begin.tolist(), (begin + self.memo.count[slots]).tolist(), strict=True)]
+            first = lacking
+        own = [raw[x:y] for x, y in zip(starts[longer].tolist(), ends[longer].tolist(), strict=True)] if longer else []
+        new = list({p for p in own if p not in self.memo.longer})
+        if self.memo.filled and self.memo.filled + len(first) + len(new) > self.memo_size:
+            self.memo.clear()
+            return self._find(data, starts, ends, split)
+        if len(first) or new:
+            parts = [raw[x:y] for x, y in zip(starts[short[first]].tolist(), ends[short[first]].tolist(), strict=True)] + new
+            made = self._ids([p.decode("utf-8", "surrogatepass") for p in parts], split)
+            if len(first):
+                # parts that were cut may have become known meanwhile
+                still = (self.memo.find(low[first], high[first]) < 0).tolist()
+                some = first[np.array(still)]
+                if len(some):
+                    self.memo.add(low[some], high[some], [x for x, s in zip(made, still, strict=False) if s])
+                slots = self.memo.find(low, high)
+            kept = [(p, x) for p, x in zip(new, made[len(first) :], strict=True) if len(p) <= LONG]
+            if kept:
+                self.memo.add_longer(*map(list, zip(*kept, strict=True)))
+        begin[short], count[short] = self.memo.begin[slots], self.memo.count[slots]
+        if longer:
+            once = {p: x for p, x in zip(new, made[len(first) :], strict=True) if len(p) > LONG} if new else {}
+            if once:  # of this batch alone: in the pool, but not in the memo
+                at, counts = self.memo._take(list(once.values()))
+                once = dict(zip(once, zip(at.tolist(), counts.tolist(), strict=True), strict=True))
+            found = [self.memo.longer.get(p) or once[p] for p in own]
+            begin[longer], count[longer] = zip(*found, strict=True)
+        return begin, count
+
+    def _ids(self, strings: list[str], split: bool) -> list[np.ndarray]:
+        if not split:
+            return self._library(strings)
+        # a letter and a punctuation mark after it are never in one pre-token
+        cores = [x.rstrip(_TAIL) for x in strings]
+        cut = [bool(c) and len(c) < len(x) and c[-1].lower().isalpha() for c, x in zip(cores, strings, strict=True)]
+        halves = [h for c, x, s in zip(cores, strings, cut, strict=True) for h in ((c, x[len(c) :]) if s else (x,))]
+        raw = [s.encode("utf-8", "surrogatepass") for s in halves]
+        sizes = np.array([len(r) for r in raw])
+        ends = np.cumsum(sizes)
+        begin, count = self._find(np.frombuffer(b"".join(raw), np.uint8), ends - sizes, ends, split=False)
+        ids = iter([self.memo.pool[a : a + n] for a, n in zip(begin.tolist(), count.tolist(), strict=True)])
+        return [np.concatenate((next(ids), next(ids))) if s else next(ids) for s in cut]
+
+    def _special_in(self, text: str) -> bool:
+        """Whether a text holds a special token's string, or would once its letters are lower-cased."""
+        return any(s in text or self.kind == "word" and (s[0].isalpha() or s[0] in text) and s.lower() in text.lower() for s in self.special)
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        whole = {k for k, t in enumerate(texts) if t and self.kind == "byte" and _WIDE_SPACE.search(t)}
+        self.memo  # made by now, and with it the list of special tokens
+        whole = {k for k, t in enumerate(texts) if t and (self.kind == "byte" and _WIDE_SPACE.search(t) or self._special_in(t))}
         raw = [(t or "").encode("utf-8", "surrogatepass") if k not in whole else b"" for k, t in enumerate(texts)]
         data = np.frombuffer(b"\n".join(raw), np.uint8)
         first = np.cumsum([0] + [len(r) + 1 for r in raw])[:-1]
@@ -223,8 +269,7 @@ class MemoTokenizer:
         if not len(starts):
             out = [np.zeros(0, self.dtype) for _ in texts]
         else:
-            slots = self._slots(data, starts, ends)
-            counts, begin = self.memo.count[slots].astype(np.int64), self.memo.begin[slots].astype(np.int64)
+            begin, counts = self._find(_LOWER[data] if self.kind == "word" else data, starts, ends)
             upto = np.cumsum(counts)
             ids = self.memo.pool[np.repeat(begin - upto + counts, counts) + np.arange(int(upto[-1]))]
             bounds = np.concatenate(([0], upto))[np.searchsorted(starts, np.append(first, len(data) + 1))]
