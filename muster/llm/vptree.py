@@ -4,7 +4,8 @@ Inner products are turned into distances: with M the largest norm of a shard, a
 sqrt(M^2 - |x|^2) and a query the component 0; then |q - x|^2 = |q|^2 + M^2 - 2 q.x, so the nearest has the largest
 inner product. A tree's node holds a vantage point and the median distance to it; a search goes into the nearer
 half first and into the other half unless its bound exceeds `factor` times the k-th distance found so far. Factor
-1 is the triangle inequality and gives exact results; a smaller one gives up some of them.
+1 is the triangle inequality and gives exact results; a smaller one gives up some of them. Rows as near as the last
+one found are all collected and decided by their scores in double precision, then by their keys.
 
 Every valid row is indexed, in shards of about `shard_rows` rows chosen by a hash of the key. Each shard's tree is
 built once; each block of `block_queries` queries meets each tree in a task of its own, so neither side is ever
@@ -17,6 +18,7 @@ vector counts once a shard; extra columns are left out. Without valid rows there
 from __future__ import annotations
 
 import io
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,9 @@ from pyspark.sql import functions as F
 from muster.llm.tables import keep, load
 
 
+#: Pairs of a query and a row that a search holds before it keeps the best.
+MAX_PAIRS = 1 << 21
+
 #: Different vector lengths up to which their table of shards is broadcast.
 MAX_LENGTHS = 10_000
 
@@ -56,47 +61,70 @@ class VpTree:
         self.nodes[me] = (a, b, vantage, float(d[by[mid]]), inner, outer)
         return me
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and rows of the k nearest found of each query, in no order; missing ones are inf and -1."""
+    def search(self, queries: np.ndarray, k: int, factor: float, least: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, row): the k nearest rows found of each query and, but for what `least` leaves of them, all that
+        are as near as the k-th, since rounding must not decide between equally near ones.
+
+        A first descent finds the k-th distance, a second one collects what is within it. `least` gets pairs and says
+        which to keep; it is asked whenever many have been collected, so that ties never fill the memory.
+        """
         n = len(queries)
-        self.best = np.full((n, k), np.inf)
-        self.rows = np.full((n, k), -1)
-        self.kth = np.full(n, np.inf)
         self.q, self.k, self.factor = queries, k, factor
         self.squares = (queries**2).sum(axis=1)
         self.leafs = (self.points**2).sum(axis=1)
+        self.best = np.full((n, k), np.inf)
+        self.kth = np.full(n, np.inf)
         self.visited = 0
-        self._visit(self.root, np.arange(n))
-        return self.best, self.rows
+        self._descend(self.root, np.arange(n), self._nearest)
+        # squared distances are known to about 16 digits of the squares that they come from
+        self.within = self.kth**2 + 1e-12 * (self.squares + self.leafs.max(initial=0.0))
+        self.kth = np.sqrt(self.within)
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held, self.least = 0, least
+        self._descend(self.root, np.arange(n), self._collect)
+        self._compact()
+        return self.found[0]
+
+    def _squared(self, who: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return np.maximum(self.squares[who, None] + self.leafs[rows][None, :] - 2 * self.q[who] @ self.points[rows].T, 0)
+
+    def _nearest(self, who: np.ndarray, rows: np.ndarray) -> None:
+        d = np.sqrt(self._squared(who, rows))
+        self.visited += d.size
+        some = (d < self.kth[who, None]).any(axis=1)
+        who, d = who[some], d[some]
+        if len(who):
+            d = np.concatenate((self.best[who], d), axis=1)
+            self.best[who] = np.partition(d, self.k - 1, axis=1)[:, : self.k]
+            self.kth[who] = self.best[who].max(axis=1)
+
+    def _collect(self, who: np.ndarray, rows: np.ndarray) -> None:
+        q, r = np.nonzero(self._squared(who, rows) <= self.within[who, None])
+        self.found.append((who[q], rows[r]))
+        self.held += len(q)
+        if self.held > MAX_PAIRS:
+            self._compact()
 
-    def _visit(self, node: int, who: np.ndarray) -> None:
+    def _compact(self) -> None:
+        who, rows = (np.concatenate([f[k] for f in self.found]) if self.found else np.zeros(0, np.int64) for k in (0, 1))
+        kept = self.least(who, rows)
+        self.found, self.held = [(who[kept], rows[kept])], len(kept)
+
+    def _descend(self, node: int, who: np.ndarray, at_leaf: Callable[[np.ndarray, np.ndarray], None]) -> None:
         a, b, vantage, radius, inner, outer = self.nodes[node]
         if vantage < 0:
-            rows = self.order[a:b]
-            d = self.squares[who, None] + self.leafs[rows][None, :] - 2 * self.q[who] @ self.points[rows].T
-            d = np.sqrt(np.maximum(d, 0))
-            self.visited += d.size
-            some = (d < self.kth[who, None]).any(axis=1)
-            who, d = who[some], d[some]
-            if not len(who):
-                return
-            all_d = np.concatenate((self.best[who], d), axis=1)
-            all_rows = np.concatenate((self.rows[who], np.broadcast_to(rows, d.shape)), axis=1)
-            at = np.argpartition(all_d, self.k - 1, axis=1)[:, : self.k]
-            self.best[who] = np.take_along_axis(all_d, at, axis=1)
-            self.rows[who] = np.take_along_axis(all_rows, at, axis=1)
-            self.kth[who] = self.best[who].max(axis=1)
+            at_leaf(who, self.order[a:b])
             return
         d = np.linalg.norm(self.q[who] - self.points[vantage], axis=1)
         within = d < radius
         for near, far, group in ((inner, outer, within), (outer, inner, ~within)):
             mine, dist = who[group], np.abs(d[group] - radius)
             if len(mine):
-                self._visit(near, mine)
+                self._descend(near, mine, at_leaf)
                 # a little slack, so that rounding never hides an equally near row
                 left = dist <= self.factor * self.kth[mine] + 1e-9
                 if left.any():
-                    self._visit(far, mine[left])
+                    self._descend(far, mine[left], at_leaf)
 
 
 def _blob(**arrays: np.ndarray) -> bytes:
@@ -156,27 +184,36 @@ def _load_tree(data: bytes) -> tuple[VpTree, dict]:
 def _search(k: int, factor: float):
     def run(table: pa.Table) -> pa.Table:
         blobs = {kind: data for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True)}
-        ids, ranks, found, scores = [], [], [], []
+        ids, found, scores = [], [], []
         if len(blobs) == 2:
             tree, held = _load_tree(blobs["tree"])
             block = np.load(io.BytesIO(blobs["block"]))
             q, q_keys = block["x"], block["keys"]
             lifted = np.concatenate((q, np.zeros((len(q), 1))), axis=1)
-            # one more than asked: the query's own row is among the rows
-            _, rows = tree.search(lifted, min(k + 1, len(held["x"])), factor)
             starts = np.searchsorted(held["owner"], np.arange(len(held["x"]) + 1))
-            for n, key in enumerate(q_keys.tolist()):
-                own = np.sort(rows[n][rows[n] >= 0])
-                score = (held["x"][own] * q[n]).sum(axis=1)
-                counts = starts[own + 1] - starts[own]
-                at = np.repeat(starts[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-                keys, s = held["keys"][at], np.repeat(score, counts)
-                other = keys != key
-                keys, s = keys[other], s[other]
-                by = np.lexsort((keys, -s))[:k]
-                ids += [key] * len(by)
-                found += keys[by].tolist()
-                scores += s[by].tolist()
+            smallest = held["keys"][starts[:-1]]
+
+            def scores_of(who: np.ndarray, rows: np.ndarray) -> np.ndarray:
+                parts = [(held["x"][rows[a : a + 8192]] * q[who[a : a + 8192]]).sum(axis=1) for a in range(0, len(who), 8192)]
+                return np.concatenate(parts) if parts else np.zeros(0)
+
+            def least(who: np.ndarray, rows: np.ndarray) -> np.ndarray:
+                """The k + 1 best rows of each query, ties by their smallest keys; one may be the query's own."""
+                by = np.lexsort((smallest[rows], -scores_of(who, rows), who))
+                first = np.searchsorted(who[by], np.arange(len(q)))
+                return by[np.arange(len(by)) - first[who[by]] <= k]
+
+            # one more than asked: the query's own row is among the rows
+            who, rows = tree.search(lifted, min(k + 1, len(held["x"])), factor, least)
+            score = scores_of(who, rows)
+            counts = starts[rows + 1] - starts[rows]
+            at = np.repeat(starts[rows] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+            who, score, keys = np.repeat(who, counts), np.repeat(score, counts), held["keys"][at]
+            other = keys != q_keys[who]
+            who, score, keys = who[other], score[other], keys[other]
+            by = np.lexsort((keys, -score, who))
+            best = by[np.arange(len(by)) - np.searchsorted(who[by], np.arange(len(q)))[who[by]] < k]
+            ids, found, scores = q_keys[who[best]], keys[best], score[best]
         return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     return run
