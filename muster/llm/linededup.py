@@ -14,6 +14,7 @@ chunk after a line where it is 0 modulo `AVERAGE`. A chunk has at least MIN_LINE
 shorter) and at most MAX_LINES; chunks are compared by 128-bit digests, then by their bytes. It leaves the ends of
 passages, and most short ones, standing; no query uses it.
 
+A place is removed only from rows of its key whose text has the pair there; other texts of that key stay as they are.
 A null or empty text has one empty line or none and is left as it is. Equal rows (same key, same text) hold the same
 first occurrence and stay both; rows with a null key come first in key order and are never changed. Texts are cut
 whole whatever their length. Extra columns are kept.
@@ -160,11 +161,17 @@ def _line_bytes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_passages(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Removes the pairs of lines at `nos` (no, d1, d2) from texts that have those lines there."""
     for batch in parts:
         texts, lines, gone, removed = [], [], [], []
         for text, nos in zip(batch.column("text").to_pylist(), batch.column("nos").to_pylist(), strict=True):
             own = text.split("\n") if text is not None else []
-            drop = {k for no in nos or () for k in (no, no + 1) if k < len(own)}
+            hashes = _line_hashes([own[k] for no in nos or () for k in (no["no"], no["no"] + 1) if k < len(own)])
+            drop = set()
+            for no in nos or ():
+                k = no["no"]
+                if k + 1 < len(own) and hashes[own[k]] == no["d1"] and hashes[own[k + 1]] == no["d2"]:
+                    drop |= {k, k + 1}
             if drop:
                 text = "\n".join(line for k, line in enumerate(own) if k not in drop)
             texts.append(text)
@@ -175,6 +182,11 @@ def _cut_passages(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-2], "text", "n_lines", "removed_chunks", "removed_lines"])
 
 
+def _line_hashes(lines: list[str]) -> dict[str, int]:
+    """Of each line its hash as a signed number, as tables hold it."""
+    return {line: h - (1 << 64) if (h := _line_hash(data)) >> 63 else h for line, data in zip(lines, _encoded(lines), strict=True)}
+
+
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs` by their names, the text without repeated passages, and n_lines, removed_chunks (runs of
     lines) and removed_lines (in place of extra columns of these names)."""
@@ -190,7 +202,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sure = doomed.select("d1", "d2", "doc", "no")
     for d in ("d1", "d2"):
         sure = sure.join(clashing.withColumnRenamed("h", d), d, "left_anti")
-    nos = sure.groupBy("doc").agg(F.collect_set("no").alias("nos"))
+    nos = sure.groupBy("doc").agg(F.collect_set(F.struct("no", "d1", "d2")).alias("nos"))
     return _shaped(docs, nos, _cut_passages, id_col, text_col)
 
 
@@ -198,7 +210,9 @@ def _shaped(docs: DataFrame, nos: DataFrame, cut: Callable, id_col: str, text_co
     added = ("n_lines", "removed_chunks", "removed_lines")
     others = [c for c in docs.columns if c not in (text_col, *added)]
     sides = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)), F.col(text_col).alias("text"), F.col(id_col).cast("bigint").alias("doc"))
-    joined = sides.join(nos, "doc", "left").select(*(f"c{k}" for k in range(len(others))), "text", "nos")
+    # rows without a key have no places; they are not sent to one task
+    keyless = sides.where("doc is null").withColumn("nos", F.lit(None).cast(nos.schema["nos"].dataType))
+    joined = sides.where("doc is not null").join(nos, "doc", "left").unionByName(keyless).select(*(f"c{k}" for k in range(len(others))), "text", "nos")
     kinds = {f"c{k}": docs.schema[c].dataType.simpleString() for k, c in enumerate(others)}
     schema = ", ".join([*(f"{c} {t}" for c, t in kinds.items()), "text string, n_lines bigint, removed_chunks bigint, removed_lines bigint"])
     out = joined.mapInArrow(cut, schema)
