@@ -6,14 +6,16 @@ fewer than 50 words, or if more than half of its words lie in three-word windows
 The others are judged by how far their statistics lie from those of their language and source. The vector of a text:
 words a line and characters a word, symbols a word, and the shares of repeated lines and of repeated words, each by a
 transformation that evens out its tail. Per group, the minimum-covariance-determinant estimate of location and
-scatter is found by concentration: from medians and absolute deviations, `STEPS` times the mean and covariance of the
-`KEEP` share of texts with the smallest Mahalanobis distances. Texts farther than `CUTOFF` (squared) are rejected.
-Scatter is floored in each statistic by `FLOOR`, since most texts of a clean group have no symbols at all and an
+scatter is found by concentration: from each of three deterministic starts, the mean and covariance of the `KEEP` share
+of texts with the smallest Mahalanobis distances, again and again until nothing changes (`STEPS` times at most); of the
+results the one whose scatter has the smallest determinant. Texts farther than `CUTOFF` (squared) are rejected. Scatter
+is floored in each statistic by `FLOOR`, since most texts of a clean group have no symbols at all and an
 exact zero would make the first symbol an outlier.
 
 Distances are sorted by counting: their logarithms fall into bins a 32nd wide, and each step is one map-side
-combined aggregation of counts, sums and products a bin, then a running count over a group's few bins. So a group
-of any size is never in one task, and the outcome depends on no order. Groups with fewer than `min_group` texts are
+combined aggregation of counts, sums and products a bin, then a running count over a group's few bins; the share kept is
+rounded up to a whole bin. So a group of any size is never in one task. Statistics are whole thousandths and sums whole
+numbers, so the outcome depends on no order. Groups with fewer than `min_group` texts are
 pooled over their sources, languages with fewer over all such languages; where that pool has fewer too, its texts are
 judged by the estimate of all texts, however few there are.
 
@@ -24,6 +26,8 @@ gives no rows. Texts are measured whole; repeats are found by sorting a text's w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +35,7 @@ from muster.llm.tables import keep, load
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
-KEEP, STEPS, BINS = 0.75, 4, 32
+KEEP, STEPS, BINS, SCALE = 0.75, 12, 32, 1000.0
 STATS = ("x0", "x1", "x2", "x3", "x4")
 #: The least standard deviation of each statistic.
 FLOOR = (0.6, 0.25, 0.05, 0.15, 0.15)
@@ -92,8 +96,8 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(STATS)) for j in range(i, len(STATS))]
 
 
-def _factors(params: DataFrame) -> DataFrame:
-    """Of each group: m0.. and the entries of the inverse of the Cholesky factor, so that rows only multiply."""
+def _factors(params: DataFrame, *others: str) -> DataFrame:
+    """Of each group (and `others`): m0.. and the entries of the Cholesky factor, so that rows only multiply."""
     p = len(STATS)
     state = params
     for i in range(p):
@@ -102,7 +106,7 @@ def _factors(params: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             state = state.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return state.select("g", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
+    return state.select("g", *others, *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
 
 
 def _far(joined: DataFrame) -> DataFrame:
@@ -124,6 +128,70 @@ def _far(joined: DataFrame) -> DataFrame:
 BROADCAST_GROUPS = 10_000
 
 
+def _sums(values: list[Column]) -> list[Column]:
+    """Sums and sums of products of whole numbers: they do not depend on the order of adding."""
+    return [F.sum(v).alias(f"t{i}") for i, v in enumerate(values)] + [F.sum(values[i] * values[j]).alias(f"t{i}{j}") for i, j in _pairs()]
+
+
+def _moments(scale: float, factor: float) -> list[Column]:
+    """Means and covariances, times `factor`, from such sums of values times `scale`."""
+    mean = [F.col(f"t{i}") / F.col("n") for i in range(len(STATS))]
+    cov = {(i, j): (F.col(f"t{i}{j}") / F.col("n") - mean[i] * mean[j]) for i, j in _pairs()}
+    return [(m / scale).alias(f"m{i}") for i, m in enumerate(mean)] + [(factor * c / scale**2).alias(f"s{i}{j}") for (i, j), c in cov.items()]
+
+
+def _starts(rows: DataFrame, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Three estimates of each group (g, start, m0.., s00..) to begin with, all around the medians and with the median
+    absolute deviations as scales: uncorrelated; with the correlations of the hyperbolic tangents of the standardised
+    values; and with those of their directions."""
+    n = len(STATS)
+    medians = rows.groupBy("g").agg(*(F.percentile(F.round(F.col(f"q{i}") / SCALE, 2), F.lit(0.5)).alias(f"c{i}") for i in range(n)))
+    spread = rows.join(hint(medians), "g").groupBy("g").agg(*(F.percentile(F.round(F.abs(F.col(f"q{i}") / SCALE - F.col(f"c{i}")), 2), F.lit(0.5)).alias(f"a{i}") for i in range(n)))
+    centre = keep(medians.join(spread, "g").select("g", *(f"c{i}" for i in range(n)), *(F.greatest(1.4826 * F.col(f"a{i}"), F.lit(FLOOR[i])).alias(f"a{i}") for i in range(n))))
+    z = rows.join(hint(centre), "g").select("g", *((F.col(f"q{i}") / SCALE - F.col(f"c{i}")).alias(f"z{i}") for i in range(n)), *(F.col(f"a{i}") for i in range(n)))
+    z = z.select("g", *((F.col(f"z{i}") / F.col(f"a{i}")).alias(f"z{i}") for i in range(n)))
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, n)), F.col("z0") * F.col("z0")))
+    whole = lambda c: F.round(c * SCALE).cast("bigint")
+    bent = F.struct(F.lit(1).alias("start"), *(whole(F.tanh(f"z{i}")).alias(f"u{i}") for i in range(n)))
+    turned = F.struct(F.lit(2).alias("start"), *(F.when(length > 0, whole(F.col(f"z{i}") / length)).otherwise(F.lit(0).cast("bigint")).alias(f"u{i}") for i in range(n)))
+    u = z.select("g", F.explode(F.array(bent, turned)).alias("u")).select("g", "u.*")
+    shape = u.groupBy("g", "start").agg(F.count("*").alias("n"), *_sums([F.col(f"u{i}") for i in range(n)])).select("g", "start", *_moments(SCALE, 1.0)).join(hint(centre), "g")
+    both = lambda i, j: F.sqrt(F.greatest(F.col(f"s{i}{i}") * F.col(f"s{j}{j}"), F.lit(0.0)))
+    corr = lambda i, j: F.coalesce(F.col(f"s{i}{j}") / F.nullif(both(i, j), F.lit(0.0)), F.lit(0.0))
+    scaled = [((F.lit(1.0) if i == j else corr(i, j)) * F.col(f"a{i}") * F.col(f"a{j}")).alias(f"s{i}{j}") for i, j in _pairs()]
+    shaped = shape.select("g", "start", *(F.col(f"c{i}").alias(f"m{i}") for i in range(n)), *scaled)
+    plain = centre.select("g", F.lit(0).alias("start"), *(F.col(f"c{i}").alias(f"m{i}") for i in range(n)), *((F.col(f"a{i}") * F.col(f"a{i}") if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in _pairs()))
+    return plain.unionByName(shaped)
+
+
+def estimates(rows: DataFrame, few: bool = True) -> DataFrame:
+    """Of each group of rows (g, size, q0..: whole thousandths of the statistics) the factors (m0.., l00..) of the
+    minimum-covariance-determinant estimate: of all starts, each concentrated until nothing changes (at most `STEPS`
+    times), the one with the smallest determinant; the first on ties. `few`: groups are so few that they are broadcast."""
+    hint = F.broadcast if few else (lambda df: df)
+    n = len(STATS)
+    factors = keep(_factors(_starts(rows, hint), "start"))
+    values = rows.select("g", "size", *(F.col(f"q{i}") for i in range(n)), *((F.col(f"q{i}") / SCALE).alias(x) for i, x in enumerate(STATS)))
+    before = None
+    for _ in range(STEPS):
+        far = _far(values.join(hint(factors), "g"))
+        binned = far.withColumn("bin", F.floor(F.log(F.greatest("d2", F.lit(1e-6))) * BINS))
+        bins = binned.groupBy("g", "start", "bin").agg(F.count("*").alias("n"), F.max("size").alias("size"), *_sums([F.col(f"q{i}") for i in range(n)]))
+        inner = Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        kept = bins.withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0))).where(F.col("before") < F.ceil(KEEP * F.col("size")))
+        names = ["n", *(f"t{i}" for i in range(n)), *(f"t{i}{j}" for i, j in _pairs())]
+        total = keep(kept.groupBy("g", "start").agg(*(F.sum(c).alias(c) for c in names)))
+        # the innermost share of a normal sample has a smaller scatter than the whole, by a known factor
+        factors = keep(_factors(total.select("g", "start", *_moments(SCALE, CONSISTENCY)), "start"))
+        if before is not None and not total.join(hint(before), ["g", "start", *names], "left_anti").limit(1).count():
+            break
+        before = total
+    determinant = sum((F.log(f"l{i}{i}") for i in range(1, n)), F.log("l00"))
+    rest = [c for c in factors.columns if c != "g"]
+    best = factors.groupBy("g").agg(F.min_by(F.struct(*rest), F.struct(determinant, "start")).alias("b"))
+    return keep(best.select("g", "b.*").drop("start"))
+
+
 def outliers(measured: DataFrame, min_group: int) -> DataFrame:
     """`measured` with d2, the squared robust distance; null where the base rules fail a group whole."""
     able = measured.where("not base_failed")
@@ -140,28 +208,12 @@ def outliers(measured: DataFrame, min_group: int) -> DataFrame:
     hint = F.broadcast if few else (lambda df: df)
     fed = fed.join(usable, "g").select(F.col("lang").alias("l"), F.col("source").alias("s"), "g", "size")
     groups = groups.select(F.col("lang").alias("l"), F.col("source").alias("s"), "g")
-    rows = able.join(hint(fed), able["lang"].eqNullSafe(F.col("l")) & able["source"].eqNullSafe(F.col("s"))).select("doc", "g", "size", *STATS)
-
-    # the start: medians and median absolute deviations of values rounded to hundredths, so that few are distinct
-    medians = rows.groupBy("g").agg(*(F.percentile(F.round(x, 2), F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(STATS)))
-    spread = rows.join(hint(medians), "g").groupBy("g").agg(*(F.percentile(F.round(F.abs(F.col(x) - F.col(f"m{i}")), 2), F.lit(0.5)).alias(f"a{i}") for i, x in enumerate(STATS)))
-    start = medians.join(spread, "g")
-    params = start.select("g", *(f"m{i}" for i in range(len(STATS))), *((F.pow(1.4826 * F.col(f"a{i}"), 2) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in _pairs()))
-    factors = keep(_factors(params))
-    for _ in range(STEPS):
-        far = _far(rows.join(hint(factors), "g"))
-        binned = far.withColumn("bin", F.floor(F.log(F.greatest("d2", F.lit(1e-6))) * BINS))
-        sums = [F.count("*").alias("n"), F.max("size").alias("size")] + [F.sum(x).alias(f"t{i}") for i, x in enumerate(STATS)] + [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"t{i}{j}") for i, j in _pairs()]
-        bins = binned.groupBy("g", "bin").agg(*sums)
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        kept = bins.withColumn("before", before).where(F.col("before") < F.ceil(KEEP * F.col("size")))
-        total = kept.groupBy("g").agg(F.sum("n").alias("n"), *(F.sum(f"t{i}").alias(f"t{i}") for i in range(len(STATS))), *(F.sum(f"t{i}{j}").alias(f"t{i}{j}") for i, j in _pairs()))
-        # the innermost share of a normal sample has a smaller scatter than the whole, by a known factor
-        mean = [F.col(f"t{i}") / F.col("n") for i in range(len(STATS))]
-        params = total.select("g", *(m.alias(f"m{i}") for i, m in enumerate(mean)), *((CONSISTENCY * (F.col(f"t{i}{j}") / F.col("n") - mean[i] * mean[j])).alias(f"s{i}{j}") for i, j in _pairs()))
-        factors = keep(_factors(params))
+    whole = [F.round(F.col(x) * SCALE).cast("bigint").alias(f"q{i}") for i, x in enumerate(STATS)]
+    rows = able.join(hint(fed), able["lang"].eqNullSafe(F.col("l")) & able["source"].eqNullSafe(F.col("s"))).select("g", "size", *whole)
+    factors = estimates(rows, few)
     keyed = measured.join(hint(groups), measured["lang"].eqNullSafe(F.col("l")) & measured["source"].eqNullSafe(F.col("s")), "left").drop("l", "s")
-    return _far(keyed.join(hint(factors), "g", "left"))
+    exact = keyed.withColumns({x: F.round(F.col(x) * SCALE) / SCALE for x in STATS})
+    return _far(exact.join(hint(factors), "g", "left"))
 
 
 #: For a normal vector of 5 statistics and the innermost 75 %: 0.75 / P(chi2 with 7 degrees <= the 75 % point with 5).
