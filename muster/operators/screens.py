@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+
+from muster.operators.accuracy import ratio
 
 #: Titles and their event codes, in the order in which they are tried.
 TITLES = (
@@ -37,45 +34,44 @@ def titles(spark: SparkSession, event_types: DataFrame | None = None) -> list[tu
     return list(TITLES)
 
 
-def closeness(title: str, header: str) -> float:
-    """The best ratio of a title with a run of words of the header that is at most EXTRA characters longer."""
-    words, best = header.split(), 0.0
-    ends = [0]
-    for w in words:
-        ends.append(ends[-1] + len(w) + 1)
-    joined = " ".join(words)
-    for i in range(len(words)):
-        for j in range(i + 1, len(words) + 1):
-            run = joined[ends[i] : ends[j] - 1]
-            if len(run) > len(title) + EXTRA:
-                break
-            best = max(best, SequenceMatcher(None, title, run).ratio())
-    return best
+def _runs(words: Column, longest: int) -> Column:
+    """All runs of neighbouring words of `longest` characters at most."""
+    n = F.size(words)
+    run = lambda i, j: F.array_join(F.slice(words, i + 1, j), " ")
+    # a run of n words has 2 n - 1 characters at least
+    some = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i, F.lit((longest + 1) // 2))), lambda j: run(i, j)))
+    return F.array_distinct(F.filter(F.flatten(some), lambda r: F.length(r) <= longest))
+
+
+def near_titles(headers: DataFrame, known: list[tuple[str, str]], above: float = FUZZY_ABOVE) -> DataFrame:
+    """(header, code) of the title that comes closest to some run of a header's words, if it comes close enough; on ties
+    the title tried first. A run is compared with titles at most EXTRA characters shorter, of SHORTEST characters or more,
+    and only where their lengths allow such a ratio."""
+    able = [(k, t, c) for k, (t, c) in enumerate(known) if len(t) >= SHORTEST]
+    if not able:
+        return headers.select("header", F.lit(None).cast("string").alias("code")).limit(0)
+    words = F.filter(F.split("header", r"\s+"), lambda w: w != "")
+    runs = headers.select("header").distinct().where(F.size(words) > 0)
+    runs = runs.select("header", F.explode(_runs(words, max(len(t) for _, t, _ in able) + EXTRA)).alias("run"))
+    titles_ = F.array(*(F.struct(F.lit(k).alias("n"), F.lit(t).alias("title"), F.lit(c).alias("code")) for k, t, c in able))
+    a, b = F.length("run"), lambda t: F.length(t["title"])
+    fits = F.filter(titles_, lambda t: (a <= b(t) + EXTRA) & (2 * F.least(a, b(t)) > above * (a + b(t))))
+    pairs = runs.select("header", "run", F.explode(fits).alias("t")).withColumn("score", ratio(F.col("t.title"), F.col("run")))
+    best = pairs.where(F.col("score") > above).groupBy("header").agg(F.max(F.struct("score", (-F.col("t.n")).alias("first"), F.col("t.code").alias("code"))).alias("b"))
+    return best.select("header", F.col("b.code").alias("code"))
 
 
 def route(captures: DataFrame, known: list[tuple[str, str]], header: str = "header") -> DataFrame:
     """Adds kind and code: a title that the header contains, in order; donations and stat posts by their words; a
-    title that comes close; else unknown_event. Only headers that nothing else decides reach Python."""
+    title that comes close; else unknown_event. Only headers that nothing else decides are compared with titles."""
     text = F.lower(F.coalesce(F.col(header), F.lit("")))
-    code = F.lit(None).cast("string")
-    for title, c in reversed(known):
-        code = F.when(F.contains(text, F.lit(title)), c).otherwise(code)
+    titles_ = F.array(*(F.struct(F.lit(t).alias("title"), F.lit(c).alias("code")) for t, c in known))
+    code = F.get(F.filter(titles_, lambda t: F.contains(text, t["title"])), F.lit(0))["code"]
     both = lambda a, b: F.contains(text, F.lit(a)) & F.contains(text, F.lit(b))
     kind = F.when(code.isNotNull(), "event").when(both("contribution", "ranking"), "donation").when(both("city", "stat"), "player_stats")
-
-    @pandas_udf(StringType())
-    def fuzzy(headers: pd.Series) -> pd.Series:
-        def find(h: str) -> str | None:
-            best, found = FUZZY_ABOVE, None
-            for title, c in known:
-                if len(title) >= SHORTEST and (s := closeness(title, h)) > best:
-                    best, found = s, c
-            return found
-
-        return headers.map(find, na_action="ignore")
-
-    out = captures.withColumn("__code", code).withColumn("__kind", kind)
-    out = out.withColumn("__near", fuzzy(F.when(F.col("__kind").isNull(), text)))
+    out = captures.withColumn("__text", text).withColumn("__code", code).withColumn("__kind", kind)
+    near = near_titles(out.where("__kind is null").select(F.col("__text").alias("header")), known).select(F.col("header").alias("__text"), F.col("code").alias("__near"))
+    out = out.join(near, "__text", "left").withColumn("__near", F.when(F.col("__kind").isNull(), F.col("__near")))
     own = F.when(F.col("__kind") == "donation", "contribution_ranking").when(F.col("__kind") == "player_stats", "player_stats_chat").otherwise(F.coalesce("__code", "__near"))
     named = F.coalesce("__kind", F.when(F.col("__near").isNotNull(), "event"), F.lit("unknown_event"))
-    return out.withColumn("kind", named).withColumn("code", own).drop("__code", "__kind", "__near")
+    return out.withColumn("kind", named).withColumn("code", own).select(*captures.columns, "kind", "code")
