@@ -34,7 +34,7 @@ def leave(memberships: DataFrame, leavers: DataFrame) -> DataFrame:
     """Closes the latest active membership of each leaver (alliance_id, player_id, left_at)."""
     keys = ["alliance_id", "player_id"]
     active = memberships.where("left_at is null")
-    latest = best_by(active, keys, [F.desc("joined_at")]).select(*keys, "joined_at").join(leavers.withColumnRenamed("left_at", "closes"), keys)
+    latest = best_by(active, keys, F.struct("joined_at")).select(*keys, "joined_at").join(leavers.withColumnRenamed("left_at", "closes"), keys)
     return memberships.join(latest, [*keys, "joined_at"], "left").withColumn("left_at", F.coalesce("left_at", "closes")).drop("closes")
 
 
@@ -60,12 +60,112 @@ def orphans(roster: DataFrame, *uses: DataFrame) -> DataFrame:
     return roster
 
 
-def delete_and_restore(rows: DataFrame, gone: Column, next_id: int) -> tuple[DataFrame, DataFrame]:
-    """Rows without those that are gone, and rows with them inserted again under new ids, as an undo does."""
-    kept = rows.where(~F.coalesce(gone, F.lit(False)))
-    new_id = F.row_number().over(Window.orderBy("event_id")) + F.lit(next_id - 1)  # the few rows of one user's action
-    back = rows.where(gone).withColumn("event_id", new_id.cast(rows.schema["event_id"].dataType))
-    return kept, kept.unionByName(back)
+def join_alliance(memberships: DataFrame, joiners: DataFrame) -> DataFrame:
+    """Memberships after players joined (alliance_id, player_id, joined_at, ordinal): one that began at the same instant is
+    open again, any other is a new row."""
+    return latest_wins(memberships, joiners.withColumn("left_at", F.lit(None).cast(memberships.schema["left_at"].dataType)), ["alliance_id", "player_id", "joined_at"], ["left_at"])
+
+
+def list_aliases(aliases: DataFrame, roster: DataFrame, alliance_id: int) -> DataFrame:
+    """An alliance's aliases with the names of their players, by raw name."""
+    own = aliases.where(F.col("alliance_id") == alliance_id).join(roster.select("player_id", "player_name"), "player_id", "left")
+    return own.select("raw_name", "player_id", "player_name").orderBy("raw_name")
+
+
+def delete_where(rows: DataFrame, gone: Column) -> DataFrame:
+    """Rows without those for which `gone` holds; unknown is not gone."""
+    return rows.where(~F.coalesce(gone, F.lit(False)))
+
+
+def insert_rows(rows: DataFrame, new: DataFrame, id_col: str = "event_id") -> DataFrame:
+    """Rows with new ones under ids of their own, above all present ones: a new row's id follows from its `ordinal`, of
+    which no two are equal."""
+    top = rows.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))  # one row
+    made = new.crossJoin(F.broadcast(top)).withColumn(id_col, (F.col("__top") + 1 + F.col("ordinal")).cast(rows.schema[id_col].dataType))
+    return rows.unionByName(made.select(*(F.col(c) if c in made.columns else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns)))
+
+
+def update_rows(rows: DataFrame, changes: DataFrame, id_col: str = "event_id") -> DataFrame:
+    """Rows with the columns of `changes` (an id, columns, an ordinal) replaced where an id is there; others are ignored."""
+    known = changes.join(rows.select(id_col), id_col, "left_semi")
+    return latest_wins(rows, known, [id_col])
+
+
+def delete_and_restore(rows: DataFrame, gone: Column, id_col: str = "event_id") -> tuple[DataFrame, DataFrame]:
+    """Rows without those that are gone, and rows with them inserted again under new ids, as an undo does. A new id is the
+    largest one plus the old: no two meet, and no row has to be numbered."""
+    kept = delete_where(rows, gone)
+    back = rows.where(gone).withColumn("ordinal", F.col(id_col) - 1)
+    top = rows.agg(F.max(id_col).alias("__top"))  # one row
+    again = back.crossJoin(F.broadcast(top)).withColumn(id_col, (F.col("__top") + F.col(id_col)).cast(rows.schema[id_col].dataType)).select(*rows.columns)
+    return kept, kept.unionByName(again)
+
+
+def merge_duplicate_players(tables: dict[str, DataFrame], mapping: DataFrame) -> dict[str, DataFrame]:
+    """Players merged by (player_id, canonical_id): `roster`, `participations` (event_id), `memberships` (joined_at),
+    `aliases`, `corrections` and `donations` after it.
+
+    Participations and memberships go to the canonical player, unless that one has a row of the same event or start:
+    then the duplicate's row is dropped, of several duplicates' rows the one with the smallest player stays. The
+    duplicate's name becomes an alias; its corrections name the canonical player; its donations go with it.
+    """
+    to = mapping.select("player_id", "canonical_id")
+    gone = to.select("player_id")
+
+    def moved(rows: DataFrame, keys: list[str]) -> DataFrame:
+        joined = rows.withColumn("__old", F.col("player_id")).join(to, "player_id", "left")
+        joined = joined.withColumn("__own", F.col("canonical_id").isNull()).withColumn("player_id", F.coalesce("canonical_id", "player_id")).drop("canonical_id")
+        return best_by(joined, [*keys, "player_id"], F.struct("__own", -F.col("__old"))).select(*rows.columns)
+
+    roster = tables["roster"]
+    named = roster.join(to, "player_id").select("alliance_id", F.col("player_name").alias("raw_name"), F.col("canonical_id").alias("player_id"), F.lit(0).cast("bigint").alias("ordinal"))
+    pointed = lambda rows: rows.join(to, "player_id", "left").withColumn("player_id", F.coalesce("canonical_id", "player_id")).select(*rows.columns)
+    return tables | {
+        "roster": roster.join(gone, "player_id", "left_anti"),
+        "participations": moved(tables["participations"], ["event_id"]),
+        "memberships": moved(tables["memberships"], ["alliance_id", "joined_at"]),
+        "aliases": latest_wins(pointed(tables["aliases"]), named, ["alliance_id", "raw_name"]),
+        "corrections": pointed(tables["corrections"]),
+        "donations": tables["donations"].join(gone, "player_id", "left_anti"),
+    }
+
+
+def apply_name_fixes(tables: dict[str, DataFrame], plan: DataFrame) -> dict[str, DataFrame]:
+    """Applies a plan of `tagged_names`: renames and merges players whose names hold a tag, and gives their donations the
+    tag. Merged participations keep the canonical player's row; of donations in one period the latest wins."""
+    merges = plan.where("action = 'merge'").select("player_id", "canonical_id")
+    renames = plan.where("action = 'rename'").select("player_id", "new_name")
+    tags = plan.select("player_id", "tag")
+    donations = tables["donations"].join(tags, "player_id", "left").withColumn("alliance_tag", F.coalesce("alliance_tag", "tag")).drop("tag")
+    joined = donations.join(merges, "player_id", "left").withColumn("player_id", F.coalesce("canonical_id", "player_id")).drop("canonical_id")
+    merged = merge_duplicate_players(tables, merges)
+    roster = merged["roster"].join(renames, "player_id", "left").withColumn("player_name", F.coalesce("new_name", "player_name")).select(*tables["roster"].columns)
+    return merged | {"roster": roster, "donations": best_by(joined, ["period_id", "player_id"], F.struct("updated_at", "donation_id")).select(*donations.columns)}
+
+
+def swap_columns(rows: DataFrame) -> DataFrame:
+    """Stored rows whose power and points stand in each other's column: power under 10 000 and points above 100 000."""
+    swapped = F.coalesce((F.col("power") < 10_000) & (F.col("points") > 100_000), F.lit(False))
+    return rows.withColumns({"power": F.when(swapped, F.col("points")).otherwise(F.col("power")), "points": F.when(swapped, F.col("power")).otherwise(F.col("points")), "swapped": swapped})
+
+
+def refresh_last_power(roster: DataFrame, repaired: DataFrame) -> DataFrame:
+    """Players of rows that `swap_columns` changed take the power of their latest row (by created_at) as last_power."""
+    touched = repaired.where("swapped").select("player_id").distinct()
+    latest = repaired.join(touched, "player_id", "left_semi").groupBy("player_id").agg(F.max_by(F.struct("power"), "created_at").alias("__p"))
+    return roster.join(latest, "player_id", "left").withColumn("last_power", F.when(F.col("__p").isNull(), F.col("last_power")).otherwise(F.col("__p.power"))).select(*roster.columns)
+
+
+def short_names(roster: DataFrame, participations: DataFrame, longest: int = 3) -> DataFrame:
+    """Players with names of `longest` characters at most, and how often they took part."""
+    n = participations.groupBy("player_id").agg(F.count("*").alias("n"))
+    short = roster.where(F.length("player_name") <= longest)
+    return short.join(n, "player_id", "left").select("player_id", "player_name", F.coalesce("n", F.lit(0)).alias("participations"))
+
+
+def raw_value(raw: Column, path: str) -> Column:
+    """A whole number out of a row's stored reading (JSON text); null if it is not there."""
+    return F.get_json_object(raw, f"$.{path}").try_cast("bigint")
 
 
 def reset(tables: dict[str, DataFrame], keep: set[str]) -> dict[str, DataFrame]:
