@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,16 +37,31 @@ def scratch(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/ingest-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="muster-ingest-")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def merge_batch(batch: DataFrame, batch_id: int, state_dir: str, keys: list[str], content: list[str], order: list[str], by_batch: bool = True) -> None:
-    """The next snapshot: rows whose content was already taken in are dropped, then the latest of each key stays."""
+    """The next snapshot: rows whose content was ever taken in are dropped, then the latest of each key stays.
+
+    The ledger below `state_dir` has a part for each batch with the hashes of what it took in; parts are only added, so
+    content that a later row superseded still counts as taken in. Of the snapshots the last two are held, which is what
+    a batch that is run again needs.
+    """
     spark = batch.sparkSession
     older = [v for v in _versions(spark, state_dir) if v < batch_id]
+    taken = [f"{state_dir}/ledger/v={v}" for v in _versions(spark, f"{state_dir}/ledger") if v < batch_id]
     numbered = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).withColumn("content_hash", F.sha2(F.to_json(F.struct(*content)), 256))
+    if taken:
+        numbered = numbered.join(spark.read.parquet(*taken), "content_hash", "left_anti")
+    numbered.select("content_hash").distinct().write.mode("overwrite").parquet(f"{state_dir}/ledger/v={batch_id}")
     if older:
-        state = spark.read.parquet(f"{state_dir}/v={older[-1]}")
-        numbered = state.unionByName(numbered.join(state.select("content_hash"), "content_hash", "left_anti"))
-    latest = best_by(numbered, keys, [*([F.desc("batch_id")] if by_batch else []), *(F.desc(c) for c in order)])
+        numbered = spark.read.parquet(f"{state_dir}/v={older[-1]}").unionByName(numbered)
+    latest = best_by(numbered, keys, F.struct(*(["batch_id"] if by_batch else []), *order))
     latest.write.mode("overwrite").parquet(f"{state_dir}/v={batch_id}")
+    for v in older[:-1]:
+        _delete(spark, f"{state_dir}/v={v}")
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, state_dir: str, checkpoint: str, keys: list[str], content: list[str], order: list[str], files_per_batch: int = 1, by_batch: bool = True) -> DataFrame:
@@ -54,3 +70,23 @@ def ingest(spark: SparkSession, source: str, schema: StructType, state_dir: str,
     step = lambda batch, k: merge_batch(batch, k, state_dir, keys, content, order, by_batch)
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{state_dir}/v={_versions(spark, state_dir)[-1]}")
+
+
+def follow(spark: SparkSession, changes: str, schema: StructType, checkpoint: str, refresh: Callable[[], DataFrame], seen: Callable[[DataFrame], None]) -> None:
+    """Calls `seen` with what `refresh` reads anew, once for every batch of change notices below `changes`: readers never
+    apply a notice themselves, they read everything again."""
+    stream = spark.readStream.schema(schema).parquet(changes)
+    stream.writeStream.foreachBatch(lambda batch, _: seen(refresh())).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+#: Seconds after which a finished job is forgotten, and a pending one has failed.
+FORGET_AFTER, FAIL_AFTER = 3600, 900
+
+
+def sweep_jobs(jobs: DataFrame, now: Column) -> DataFrame:
+    """Jobs (status, payload, created_at) without finished ones older than an hour; pending ones older than 15 minutes end
+    as errors with the payload of a timeout, created now."""
+    age = F.unix_timestamp(now) - F.unix_timestamp("created_at")
+    late = (F.col("status") == "pending") & (age > FAIL_AFTER)
+    kept = jobs.where(~(F.col("status").isin("done", "error") & (age > FORGET_AFTER)))
+    return kept.withColumns({"status": F.when(late, "error").otherwise(F.col("status")), "payload": F.when(late, '{"error": "timeout"}').otherwise(F.col("payload")), "created_at": F.when(late, now).otherwise(F.col("created_at"))})
