@@ -32,9 +32,11 @@ def paris_timestamp(day: Column, clock: Column) -> Column:
 
 
 def parse_countdown(text: Column, now: Column) -> Column:
-    """`[d:]h:m:s` from now on as an instant; null if malformed or not positive."""
+    """`[[d:]h:]m:s` from now on as an instant; days may end in a d; a part that begins with no digit counts as 0; null for
+    any other number of parts or if nothing is left to wait."""
     p = F.split(F.trim(text), ":")
-    part = lambda k: F.try_element_at(p, F.lit(k)).try_cast("bigint")
-    days = F.when(F.size(p) == 4, part(-4)).when(F.size(p) == 3, F.lit(0))
-    seconds = ((days * 24 + part(-3)) * 60 + part(-2)) * 60 + part(-1)
-    return F.when(seconds > 0, F.timestamp_seconds(F.unix_timestamp(now) + seconds))
+    n = F.size(p)
+    # by place from the end: seconds, minutes, hours, days
+    part = lambda k: F.coalesce(F.regexp_extract(F.get(p, n - k), r"^\s*(\d+)", 1).try_cast("bigint"), F.lit(0))
+    seconds = ((F.when(n == 4, part(4)).otherwise(0) * 24 + F.when(n >= 3, part(3)).otherwise(0)) * 60 + part(2)) * 60 + part(1)
+    return F.when(n.between(2, 4) & (seconds > 0), F.timestamp_seconds(F.unix_timestamp(now) + seconds))

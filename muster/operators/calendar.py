@@ -2,38 +2,105 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: An event is expanded at most so many steps from its first date; later repetitions do not appear.
 MAX_STEPS = 500
+#: Days or months of a step.
+BY_DAYS, BY_MONTHS = {"daily": 1, "weekly": 7, "4weekly": 28}, {"monthly": 1, "yearly": 12}
+
+
+def _size(steps: dict[str, int]) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in steps.items() for x in kv)), F.col("recurrence"))
 
 
 def expand(events: DataFrame, start: str, end: str) -> DataFrame:
     """One row an occurrence within [start, end]: event_id, title, occurs_on.
 
     daily, weekly, 4weekly, monthly and yearly repeat until `recurrence_end` (inclusive, null: for ever), months and
-    years on the first date's day or the month's last; none and unknown codes occur once.
+    years on the first date's day or the month's last; none, null and unknown codes occur once, those without a
+    recurrence whatever `recurrence_end` says. Only steps that fall into the range are made.
     """
-    first, last = F.col("date"), F.least(F.lit(end).cast("date"), F.col("recurrence_end"))
-    unit = {"daily": ("days", 1), "weekly": ("days", 7), "4weekly": ("days", 28), "monthly": ("months", 1), "yearly": ("months", 12)}
-    days = F.create_map(*(F.lit(x) for k, (u, n) in unit.items() if u == "days" for x in (k, n)))
-    months = F.create_map(*(F.lit(x) for k, (u, n) in unit.items() if u == "months" for x in (k, n)))
-    by_days, by_months = F.try_element_at(days, F.col("recurrence")), F.try_element_at(months, F.col("recurrence"))
-    steps = F.when(by_days.isNotNull(), F.floor(F.date_diff(last, first) / by_days)).when(by_months.isNotNull(), F.floor(F.months_between(F.last_day(last), F.trunc(first, "month")) / by_months)).otherwise(F.lit(0))
-    count = F.least(F.lit(MAX_STEPS - 1).cast("bigint"), F.greatest(steps.cast("bigint"), F.lit(0).cast("bigint")))
-    k = F.explode(F.sequence(F.lit(0).cast("bigint"), count)).alias("k")
-    out = events.select("*", k, by_days.alias("by_days"), by_months.alias("by_months"))
-    n = F.col("k").cast("int")
-    on = F.when(F.col("by_days").isNotNull(), F.date_add(first, n * F.col("by_days"))).when(F.col("by_months").isNotNull(), F.add_months(first, n * F.col("by_months"))).otherwise(first)
+    first, low, high = F.col("date"), F.lit(start).cast("date"), F.lit(end).cast("date")
+    once = F.coalesce(F.col("recurrence") == "none", F.lit(True))
+    last = F.when(once, high).otherwise(F.least(high, F.col("recurrence_end")))
+    days, months = _size(BY_DAYS), _size(BY_MONTHS)
+    apart = lambda to: F.months_between(F.trunc(to, "month"), F.trunc(first, "month")).cast("int")
+    # the first and last step that may lie in the range; months that end early are decided by the dates themselves
+    from_ = F.when(days.isNotNull(), F.ceil(F.date_diff(low, first) / days)).when(months.isNotNull(), F.floor(apart(low) / months)).otherwise(F.lit(0))
+    upto = F.when(days.isNotNull(), F.floor(F.date_diff(last, first) / days)).when(months.isNotNull(), F.floor(apart(last) / months)).otherwise(F.lit(0))
+    a, b = F.greatest(from_.cast("int"), F.lit(0)), F.least(upto.cast("int"), F.lit(MAX_STEPS - 1))
+    k = F.explode(F.when(a <= b, F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<int>"))).alias("k")
+    out = events.select("*", k)
+    on = F.when(days.isNotNull(), F.date_add(first, F.col("k") * days)).when(months.isNotNull(), F.add_months(first, F.col("k") * months)).otherwise(first)
     out = out.withColumn("occurs_on", on)
-    repeats = F.col("recurrence_end").isNull() | (F.col("occurs_on") <= F.col("recurrence_end")) | (F.col("k") == 0)
-    return out.where(F.col("occurs_on").between(F.lit(start).cast("date"), F.lit(end).cast("date")) & repeats).select("event_id", "title", "time", "type", "occurs_on")
+    return out.where((F.col("occurs_on") >= low) & (F.col("occurs_on") <= last)).select("event_id", "title", "time", "type", "occurs_on")
+
+
+def month_grid(events: DataFrame, year: int, month: int) -> DataFrame:
+    """A month's occurrences with their cell, from 0, of a grid whose weeks begin on Monday."""
+    begin = f"{year:04d}-{month:02d}-01"
+    end = str((pd.Timestamp(begin) + pd.offsets.MonthEnd(0)).date())
+    lead = (F.dayofweek(F.lit(begin).cast("date")) + 5) % 7
+    return expand(events, begin, end).withColumn("cell", (lead + F.dayofmonth("occurs_on") - 1).cast("int"))
+
+
+def week_grid(events: DataFrame, day: str) -> DataFrame:
+    """The occurrences of the week, from its Monday in UTC, that holds a day, with their weekday from 0."""
+    at = pd.Timestamp(day)
+    monday = at - pd.Timedelta(days=at.weekday())
+    out = expand(events, str(monday.date()), str((monday + pd.Timedelta(days=6)).date()))
+    return out.withColumn("weekday", F.date_diff("occurs_on", F.lit(str(monday.date())).cast("date")))
+
+
+def instant(rows: DataFrame) -> Column:
+    """An occurrence's beginning; without a time it is midnight."""
+    clock = F.left(F.coalesce("time", F.lit("00:00")), F.lit(5))
+    return F.try_to_timestamp(F.concat_ws(" ", F.col("occurs_on").cast("string"), clock), F.lit("yyyy-MM-dd HH:mm"))
+
+
+def upcoming_at(events: DataFrame, now: str, n: int = 30) -> DataFrame:
+    """The next `n` occurrences from an instant (yyyy-MM-dd HH:mm) on, within a year."""
+    soon = expand(events, now[:10], str((pd.Timestamp(now[:10]) + pd.DateOffset(years=1)).date()))
+    at = soon.withColumn("at", instant(soon)).where(F.col("at") >= F.lit(now).cast("timestamp"))
+    return at.orderBy("at", "event_id").limit(n)
+
+
+def next_of_type(events: DataFrame, now: str, kind: str = "raid") -> DataFrame:
+    """The next occurrence of a type among the next 30 of all types; no row without one."""
+    return upcoming_at(events, now).where(F.col("type") == kind).orderBy("at", "event_id").limit(1)
+
+
+def countdown(at: Column, now: Column) -> Column:
+    """Days, hours, minutes and seconds from now to an instant, or NOW once it has come."""
+    s = F.unix_timestamp(at) - F.unix_timestamp(now)
+    two = lambda x: F.lpad(x.cast("bigint").cast("string"), 2, "0")
+    days = F.floor(s / 86400)
+    text = F.concat(F.when(days > 0, F.concat(days.cast("string"), F.lit("d "))).otherwise(""), two(F.floor(s % 86400 / 3600)), F.lit("h "), two(F.floor(s % 3600 / 60)), F.lit("m "), two(s % 60), F.lit("s"))
+    return F.when(s <= 0, "NOW").otherwise(text)
+
+
+def widget(events: DataFrame, today: str) -> DataFrame:
+    """Up to 6 occurrences of today; if there are none, the next 5 within 30 days. `kind` says which."""
+    rows = expand(events, today, str((pd.Timestamp(today) + pd.Timedelta(days=30)).date()))
+    kind = F.when(F.col("occurs_on") == F.lit(today).cast("date"), "today").otherwise("upcoming")
+    top = rows.withColumn("kind", kind).orderBy("occurs_on", F.coalesce("time", F.lit("00:00")), "event_id").limit(6)  # six rows
+    place = Window.orderBy("occurs_on", F.coalesce("time", F.lit("00:00")), "event_id")
+    n_today = F.count_if(F.col("kind") == "today").over(Window.partitionBy(F.lit(0)))
+    placed = top.withColumn("place", F.row_number().over(place)).withColumn("n_today", n_today)
+    return placed.where(F.when(F.col("n_today") > 0, F.col("kind") == "today").otherwise(F.col("place") <= 5)).drop("place", "n_today")
+
+
+def type_counts(events: DataFrame) -> DataFrame:
+    """Events of each type, before any repetition."""
+    return events.groupBy("type").agg(F.count("*").alias("events"))
 
 
 def upcoming(events: DataFrame, today: str, n: int = 30) -> DataFrame:
     """The next `n` occurrences within a year from a day on."""
-    horizon = str(int(today[:4]) + 1) + today[4:]
+    horizon = str((pd.Timestamp(today) + pd.DateOffset(years=1)).date())
     return expand(events, today, horizon).orderBy("occurs_on", "time", "event_id").limit(n)
 
 
