@@ -42,15 +42,17 @@ def duplicate_key(name: Column) -> Column:
     return fold_confusables(name_key(name))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+def similarity(a: Column, b: Column, distance: Column | None = None) -> Column:
+    return 1 - (F.levenshtein(a, b) if distance is None else distance) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def proximity(a: Column, b: Column) -> Column:
-    """Of two keys: exact-key, strong, weak or none; short and contained keys have rules of their own."""
-    d, s = F.levenshtein(a, b), similarity(a, b)
+def proximity(a: Column, b: Column, distance: Column | None = None) -> Column:
+    """Of two keys: exact-key, strong, weak or none; short and contained keys have rules of their own. `distance`: their
+    edit distance, where it is known already."""
+    d = F.levenshtein(a, b) if distance is None else distance
+    s = similarity(a, b, d)
     short = F.least(F.length(a), F.length(b)) < 5
-    within = (F.contains(a, b) | F.contains(b, a)) & (F.abs(F.length(a) - F.length(b)) >= 2)
+    within = (F.length(a) > 0) & (F.length(b) > 0) & (F.contains(a, b) | F.contains(b, a)) & (F.abs(F.length(a) - F.length(b)) >= 2)
     return (
         F.when(a == b, "exact-key")
         .when(short, F.when(d <= 1, "weak").otherwise("none"))
@@ -145,3 +147,35 @@ LOOKALIKES = "АВЕКМНОРСТХаеорсухк"
 def distinctive_cyrillic(text: Column) -> Column:
     """Whether a Cyrillic letter occurs that no Latin one looks like."""
     return F.regexp_replace(text, f"[{LOOKALIKES}]", "").rlike("[Ѐ-ӿ]")
+
+
+def count_of(text: Column, kind: str) -> Column:
+    """How many characters of a class a text has."""
+    return F.length(F.regexp_replace(text, f"[^{kind}]", ""))
+
+
+def identity_length(text: Column) -> Column:
+    """Characters that tell a name from another: ASCII letters and digits, and Cyrillic ones."""
+    return count_of(text, "A-Za-z0-9Ѐ-ӿ")
+
+
+def ambiguous_cyrillic(text: Column) -> Column:
+    """Whether a name has Cyrillic letters, no fewer than ASCII ones, all of which some Latin letter looks like."""
+    cyrillic, latin = count_of(text, "Ѐ-ӿ"), count_of(text, "A-Za-z")
+    return (cyrillic > 0) & (cyrillic >= latin) & ~distinctive_cyrillic(text)
+
+
+def settle_cyrillic(name: Column, russian: Column, english: Column) -> Column:
+    """An ambiguous name as read again: the Russian reading if a letter of it is distinctive; else the English one if it
+    has as many identifying characters, less one; else the name itself."""
+    is_russian = F.coalesce((russian != "") & distinctive_cyrillic(russian), F.lit(False))
+    is_english = F.coalesce((english != "") & (identity_length(english) >= identity_length(name) - 1), F.lit(False))
+    return F.when(~F.coalesce(ambiguous_cyrillic(name), F.lit(False)), name).when(is_russian, russian).when(is_english, english).otherwise(name)
+
+
+def has_kana(text: Column) -> Column:
+    return text.rlike(f"[{_KANA}]")
+
+
+def has_cjk(text: Column) -> Column:
+    return text.rlike(f"[{_CJK}]")

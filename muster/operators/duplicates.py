@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.functions.names import duplicate_key, name_key, proximity, similarity, tier
+from muster.operators.upsert import best_by
 
 
 def _deletions(key: Column) -> Column:
@@ -25,13 +26,15 @@ def within_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return pairs.where(F.levenshtein("l_key", "r_key") <= 1)
 
 
-def resolve(names: DataFrame, roster: DataFrame, aliases: DataFrame) -> DataFrame:
+def resolve(names: DataFrame, roster: DataFrame, aliases: DataFrame, shortest: int = 1) -> DataFrame:
     """Each (alliance_id, raw_name) as alias, exact, fuzzy, ambiguous or new, with its player where there is one.
 
-    An alias wins over the roster; an exact name over fuzzy ones; a single fuzzy player is taken, several are not.
+    An alias wins over the roster; an exact name over fuzzy ones; a single fuzzy player is taken, several are not. Keys
+    of fewer than `shortest` characters are never fuzzy, on either side.
     """
-    keyed = names.select("alliance_id", F.col("raw_name").alias("id"), name_key(F.col("raw_name")).alias("key")).distinct()
-    own = roster.select("alliance_id", F.col("player_id").alias("id"), name_key(F.col("player_name")).alias("key"))
+    long_ = lambda df: df.where(F.length("key") >= shortest)
+    keyed = long_(names.select("alliance_id", F.col("raw_name").alias("id"), name_key(F.col("raw_name")).alias("key")).distinct())
+    own = long_(roster.select("alliance_id", F.col("player_id").alias("id"), name_key(F.col("player_name")).alias("key")))
     fuzzy = within_one(keyed, own, ["alliance_id"]).groupBy("alliance_id", F.col("l_id").alias("raw_name")).agg(F.countDistinct("r_id").alias("candidates"), F.min("r_id").alias("fuzzy_id"))
     exact = roster.groupBy("alliance_id", F.col("player_name").alias("raw_name")).agg(F.min("player_id").alias("exact_id"))
     known = aliases.select("alliance_id", "raw_name", F.col("player_id").alias("alias_id"))
@@ -42,6 +45,37 @@ def resolve(names: DataFrame, roster: DataFrame, aliases: DataFrame) -> DataFram
     return out.select(*keys, kind.alias("resolution"), player.alias("player_id"))
 
 
+def _lengths(key: Column, least: float) -> Column:
+    """Lengths that a key can have which is as similar as `least` to this one, or one edit away."""
+    n = F.length(key)
+    return F.sequence(F.least(n - 1, F.ceil(n * least).cast("int")), F.greatest(n + 1, F.floor(n / least).cast("int")))
+
+
+def resembling(names: DataFrame, roster: DataFrame) -> DataFrame:
+    """Pairs (alliance_id, raw_name, player_id, player_name, proximity, similarity) of names with players of the same
+    alliance whose keys are equal, strongly or weakly alike. Only keys of lengths that allow it are compared."""
+    a = names.select("alliance_id", "raw_name", duplicate_key(F.col("raw_name")).alias("a_key")).distinct()
+    a = a.withColumn("len", F.explode(_lengths(F.col("a_key"), 0.6)))
+    b = roster.select("alliance_id", "player_id", "player_name", duplicate_key(F.col("player_name")).alias("b_key")).withColumn("len", F.length("b_key"))
+    pairs = a.join(b, ["alliance_id", "len"]).withColumn("distance", F.levenshtein("a_key", "b_key"))
+    x, y, d = F.col("a_key"), F.col("b_key"), F.col("distance")
+    out = pairs.select("alliance_id", "raw_name", "player_id", "player_name", proximity(x, y, d).alias("proximity"), similarity(x, y, d).alias("similarity"))
+    return out.where("proximity <> 'none'")
+
+
+def roster_collisions(credited: DataFrame, roster: DataFrame) -> DataFrame:
+    """Other players that a credited name (alliance_id, raw_name, player_id) resembles: a warning, nothing is rerouted."""
+    near = resembling(credited, roster).withColumnRenamed("player_id", "other_id").withColumnRenamed("player_name", "other_name")
+    return near.join(credited.select("alliance_id", "raw_name", "player_id").distinct(), ["alliance_id", "raw_name"]).where("other_id <> player_id")
+
+
+def nearest_in_roster(names: DataFrame, roster: DataFrame) -> DataFrame:
+    """Of each name the player it resembles most, the smallest on ties; names that resemble nobody are left out."""
+    near = resembling(names, roster)
+    best = near.groupBy("alliance_id", "raw_name").agg(F.max_by(F.struct("player_id", "player_name", "proximity", "similarity"), F.struct("similarity", -F.col("player_id"))).alias("b"))
+    return best.select("alliance_id", "raw_name", "b.*")
+
+
 def duplicate_pairs(members: DataFrame, cap: int = 500) -> DataFrame:
     """Pairs of members of one context that may be one player, with their proximity, similarity and tier.
 
@@ -54,15 +88,52 @@ def duplicate_pairs(members: DataFrame, cap: int = 500) -> DataFrame:
     a = keyed.select("context_id", F.col("own").alias("a_block"), F.col("other").alias("b_block"), F.col("player_id").alias("a_id"), F.col("key").alias("a_key"), F.col("value").alias("a_value"))
     b = keyed.select("context_id", F.col("other").alias("a_block"), F.col("own").alias("b_block"), F.col("player_id").alias("b_id"), F.col("key").alias("b_key"), F.col("value").alias("b_value"))
     pairs = a.join(b, ["context_id", "a_block", "b_block"]).where("a_id < b_id")
-    near = proximity(F.col("a_key"), F.col("b_key"))
-    out = pairs.select("context_id", "a_id", "b_id", near.alias("proximity"), similarity(F.col("a_key"), F.col("b_key")).alias("similarity"), tier(near, F.coalesce(F.col("a_value") == F.col("b_value"), F.lit(False))).alias("tier"))
+    x, y, d = F.col("a_key"), F.col("b_key"), F.col("distance")
+    near = proximity(x, y, d)
+    out = pairs.withColumn("distance", F.levenshtein("a_key", "b_key"))
+    out = out.select("context_id", "a_id", "b_id", near.alias("proximity"), similarity(x, y, d).alias("similarity"), tier(near, F.coalesce(F.col("a_value") == F.col("b_value"), F.lit(False))).alias("tier"))
     return out.where("tier is not null")
 
 
+def candidates(members: DataFrame) -> DataFrame:
+    """The best finding of each pair of players that share contexts, and in how many other contexts the pair was found.
+
+    How near two names are does not depend on the context, so pairs are first counted over all contexts, which combines
+    before the shuffle, and names are compared once a pair. A pair's finding is high or medium in the contexts where
+    both have the same value and, for near names, medium in all others; the best is the one with the smallest context.
+    """
+    rows = members.select("context_id", "player_id", "value")
+    a = rows.select("context_id", F.col("player_id").alias("a_id"), F.col("value").alias("a_value"))
+    b = rows.select("context_id", F.col("player_id").alias("b_id"), F.col("value").alias("b_value"))
+    same = F.coalesce(F.col("a_value") == F.col("b_value"), F.lit(False))
+    met = a.join(b, "context_id").where("a_id < b_id").groupBy("a_id", "b_id").agg(
+        F.count("*").alias("n"), F.min("context_id").alias("first"), F.count_if(same).alias("n_same"), F.min(F.when(same, F.col("context_id"))).alias("first_same")
+    )
+    names = members.groupBy("player_id").agg(F.min("player_name").alias("name")).select("player_id", duplicate_key(F.col("name")).alias("key"))
+    keyed = met.join(names.select(F.col("player_id").alias("a_id"), F.col("key").alias("a_key")), "a_id").join(names.select(F.col("player_id").alias("b_id"), F.col("key").alias("b_key")), "b_id")
+    keyed = keyed.withColumn("distance", F.levenshtein("a_key", "b_key"))
+    x, y, d = F.col("a_key"), F.col("b_key"), F.col("distance")
+    near = keyed.withColumn("proximity", proximity(x, y, d)).withColumn("similarity", similarity(x, y, d))
+    close, equal = F.col("proximity").isin("exact-key", "strong"), F.col("n_same") > 0
+    found = F.when(close, F.col("n")).otherwise(F.col("n_same"))
+    best = near.withColumn("tier", tier(F.col("proximity"), equal)).where("tier is not null")
+    context = F.when(equal, F.col("first_same")).otherwise(F.col("first"))
+    return best.select(context.alias("context_id"), "a_id", "b_id", "proximity", "similarity", "tier", (found - 1).alias("also_in_contexts"))
+
+
+def latest_contexts(events: DataFrame, periods: DataFrame, n_events: int = 40, n_periods: int = 6) -> DataFrame:
+    """The contexts that a scan of an alliance looks at: its latest events (event_id, event_dt) and donation periods
+    (period_id, period_start), as (alliance_id, context_id, kind)."""
+    newest = lambda df, at, key, n: df.withColumn("__n", F.row_number().over(Window.partitionBy("alliance_id").orderBy(F.desc(at), key))).where(F.col("__n") <= n)
+    e = newest(events.select("alliance_id", "event_id", "event_dt").distinct(), "event_dt", "event_id", n_events)
+    p = newest(periods.select("alliance_id", "period_id", "period_start").distinct(), "period_start", "period_id", n_periods)
+    return e.select("alliance_id", F.col("event_id").alias("context_id"), F.lit("event").alias("kind")).unionByName(p.select("alliance_id", F.col("period_id").alias("context_id"), F.lit("donation_period").alias("kind")))
+
+
 def rank_candidates(pairs: DataFrame) -> DataFrame:
     """The best finding of each pair of players, and in how many other contexts the pair was found."""
-    order = F.when(F.col("tier") == "high", 0).when(F.col("tier") == "medium", 1).otherwise(2)
-    w = Window.partitionBy("a_id", "b_id")
-    best = F.row_number().over(w.orderBy(order, F.desc("similarity"), "context_id"))
+    place = F.when(F.col("tier") == "high", 2).when(F.col("tier") == "medium", 1).otherwise(0)
+    first = pairs.groupBy("a_id", "b_id", "tier", "proximity", "similarity").agg(F.min("context_id").alias("context_id"))
+    best = best_by(first, ["a_id", "b_id"], F.struct(place, "similarity"))
     contexts = pairs.groupBy("a_id", "b_id").agg((F.countDistinct("context_id") - 1).alias("also_in_contexts"))
-    return pairs.withColumn("n", best).where("n = 1").drop("n").join(contexts, ["a_id", "b_id"])
+    return best.join(contexts, ["a_id", "b_id"]).select(*pairs.columns, "also_in_contexts")

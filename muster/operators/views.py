@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from muster.operators.upsert import best_by
 from muster.sources.domain import Domain
 
 
@@ -30,20 +31,29 @@ def event_leaderboard(d: Domain, alliance_id: int | None = None) -> DataFrame:
     return named.select("event_id", "alliance_id", "event_type", F.date_format("event_dt", "yyyy-MM-dd").alias("event_date"), "player_id", "player_name", "points", "power", "confidence", "needs_review", rank.alias("rank"))
 
 
-def eligible_events(d: Domain) -> DataFrame:
-    """Per player the number of the alliance's events since the player was first seen or joined.
+def events_from(d: Domain, bounds: DataFrame, strict: bool = False) -> DataFrame:
+    """Per player of `bounds` (alliance_id, player_id, at) the number of the alliance's events at `at` or later; only
+    later ones, if `strict`.
 
-    Events are counted from the latest back by a running count per alliance, and each player's bound is looked up
-    in the same ordering: events and bounds are one union, so the cost is linear in both, not their product.
+    Events are counted by alliance and instant before anything is ordered, and bounds are reduced to their different
+    instants; one running count over those instants answers all bounds by an equi-join. So what a window orders is
+    the instants of an alliance, not its players and events.
     """
+    marks = d.events.groupBy("alliance_id", F.col("event_dt").alias("at")).agg(F.count("*").alias("n"))
+    asked = bounds.where("at is not null").select("alliance_id", "at", F.lit(0).cast("bigint").alias("n")).distinct()
+    instants = marks.unionByName(asked).groupBy("alliance_id", "at").agg(F.sum("n").alias("n"))
+    since = F.sum("n").over(Window.partitionBy("alliance_id").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = instants.select("alliance_id", "at", ((since - F.col("n")) if strict else since).cast("bigint").alias("events"))
+    return bounds.join(counted, ["alliance_id", "at"]).select("player_id", "events")
+
+
+def eligible_events(d: Domain) -> DataFrame:
+    """Per player the number of the alliance's events since the player was first seen or joined."""
     first = d.participations.groupBy("player_id").agg(F.min("event_dt").alias("first_seen"))
     joined = d.memberships.groupBy("player_id").agg(F.min("joined_at").alias("first_joined"))
     bounds = d.roster.select("player_id", "alliance_id").join(first, "player_id", "left").join(joined, "player_id", "left")
     bounds = bounds.select("alliance_id", "player_id", F.least("first_seen", "first_joined").alias("at"))
-    marks = d.events.select("alliance_id", F.lit(None).cast("bigint").alias("player_id"), F.col("event_dt").alias("at"), F.lit(1).alias("event"))
-    both = marks.unionByName(bounds.where("at is not null").withColumn("event", F.lit(0)))
-    since = F.sum("event").over(Window.partitionBy("alliance_id").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return both.withColumn("eligible", since.cast("bigint")).where("event = 0").select("player_id", "eligible")
+    return events_from(d, bounds).withColumnRenamed("events", "eligible")
 
 
 def participation_rate(d: Domain) -> DataFrame:
@@ -64,9 +74,9 @@ def probable_leavers(d: Domain, missed: int = 3) -> DataFrame:
     Players never seen do not count."""
     active = d.memberships.where("left_at is null").select("player_id").distinct()
     p = d.players.select("player_id", "alliance_id", "player_name", "last_seen_at").join(active, "player_id", "left_semi")
-    later = d.events.join(p, "alliance_id").where("event_dt > last_seen_at")
-    counted = later.groupBy("player_id", "alliance_id", "player_name", "last_seen_at").agg(F.countDistinct("event_id").alias("events_missed"))
-    return counted.where(F.col("events_missed") >= missed).select("player_id", "alliance_id", "player_name", F.date_format("last_seen_at", "yyyy-MM-dd").alias("last_seen"), "events_missed")
+    later = events_from(d, p.select("alliance_id", "player_id", F.col("last_seen_at").alias("at")), strict=True)
+    counted = p.join(later.where(F.col("events") >= missed), "player_id")
+    return counted.select("player_id", "alliance_id", "player_name", F.date_format("last_seen_at", "yyyy-MM-dd").alias("last_seen"), F.col("events").alias("events_missed"))
 
 
 def donation_leaderboard(d: Domain) -> DataFrame:
@@ -87,8 +97,7 @@ def _stat_columns() -> list[Column]:
 
 
 def stats_latest(d: Domain) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("alliance_id", "player_id").orderBy(F.desc_nulls_first("recorded_date")))
-    return d.stats.withColumn("n", n).where("n = 1").select("alliance_id", "player_id", "player_name", *_stat_columns())
+    return best_by(stats_history(d), ["alliance_id", "player_id"], F.struct("recorded_date"))
 
 
 def stats_history(d: Domain) -> DataFrame:
