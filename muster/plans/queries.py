@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.functions import names, times
 from muster.operators import accuracy, calendar, capture, duplicates, maintenance, reads, screens, stats_chat, upsert, views
+from muster.plans import capture_queries, read_queries, write_queries  # noqa: F401  they register queries of their own
 from muster.plans.oracles import BOARD, DELTA, RATE, REVIEW, sql
+from muster.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from muster.sources.domain import Domain
 from muster.streaming import ingest
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(f: Callable[[Domain], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Domain(spark, sf_dir))
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return add
-
 
 query("event_leaderboard", sql("SELECT * FROM board", BOARD))(views.event_leaderboard)
 query("participation_rate", sql("SELECT *, CASE WHEN eligible_events > 0 THEN CAST(floor((2000 * events_played + eligible_events) / (2.0 * eligible_events)) / 10 AS DOUBLE) END AS participation_pct FROM rates", RATE))(views.participation_rate)
@@ -136,7 +123,7 @@ def dedup_by_confidence(d: Domain) -> DataFrame:
 
 
 def _state(d: Domain) -> DataFrame:
-    return upsert.best_by(_captures(d).where("ordinal % 2 = 0"), ["player_id", "field"], [F.asc("ordinal")]).select("player_id", "field", "value")
+    return upsert.best_by(_captures(d).where("ordinal % 2 = 0"), ["player_id", "field"], F.struct(-F.col("ordinal"))).select("player_id", "field", "value")
 
 
 def _batch(d: Domain) -> DataFrame:
@@ -225,30 +212,42 @@ tiers AS (SELECT context_id, a_id, b_id, proximity, similarity, CASE WHEN proxim
 """
 
 
-def _pairs(d: Domain) -> DataFrame:
+def _members(d: Domain) -> DataFrame:
     p = d.participations.join(d.roster.select("player_id", "player_name"), "player_id")
-    return duplicates.duplicate_pairs(p.select(F.col("event_id").alias("context_id"), "player_id", "player_name", F.col("points").alias("value")))
+    return p.select(F.col("event_id").alias("context_id"), "player_id", "player_name", F.col("points").cast("bigint").alias("value"))
 
 
 @query("duplicate_candidates", sql("SELECT t.*, (SELECT count(DISTINCT context_id) - 1 FROM tiers u WHERE u.tier IS NOT NULL AND u.a_id = t.a_id AND u.b_id = t.b_id) AS also_in_contexts FROM tiers t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a_id, b_id ORDER BY CASE tier WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, similarity DESC, context_id) = 1", PAIRS))
 def duplicate_candidates(d: Domain) -> DataFrame:
-    return duplicates.rank_candidates(_pairs(d))
+    return duplicates.candidates(_members(d))
 
 
 #: As PAIRS, over events and donation periods together; ids of the two kinds never meet, since only events name a type.
 ALL_PAIRS = PAIRS.replace("FROM parts JOIN roster USING (player_id)),", "FROM parts JOIN roster USING (player_id) UNION ALL SELECT period_id, player_id, lower(replace(player_name, '#', '')), honor FROM dons JOIN roster USING (player_id)),")
 
 
-def _all_pairs(d: Domain) -> DataFrame:
-    names = d.roster.select("player_id", "player_name")
-    events = d.participations.join(names, "player_id").select(F.col("event_id").alias("context_id"), "player_id", "player_name", F.col("points").cast("bigint").alias("value"))
-    periods = d.donations.join(names, "player_id").select(F.col("period_id").alias("context_id"), "player_id", "player_name", F.col("honor").cast("bigint").alias("value"))
-    return duplicates.duplicate_pairs(events.unionByName(periods))
+def _all_members(d: Domain) -> DataFrame:
+    names_ = d.roster.select("player_id", "player_name")
+    periods = d.donations.join(names_, "player_id").select(F.col("period_id").alias("context_id"), "player_id", "player_name", F.col("honor").cast("bigint").alias("value"))
+    return _members(d).unionByName(periods)
 
 
 @query("duplicate_candidates_all", sql("SELECT t.*, (SELECT count(DISTINCT context_id) - 1 FROM tiers u WHERE u.tier IS NOT NULL AND u.a_id = t.a_id AND u.b_id = t.b_id) AS also_in_contexts FROM tiers t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a_id, b_id ORDER BY CASE tier WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, similarity DESC, context_id) = 1", ALL_PAIRS))
 def duplicate_candidates_all(d: Domain) -> DataFrame:
-    return duplicates.rank_candidates(_all_pairs(d))
+    return duplicates.candidates(_all_members(d))
+
+
+#: As ALL_PAIRS, over the latest 40 events and 6 donation periods of each alliance.
+LATEST_PAIRS = ALL_PAIRS.replace("ctx AS (SELECT event_id AS context_id", """
+latest AS (SELECT event_id AS context_id FROM evs QUALIFY row_number() OVER (PARTITION BY alliance_id ORDER BY event_dt DESC, event_id) <= 40
+  UNION ALL SELECT period_id FROM (SELECT DISTINCT alliance_id, period_id, period_start FROM dons) QUALIFY row_number() OVER (PARTITION BY alliance_id ORDER BY period_start DESC, period_id) <= 6),
+ctx AS (SELECT * FROM (SELECT event_id AS context_id""".strip()).replace("FROM dons JOIN roster USING (player_id)),", "FROM dons JOIN roster USING (player_id)) WHERE context_id IN (SELECT context_id FROM latest)),")
+
+
+@query("duplicate_scan", sql("SELECT t.*, (SELECT count(DISTINCT context_id) - 1 FROM tiers u WHERE u.tier IS NOT NULL AND u.a_id = t.a_id AND u.b_id = t.b_id) AS also_in_contexts FROM tiers t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a_id, b_id ORDER BY CASE tier WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, similarity DESC, context_id) = 1", LATEST_PAIRS))
+def duplicate_scan(d: Domain) -> DataFrame:
+    latest = duplicates.latest_contexts(d.events, d.donations)
+    return duplicates.candidates(_all_members(d).join(latest.select("context_id"), "context_id", "left_semi"))
 
 
 # captures
@@ -277,17 +276,56 @@ def position_vote(d: Domain) -> DataFrame:
     return capture.vote(_captures(d).withColumn("value", F.col("value") % 3), ["player_id", "field"], "value")
 
 
-@query("honor_repair")
+#: Pages of a period's ranking, a dozen rows each, as screens show them.
+PAGES = """
+ranked AS (SELECT period_id, donation_id, honor, row_number() OVER (PARTITION BY period_id ORDER BY honor DESC, donation_id) - 1 AS n FROM dons),
+pages AS (SELECT period_id || '/' || (n // 12) AS capture_id, n % 12 AS row_index, donation_id,
+  CASE WHEN donation_id % 9 = 0 THEN honor * 10 WHEN donation_id % 7 = 0 THEN honor // 10 ELSE honor END AS honor, 0.9::DOUBLE AS confidence,
+  CASE WHEN donation_id % 5 > 0 THEN [honor // 10, honor * 10, honor] WHEN donation_id % 2 = 0 THEN [honor * 10] END AS candidates FROM ranked)
+"""
+REPAIRED = """
+nexts AS (SELECT *, coalesce(lead(honor) OVER (PARTITION BY capture_id ORDER BY row_index), 0) AS next FROM pages),
+fold AS (
+  SELECT capture_id, row_index, honor, confidence, false AS suspect, CAST(NULL AS BIGINT) AS lower, CAST(NULL AS BIGINT) AS upper FROM nexts WHERE row_index = 0
+  UNION ALL
+  SELECT capture_id, row_index, CASE WHEN suspect THEN coalesce(found, honor) ELSE honor END,
+    CASE WHEN NOT suspect OR candidates IS NULL THEN confidence WHEN found IS NOT NULL THEN least(confidence, 0.4::DOUBLE) ELSE 0.0::DOUBLE END, suspect, lower, CASE WHEN suspect THEN above END
+  FROM (SELECT *, [c for c in candidates if c >= lower and c <= above][1] AS found FROM (
+    SELECT *, CASE WHEN fell THEN greatest(next, above // 5 + 1) WHEN suspect THEN next END AS lower FROM (
+      SELECT n.*, f.honor AS above, n.honor > f.honor OR (NOT f.suspect AND n.honor > 0 AND n.honor * 5 < f.honor) AS suspect, NOT f.suspect AND n.honor > 0 AND n.honor * 5 < f.honor AS fell
+      FROM nexts n JOIN fold f ON n.capture_id = f.capture_id AND n.row_index = f.row_index + 1)))
+)
+"""
+
+
+@query("honor_repair", sql("SELECT * FROM fold", PAGES, REPAIRED).replace("WITH ", "WITH RECURSIVE ", 1))
 def honor_repair(d: Domain) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("period_id").orderBy(F.desc("honor"), "donation_id"))
-    rows = d.donations.select(F.col("period_id").alias("capture_id"), n.cast("bigint").alias("row_index"), F.when(F.col("donation_id") % 9 == 0, F.col("honor") * 10).otherwise(F.col("honor")).alias("honor"), F.array(F.col("honor")).alias("candidates"), F.lit(0.9).alias("confidence"))
-    return capture.repair_honor(rows)
+    n = F.row_number().over(Window.partitionBy("period_id").orderBy(F.desc("honor"), "donation_id")).cast("bigint") - 1
+    k, honor = F.col("donation_id"), F.col("honor")
+    tenth = F.floor(honor / 10)
+    rows = d.donations.select("period_id", n.alias("n"), F.when(k % 9 == 0, honor * 10).when(k % 7 == 0, tenth).otherwise(honor).alias("honor"), F.lit(0.9).alias("confidence"), F.when(k % 5 > 0, F.array(tenth, honor * 10, honor)).when(k % 2 == 0, F.array(honor * 10)).alias("candidates"))
+    page = F.concat(F.col("period_id"), F.lit("/"), F.floor(F.col("n") / 12).cast("string"))
+    return capture.repair_honor(rows.select(page.alias("capture_id"), (F.col("n") % 12).alias("row_index"), "honor", "confidence", "candidates"))
+
+
+POSITIONS = """
+spots AS (SELECT period_id || '/' || (n // 12) AS capture_id, n % 12 AS row_index,
+  CASE WHEN k % 5 > 0 THEN CASE WHEN k % 4 = 0 THEN (n + 3) % 10 WHEN hashed % 3 = 0 THEN k % 97 ELSE n + 3 END END AS position
+  FROM (SELECT period_id, donation_id AS k, row_number() OVER (PARTITION BY period_id ORDER BY donation_id) - 1 AS n, alliance_id + CAST(strftime(period_start, '%d') AS BIGINT) AS hashed FROM dons)),
+votes AS (SELECT o.capture_id, o.off, count(*) AS readings, count(*) FILTER (o.off + r.row_index = r.position OR (o.off + r.row_index >= 0 AND ends_with(CAST(o.off + r.row_index AS VARCHAR), CAST(r.position AS VARCHAR)))) AS support
+  FROM (SELECT DISTINCT capture_id, position - row_index AS off FROM spots WHERE position IS NOT NULL) o JOIN spots r ON r.capture_id = o.capture_id AND r.position IS NOT NULL GROUP BY ALL),
+best AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY support DESC, off) = 1)
+"""
 
 
-@query("position_repair")
+@query("position_repair", sql("SELECT s.capture_id, row_index, CASE WHEN support * 2 >= readings THEN off + row_index WHEN position > coalesce(max(position) OVER (PARTITION BY s.capture_id ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN position END AS position FROM spots s LEFT JOIN best USING (capture_id)", POSITIONS))
 def position_repair(d: Domain) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("period_id").orderBy("donation_id")).cast("bigint")
-    return capture.repair_positions(d.donations.select(F.col("period_id").alias("capture_id"), n.alias("row_index"), F.when(F.col("donation_id") % 5 > 0, n + 3).alias("position")))
+    n = F.row_number().over(Window.partitionBy("period_id").orderBy("donation_id")).cast("bigint") - 1
+    hashed = F.col("alliance_id") + F.dayofmonth("period_start")
+    rows = d.donations.select("period_id", F.col("donation_id").alias("k"), n.alias("n"), hashed.alias("hashed"))
+    read = F.when(F.col("k") % 4 == 0, (F.col("n") + 3) % 10).when(F.col("hashed") % 3 == 0, F.col("k") % 97).otherwise(F.col("n") + 3)
+    page = F.concat(F.col("period_id"), F.lit("/"), F.floor(F.col("n") / 12).cast("string"))
+    return capture.repair_positions(rows.select(page.alias("capture_id"), (F.col("n") % 12).alias("row_index"), F.when(F.col("k") % 5 > 0, read).alias("position")))
 
 
 @query("mask_runs", sql("SELECT player_id, min(k) AS first, max(k) AS last, count(*) AS length, min(k) = min(low) OR max(k) = max(high) AS clipped FROM (SELECT *, k - row_number() OVER (PARTITION BY player_id ORDER BY k) AS island FROM (SELECT player_id, row_number() OVER (PARTITION BY player_id ORDER BY event_id) AS k, value > 100 AS bit, 1 AS low, count(*) OVER (PARTITION BY player_id) AS high FROM (SELECT user_id AS player_id, event_id, value FROM events)) WHERE bit) GROUP BY player_id, island HAVING count(*) BETWEEN 2 AND 5"))
@@ -298,9 +336,7 @@ def mask_runs(d: Domain) -> DataFrame:
 
 @query("delta_histogram", "SELECT l_returnflag AS bucket, count(*) FILTER (l_quantity < 10) AS low, count(*) FILTER (l_quantity >= 10 AND l_quantity < 25) AS mid, count(*) FILTER (l_quantity >= 25 AND l_quantity < 40) AS high, count(*) FILTER (l_quantity >= 40) AS top, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem GROUP BY 1")
 def delta_histogram(d: Domain) -> DataFrame:
-    q = F.col("l_quantity")
-    bands = {"low": q < 10, "mid": (q >= 10) & (q < 25), "high": (q >= 25) & (q < 40), "top": q >= 40}
-    return d.raw("lineitem").groupBy(F.col("l_returnflag").alias("bucket")).agg(*(F.count_if(c).alias(k) for k, c in bands.items()), F.min(q).alias("least"), F.max(q).alias("most"))
+    return capture.histogram(d.raw("lineitem").withColumnRenamed("l_returnflag", "bucket"), ["bucket"], "l_quantity", (10, 25, 40))
 
 
 # calendar
@@ -331,30 +367,105 @@ def calendar_upcoming(d: Domain) -> DataFrame:
     return calendar.upcoming(_calendar(d), "1997-05-01").select("event_id", F.col("occurs_on").cast("string").alias("occurs_on"))
 
 
-@query("ics_export")
+STAMP = "strftime(begins, '%Y%m%dT%H%M%SZ')"
+ICS = """
+occ AS (SELECT o_orderkey AS event_id, o_orderpriority AS title, CAST(o_orderdate AS DATE) AS first, CAST(o_orderdate AS DATE) + TIME '20:00' AS begins,
+  (['none', 'daily', 'weekly', '4weekly', 'monthly', 'yearly', 'odd'])[CAST(o_orderkey % 7 + 1 AS INTEGER)] AS code, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) + 400 END AS until FROM orders),
+rules AS (SELECT *, CASE code WHEN 'daily' THEN 'DAILY' WHEN 'weekly' THEN 'WEEKLY' WHEN '4weekly' THEN 'WEEKLY;INTERVAL=4' WHEN 'monthly' THEN 'MONTHLY' WHEN 'yearly' THEN 'YEARLY' END AS freq FROM occ)
+"""
+
+
+@query("ics_export", f"""WITH {ICS} SELECT event_id, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:' || event_id || '-' || first || '@muster.example', 'DTSTAMP:20260101T000000Z', 'DTSTART:' || {STAMP},
+  'DTEND:' || {STAMP.replace("begins,", "begins + INTERVAL 1 HOUR,")}, 'SUMMARY:' || title, 'DESCRIPTION:a' || chr(92) || ',b' || chr(92) || ';c' || chr(92) || chr(92) || 'd' || chr(92) || 'ne', 'ORGANIZER:CN=x',
+  'RRULE:FREQ=' || freq || coalesce(';UNTIL=' || strftime(until, '%Y%m%d') || 'T235959Z', ''), 'END:VEVENT') AS ics FROM rules""")
 def ics_export(d: Domain) -> DataFrame:
     return calendar.vevent(_calendar(d).withColumn("author", F.lit("x")), "20260101T000000Z")
 
 
+@query("calendar_ended", f"WITH {CALENDAR.replace('+ 400', '- 30')} SELECT event_id, CAST(occurs_on AS VARCHAR) AS occurs_on FROM steps JOIN cal USING (event_id) WHERE occurs_on BETWEEN DATE '1997-03-01' AND DATE '1997-04-15' AND (steps.until IS NULL OR occurs_on <= steps.until OR code = 'none')")
+def calendar_ended(d: Domain) -> DataFrame:
+    """An end before the first date: only what does not repeat occurs."""
+    ended = F.when(F.col("event_id") % 2 == 0, F.date_sub("date", 30))
+    return calendar.expand(_calendar(d).withColumn("recurrence_end", ended), "1997-03-01", "1997-04-15").select("event_id", F.col("occurs_on").cast("string").alias("occurs_on"))
+
+
+WITHIN = f"WITH {CALENDAR} SELECT event_id, CAST(occurs_on AS VARCHAR) AS occurs_on, {{0}} FROM steps WHERE occurs_on BETWEEN DATE '{{1}}' AND DATE '{{2}}' AND (until IS NULL OR occurs_on <= until)"
+
+
+@query("calendar_month", WITHIN.format("CAST(5 + day(occurs_on) - 1 AS INTEGER) AS cell", "1997-03-01", "1997-03-31"))
+def calendar_month(d: Domain) -> DataFrame:
+    return calendar.month_grid(_calendar(d), 1997, 3).select("event_id", F.col("occurs_on").cast("string").alias("occurs_on"), "cell")
+
+
+@query("calendar_week", WITHIN.format("CAST(occurs_on - DATE '1997-03-10' AS INTEGER) AS weekday", "1997-03-10", "1997-03-16"))
+def calendar_week(d: Domain) -> DataFrame:
+    return calendar.week_grid(_calendar(d), "1997-03-13").select("event_id", F.col("occurs_on").cast("string").alias("occurs_on"), "weekday")
+
+
+@query("calendar_widget", WITHIN.format("'today' AS kind", "1997-03-10", "1997-03-10") + " ORDER BY event_id LIMIT 6")
+def calendar_widget(d: Domain) -> DataFrame:
+    return calendar.widget(_calendar(d), "1997-03-10").select("event_id", F.col("occurs_on").cast("string").alias("occurs_on"), "kind")
+
+
+@query("calendar_next_raid", WITHIN.format("'1d 08h 30m 00s' AS countdown", "1997-03-11", "1997-03-11") + " ORDER BY event_id LIMIT 1")
+def calendar_next_raid(d: Domain) -> DataFrame:
+    """Events of the evening are over by then; the next one begins the day after."""
+    raids = _calendar(d).withColumn("time", F.when(F.col("event_id") % 2 == 0, "20:00").otherwise("20:00:00"))
+    later = calendar.next_of_type(raids, "1997-03-10 20:01")
+    now = F.lit("1997-03-10 11:30").cast("timestamp")
+    return later.select("event_id", F.col("occurs_on").cast("string").alias("occurs_on"), calendar.countdown(F.col("at"), now).alias("countdown"))
+
+
+@query("calendar_type_counts", "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'raid' ELSE 'event' END AS type, count(*) AS events FROM orders GROUP BY 1")
+def calendar_type_counts(d: Domain) -> DataFrame:
+    return calendar.type_counts(_calendar(d).withColumn("type", F.when(F.col("event_id") % 3 == 0, "raid").otherwise("event")))
+
+
 # names and screens as text
 
 
-@query("name_cleanup")
+@query("name_cleanup", "SELECT p_partkey, 'SOD' AS tag, p_name AS name, false AS misread FROM part")
 def name_cleanup(d: Domain) -> DataFrame:
-    p = d.raw("part").select("p_partkey", F.concat(F.lit("(SOD) "), F.col("p_name")).alias("raw"))
+    p = d.raw("part").select("p_partkey", F.concat(F.lit("(SOD)  "), F.replace("p_name", F.lit(" "), F.lit(" \u200b "))).alias("raw"))
     clean = names.strip_alliance_tag(names.fix_substitutions(names.normalize_name(F.col("raw"))))
     return p.select("p_partkey", clean.alias("c")).select("p_partkey", "c.tag", "c.name", names.looks_misread(F.col("c.name")).alias("misread"))
 
 
-@query("screen_routing")
+HEADERS = (
+    ("Elite Wars 12:00 Rank", "event", "elite_wars"), ("Eiite Wars Rank", "event", "elite_wars"), ("Contribution  Ranking", "donation", "contribution_ranking"), ("City stats chat", "player_stats", "player_stats_chat"),
+    ("hello there", "unknown_event", None), ("12:00 wasteiand sh0wdown rank", "event", "wasteland_showdown"), ("", "unknown_event", None), ("city ranking of contribution and stat", "donation", "contribution_ranking"),
+)
+
+
+@query("screen_routing", f"SELECT p_partkey, (['{"', '".join(h[1] for h in HEADERS)}'])[p_partkey % 8 + 1] AS kind, ([{", ".join("NULL" if h[2] is None else f"'{h[2]}'" for h in HEADERS)}])[p_partkey % 8 + 1] AS code FROM part")
 def screen_routing(d: Domain) -> DataFrame:
-    code = F.element_at(F.array(*map(F.lit, ("Elite Wars 12:00 Rank", "Eiite Wars Rank", "Contribution Ranking", "City stats chat", "hello there"))), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return screens.route(d.raw("part").select("p_partkey", code.alias("header")), screens.titles(d.spark)).select("p_partkey", "kind", "code")
+    header = F.get(F.array(*(F.lit(h[0]) for h in HEADERS)), (F.col("p_partkey") % 8).cast("int"))
+    return screens.route(d.raw("part").select("p_partkey", header.alias("header")), screens.titles(d.spark)).select("p_partkey", "kind", "code")
+
 
+#: Chat posts of one screenshot of five events each: labels; bare readings after debris; a reading before its label; places
+#: out of order, one far from its value; noise and an instruction between posts.
+CHAT = "n AS (SELECT event_id, event_id // 5 AS capture_id, event_id % 4 AS form, event_id % 900 + 100 AS a, event_id % 800 + 101 AS b, event_id % 700 + 102 AS c FROM events)"
+CHAT_SELECT = """SELECT capture_id, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY event_id) - 1 AS INTEGER) AS ordinal, 'Player' || event_id AS name, CASE WHEN form = 2 THEN 'mra' ELSE 'lra' END AS attack_kind,
+  CASE WHEN form = 3 THEN NULL ELSE CAST(a AS DOUBLE) + CASE WHEN form = 0 THEN 0.5 ELSE 0 END END AS attack_pct, CAST(b AS DOUBLE) AS hp_pct, CASE WHEN form = 2 THEN NULL ELSE CAST(c AS DOUBLE) END AS defense_pct, CASE WHEN form >= 2 THEN 2 ELSE 3 END / 3.0::DOUBLE AS confidence FROM n"""
 
-@query("stats_chat_parse")
+
+@query("stats_chat_parse", f"WITH {CHAT} {CHAT_SELECT}")
 def stats_chat_parse(d: Domain) -> DataFrame:
-    return stats_chat.parse(stats_chat.sample_lines(d.raw("events")))
+    e = d.raw("events").select("event_id", F.floor(F.col("event_id") / 5).cast("bigint").alias("capture_id"), (F.col("event_id") % 4).alias("form"))
+    text = lambda n, k: (F.col("event_id") % n + k).cast("string")
+    a, b, c = text(900, 100), text(800, 101), text(700, 102)
+    name = F.concat(F.lit("Player"), F.col("event_id").cast("string"))
+    lit, join = F.lit, F.concat
+    forms = (
+        F.array(name, join(lit("LRA-"), a, lit(".5")), lit("05-02 13:20"), join(lit("1) MHP - "), b), join(lit("MHD "), c, lit(" 1}"))),
+        F.array(name, lit("| oer"), a, join(lit("\u00ab "), b, lit(" \u2116")), lit("translated"), c),
+        F.array(name, b, join(lit("MRA "), a)),
+        F.array(name, join(lit("| 3) mae - "), c, lit(" A")), join(lit("2)"), b), lit("please post the stats of your army here today")),
+    )
+    lines = F.when(F.col("form") == 0, forms[0]).when(F.col("form") == 1, forms[1]).when(F.col("form") == 2, forms[2]).otherwise(forms[3])
+    rows = e.select("capture_id", "event_id", F.posexplode(lines).alias("k", "line"))
+    return stats_chat.parse(rows.select("capture_id", (F.col("event_id") * 10 + F.col("k")).alias("line_no"), "line")).drop("raw_lines")
 
 
 @query("llm_crosscheck", sql("SELECT donation_id, CASE WHEN donation_id % 3 = 0 AND donation_id % 2 = 0 THEN honor + 5 ELSE honor END AS honor, CASE WHEN donation_id % 3 > 0 THEN 0.9 WHEN donation_id % 2 = 0 THEN 0.45 ELSE 0.0 END::DOUBLE AS confidence FROM dons"))
