@@ -140,14 +140,18 @@ def _moments(scale: float, factor: float) -> list[Column]:
     return [(m / scale).alias(f"m{i}") for i, m in enumerate(mean)] + [(factor * c / scale**2).alias(f"s{i}{j}") for (i, j), c in cov.items()]
 
 
-def _starts(rows: DataFrame, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: Groups up to which tables of a few rows a group are one partition, and so what is done to them one task.
+TASK_GROUPS = 200
+
+
+def _starts(rows: DataFrame, hint: Callable[[DataFrame], DataFrame], small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Three estimates of each group (g, start, m0.., s00..) to begin with, all around the medians and with the median
     absolute deviations as scales: uncorrelated; with the correlations of the hyperbolic tangents of the standardised
     values; and with those of their directions."""
     n = len(STATS)
     medians = rows.groupBy("g").agg(*(F.percentile(F.round(F.col(f"q{i}") / SCALE, 2), F.lit(0.5)).alias(f"c{i}") for i in range(n)))
     spread = rows.join(hint(medians), "g").groupBy("g").agg(*(F.percentile(F.round(F.abs(F.col(f"q{i}") / SCALE - F.col(f"c{i}")), 2), F.lit(0.5)).alias(f"a{i}") for i in range(n)))
-    centre = keep(medians.join(spread, "g").select("g", *(f"c{i}" for i in range(n)), *(F.greatest(1.4826 * F.col(f"a{i}"), F.lit(FLOOR[i])).alias(f"a{i}") for i in range(n))))
+    centre = keep(small(medians.join(spread, "g").select("g", *(f"c{i}" for i in range(n)), *(F.greatest(1.4826 * F.col(f"a{i}"), F.lit(FLOOR[i])).alias(f"a{i}") for i in range(n)))))
     z = rows.join(hint(centre), "g").select("g", *((F.col(f"q{i}") / SCALE - F.col(f"c{i}")).alias(f"z{i}") for i in range(n)), *(F.col(f"a{i}") for i in range(n)))
     z = z.select("g", *((F.col(f"z{i}") / F.col(f"a{i}")).alias(f"z{i}") for i in range(n)))
     length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, n)), F.col("z0") * F.col("z0")))
@@ -164,32 +168,35 @@ def _starts(rows: DataFrame, hint: Callable[[DataFrame], DataFrame]) -> DataFram
     return plain.unionByName(shaped)
 
 
-def estimates(rows: DataFrame, few: bool = True) -> DataFrame:
+def estimates(rows: DataFrame, n_groups: int = 1) -> DataFrame:
     """Of each group of rows (g, size, q0..: whole thousandths of the statistics) the factors (m0.., l00..) of the
     minimum-covariance-determinant estimate: of all starts, each concentrated until nothing changes (at most `STEPS`
-    times), the one with the smallest determinant; the first on ties. `few`: groups are so few that they are broadcast."""
-    hint = F.broadcast if few else (lambda df: df)
+    times), the one with the smallest determinant; the first on ties. By the number of groups their tables are broadcast
+    and worked on in one task, or joined and dealt out."""
+    hint = F.broadcast if n_groups <= BROADCAST_GROUPS else (lambda df: df)
+    small = (lambda df: df.coalesce(1)) if n_groups <= TASK_GROUPS else (lambda df: df)
     n = len(STATS)
-    factors = keep(_factors(_starts(rows, hint), "start"))
+    factors = _factors(keep(small(_starts(rows, hint, small))), "start")
     values = rows.select("g", "size", *(F.col(f"q{i}") for i in range(n)), *((F.col(f"q{i}") / SCALE).alias(x) for i, x in enumerate(STATS)))
+    names = ["n", *(f"t{i}" for i in range(n)), *(f"t{i}{j}" for i, j in _pairs())]
     before = None
     for _ in range(STEPS):
         far = _far(values.join(hint(factors), "g"))
         binned = far.withColumn("bin", F.floor(F.log(F.greatest("d2", F.lit(1e-6))) * BINS))
-        bins = binned.groupBy("g", "start", "bin").agg(F.count("*").alias("n"), F.max("size").alias("size"), *_sums([F.col(f"q{i}") for i in range(n)]))
+        bins = small(binned.groupBy("g", "start", "bin").agg(F.count("*").alias("n"), F.max("size").alias("size"), *_sums([F.col(f"q{i}") for i in range(n)])))
         inner = Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         kept = bins.withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0))).where(F.col("before") < F.ceil(KEEP * F.col("size")))
-        names = ["n", *(f"t{i}" for i in range(n)), *(f"t{i}{j}" for i, j in _pairs())]
         total = keep(kept.groupBy("g", "start").agg(*(F.sum(c).alias(c) for c in names)))
         # the innermost share of a normal sample has a smaller scatter than the whole, by a known factor
-        factors = keep(_factors(total.select("g", "start", *_moments(SCALE, CONSISTENCY)), "start"))
-        if before is not None and not total.join(hint(before), ["g", "start", *names], "left_anti").limit(1).count():
+        factors = _factors(total.select("g", "start", *_moments(SCALE, CONSISTENCY)), "start")
+        now = total.agg(F.bit_xor(F.xxhash64("g", "start", *names))).first()[0]  # one number that tells whether any sum changed
+        if now == before:
             break
-        before = total
+        before = now
     determinant = sum((F.log(f"l{i}{i}") for i in range(1, n)), F.log("l00"))
     rest = [c for c in factors.columns if c != "g"]
     best = factors.groupBy("g").agg(F.min_by(F.struct(*rest), F.struct(determinant, "start")).alias("b"))
-    return keep(best.select("g", "b.*").drop("start"))
+    return keep(small(best.select("g", "b.*").drop("start")))
 
 
 def outliers(measured: DataFrame, min_group: int) -> DataFrame:
@@ -199,18 +206,19 @@ def outliers(measured: DataFrame, min_group: int) -> DataFrame:
     pooled = F.sum(F.when(F.col("n") < min_group, F.col("n"))).over(Window.partitionBy("lang"))
     label = F.when(F.col("n") >= min_group, F.to_json(F.array("lang", "source"))).when(pooled >= min_group, F.to_json(F.array("lang"))).otherwise("[]")
     groups = keep(sizes.select("lang", "source", "n", label.alias("g")))
+    n_groups = groups.count()
+    small = (lambda df: df.coalesce(1)) if n_groups <= TASK_GROUPS else (lambda df: df)
     left = groups.where("g = '[]'").agg(F.sum("n")).first()[0] or 0
     # leftovers too few for an estimate of their own are judged by that of all texts
     others = groups.where("g <> '[]'").unionByName(groups.withColumn("g", F.lit("[]")))
     fed = others if 0 < left < min_group else groups
-    usable = keep(fed.groupBy("g").agg(F.sum("n").alias("size")))
-    few = groups.count() <= BROADCAST_GROUPS
-    hint = F.broadcast if few else (lambda df: df)
+    usable = keep(small(fed).groupBy("g").agg(F.sum("n").alias("size")))
+    hint = F.broadcast if n_groups <= BROADCAST_GROUPS else (lambda df: df)
     fed = fed.join(usable, "g").select(F.col("lang").alias("l"), F.col("source").alias("s"), "g", "size")
     groups = groups.select(F.col("lang").alias("l"), F.col("source").alias("s"), "g")
     whole = [F.round(F.col(x) * SCALE).cast("bigint").alias(f"q{i}") for i, x in enumerate(STATS)]
     rows = able.join(hint(fed), able["lang"].eqNullSafe(F.col("l")) & able["source"].eqNullSafe(F.col("s"))).select("g", "size", *whole)
-    factors = estimates(rows, few)
+    factors = estimates(rows, n_groups)
     keyed = measured.join(hint(groups), measured["lang"].eqNullSafe(F.col("l")) & measured["source"].eqNullSafe(F.col("s")), "left").drop("l", "s")
     exact = keyed.withColumns({x: F.round(F.col(x) * SCALE) / SCALE for x in STATS})
     return _far(exact.join(hint(factors), "g", "left"))
@@ -220,7 +228,7 @@ def outliers(measured: DataFrame, min_group: int) -> DataFrame:
 CONSISTENCY = 1.412
 
 
-def judge(docs: DataFrame, min_group: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, min_group: int = 60, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Per row: the key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance."""
     measured = keep(statistics(docs, id_col, text_col, lang_col, source_col))
     seen = outliers(measured, min_group)
