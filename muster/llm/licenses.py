@@ -100,8 +100,11 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, pe
     lower = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = docs.select(F.col(id_col).alias("doc"), lower.alias("text")).where(F.col("text").rlike(rf"(?<![a-z0-9])(?:{anchor})(?![a-z0-9])"))
     texts = texts.select("doc", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
+    sizes = sorted({min(5, len(w)) for _, w in cut})
+    # texts are read and cut into words once, for all sizes of shingles
+    all_hashes = keep(texts.select("doc", *(_shingles("words", k).alias(f"hashes{k}") for k in sizes)))
     out = None
-    for k in sorted({min(5, len(w)) for _, w in cut}):
+    for k in sizes:
         own = [(name, w, len(w)) for name, w in cut if min(5, len(w)) == k]
         named = spark.createDataFrame(own, "license string, words array<string>, length int")
         named = named.select("license", "length", F.array_distinct(_shingles("words", k)).alias("wanted"))
@@ -110,7 +113,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, pe
         known = sorted({h for r in named.select("wanted").collect() for h in r.wanted})  # bounded as the templates are
         # each length with its step, and how many windows of it hold a given shingle
         steps = sorted({(n, max(1, n // 8)) for _, _, n in own})
-        hashed = keep(texts.select("doc", _shingles("words", k).alias("hashes")))
+        hashed = all_hashes.select("doc", F.col(f"hashes{k}").alias("hashes"))
         hit = hashed.withColumn("at", F.filter(F.transform("hashes", lambda h, i: F.when(h.isin(known), i)), lambda i: i.isNotNull()))
         starts = [_starts(n, step, k) for n, step in steps]
         windows = hit.select("doc", "hashes", F.explode_outer(F.concat(*starts)).alias("w"))
