@@ -304,7 +304,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, kind: str = "word", en
 
     key, text = F.col(id_col).cast("bigint").alias("key"), F.col(text_col).alias("text")
     # texts begin to order rows of equal keys and of none, so that these too are dealt over tasks
-    head = F.left(text, F.lit(32)).alias("head")
+    head = F.left(text, F.lit(16)).alias("head")
     ordered = docs.select(key, text, head).repartitionByRange("key", "head").sortWithinPartitions("key", "text").select("key", "text")
     ordered.mapInArrow(run, "shard int, block bigint, n_ids bigint, data binary").write.option("compression", "none").parquet(path)
 
