@@ -120,7 +120,7 @@ def recurrence_rule(events: DataFrame) -> Column:
 
 def vevent(events: DataFrame, dtstamp: str, domain: str = "muster.example", with_rule: bool = True) -> DataFrame:
     """One VEVENT of an hour a row, lines ended by CR LF; lines without content are left out."""
-    at = F.try_to_timestamp(F.concat_ws(" ", F.col("date").cast("string"), "time"), F.lit("yyyy-MM-dd HH:mm"))
+    at = F.try_to_timestamp(F.concat_ws(" ", F.col("date").cast("string"), F.left("time", F.lit(5))), F.lit("yyyy-MM-dd HH:mm"))
     stamp = lambda t: F.date_format(t, "yyyyMMdd'T'HHmmss'Z'")
     named = lambda name, value: F.concat(F.lit(name), value)
     lines = [
@@ -132,7 +132,20 @@ def vevent(events: DataFrame, dtstamp: str, domain: str = "muster.example", with
     return events.select("event_id", F.concat_ws("\r\n", *lines).alias("ics"))
 
 
-def google_url(title: Column, start: Column) -> Column:
-    encoded = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+def encoded(text: Column) -> Column:
+    """Percent-encoding of a part of an address: letters, digits and - _ . ! ~ * ' ( ) stand for themselves."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for c in "!~'()":
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return out
+
+
+def google_url(events: DataFrame) -> Column:
+    """The address that adds an event of an hour to a calendar, with its repetition if it has one."""
+    at = F.try_to_timestamp(F.concat_ws(" ", F.col("date").cast("string"), F.left("time", F.lit(5))), F.lit("yyyy-MM-dd HH:mm"))
     stamp = lambda t: F.date_format(t, "yyyyMMdd'T'HHmmss'Z'")
-    return F.concat(F.lit("https://calendar.google.com/calendar/render?action=TEMPLATE&text="), encoded(title), F.lit("&dates="), stamp(start), F.lit("/"), stamp(start + F.expr("INTERVAL 1 HOUR")))
+    rule = F.coalesce(F.concat(F.lit("&recur="), encoded(F.concat(F.lit("RRULE:"), recurrence_rule(events)))), F.lit(""))
+    return F.concat(
+        F.lit("https://calendar.google.com/calendar/render?action=TEMPLATE&text="), encoded(F.col("title")), F.lit("&dates="), stamp(at), F.lit("/"), stamp(at + F.expr("INTERVAL 1 HOUR")),
+        F.lit("&details="), encoded(F.coalesce("description", F.lit(""))), rule,
+    )

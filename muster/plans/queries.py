@@ -382,6 +382,13 @@ def ics_export(d: Domain) -> DataFrame:
     return calendar.vevent(_calendar(d).withColumn("author", F.lit("x")), "20260101T000000Z")
 
 
+@query("google_links", f"""WITH {ICS} SELECT event_id, 'https://calendar.google.com/calendar/render?action=TEMPLATE&text=' || replace(title, ' ', '%20') || '&dates=' || {STAMP} || '/' || {STAMP.replace("begins,", "begins + INTERVAL 1 HOUR,")} || '&details=a%2Cb%3Bc%5Cd%0Ae'
+  || coalesce('&recur=RRULE%3AFREQ%3D' || replace(replace(freq, ';', '%3B'), '=', '%3D') || coalesce('%3BUNTIL%3D' || strftime(until, '%Y%m%d') || 'T235959Z', ''), '') AS url FROM rules""")
+def google_links(d: Domain) -> DataFrame:
+    rows = _calendar(d)
+    return rows.select("event_id", calendar.google_url(rows).alias("url"))
+
+
 @query("calendar_ended", f"WITH {CALENDAR.replace('+ 400', '- 30')} SELECT event_id, CAST(occurs_on AS VARCHAR) AS occurs_on FROM steps JOIN cal USING (event_id) WHERE occurs_on BETWEEN DATE '1997-03-01' AND DATE '1997-04-15' AND (steps.until IS NULL OR occurs_on <= steps.until OR code = 'none')")
 def calendar_ended(d: Domain) -> DataFrame:
     """An end before the first date: only what does not repeat occurs."""

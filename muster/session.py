@@ -13,6 +13,7 @@ def session(name: str = "muster", **conf: str) -> SparkSession:
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # checkpoints go with the tables that need them
     }
     for k, v in (fixed | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)

@@ -242,6 +242,11 @@ def test_ends_before_the_beginning(spark):
     assert [r[0] for r in one(spark, rows, "t string", c=calendar.countdown(F.col("t").cast("timestamp"), now))] == ["NOW", "00h 00m 01s", "2d 05h 02m 03s"]
 
 
+def test_addresses_are_encoded(spark):
+    rows = [("a b+c&d/é!~*'()-_.",), ("",), (None,)]
+    assert [r[0] for r in one(spark, rows, "t string", u=calendar.encoded(F.col("t")))] == ["a%20b%2Bc%26d%2F%C3%A9!~*'()-_.", "", None]
+
+
 # streams
 
 
