@@ -130,6 +130,16 @@ def merge_duplicate_players(tables: dict[str, DataFrame], mapping: DataFrame) ->
     }
 
 
+def merged_roster(roster: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Players after duplicates (player_id, canonical_id) are merged: the canonical one has the largest power and the
+    latest sight of all, and the rank of the one seen last (its own on ties and where nobody was seen)."""
+    joined = roster.join(mapping.select("player_id", "canonical_id"), "player_id", "left").withColumn("__own", F.col("canonical_id").isNull())
+    to = F.coalesce("canonical_id", "player_id")
+    best = joined.groupBy(to.alias("player_id")).agg(F.max("last_power").alias("__power"), F.max("last_seen_at").alias("__seen"), F.max_by(F.struct("last_rank"), F.struct("last_seen_at", "__own")).alias("__rank"))
+    kept = joined.where("__own").join(best, "player_id")
+    return kept.withColumns({"last_power": F.col("__power"), "last_seen_at": F.col("__seen"), "last_rank": F.col("__rank.last_rank")}).select(*roster.columns)
+
+
 def apply_name_fixes(tables: dict[str, DataFrame], plan: DataFrame) -> dict[str, DataFrame]:
     """Applies a plan of `tagged_names`: renames and merges players whose names hold a tag, and gives their donations the
     tag. Merged participations keep the canonical player's row; of donations in one period the latest wins."""

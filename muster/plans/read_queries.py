@@ -23,6 +23,11 @@ def rates_in_order(d: Domain) -> DataFrame:
     return reads.rates_in_order(d, 3).limit(30).select("player_id", "participation_pct")
 
 
+@query("names_in_order", sql("SELECT player_id, player_name FROM roster ORDER BY player_name DESC LIMIT 30"))
+def names_in_order(d: Domain) -> DataFrame:
+    return d.roster.orderBy(reads.nulls_last("player_name", True, text=True)).limit(30).select("player_id", "player_name")
+
+
 @query("history_by_event", sql("SELECT p.participation_id, strftime(e.event_dt, '%Y-%m-%d') AS event_date FROM parts p LEFT JOIN evs e ON e.event_id = p.event_id AND e.alliance_id = 4 WHERE p.player_id = 4 ORDER BY event_date NULLS LAST, participation_id"))
 def history_by_event(d: Domain) -> DataFrame:
     return reads.history_by_event(d, 4, 4).select("participation_id", "event_date")

@@ -377,6 +377,19 @@ def player_merge(d: Domain) -> DataFrame:
     return rows
 
 
+MERGED = """
+held AS (SELECT player_id, CASE WHEN player_id % 10 = 1 THEN player_id - 1 ELSE player_id END AS to_id, last_power, last_seen_at, 'R' || (player_id % 3 + 1) AS last_rank, CASE WHEN player_id % 10 = 1 THEN 1 ELSE 0 END AS dup FROM players)
+"""
+
+
+@query("merged_roster", sql("SELECT to_id AS player_id, max(last_power) AS last_power, strftime(max(last_seen_at), '%Y-%m-%d') AS last_seen, first(last_rank ORDER BY last_seen_at DESC NULLS LAST, dup) AS last_rank FROM held GROUP BY to_id HAVING bool_or(dup = 0)", MERGED))
+def merged_roster(d: Domain) -> DataFrame:
+    rank = F.concat(F.lit("R"), (F.col("player_id") % 3 + 1).cast("string"))
+    mapping = d.roster.where("player_id % 10 = 1").select("player_id", (F.col("player_id") - 1).alias("canonical_id"))
+    out = maintenance.merged_roster(d.players.withColumn("last_rank", rank), mapping)
+    return out.select("player_id", "last_power", F.date_format("last_seen_at", "yyyy-MM-dd").alias("last_seen"), "last_rank")
+
+
 @query("name_fixes_applied", sql("""SELECT 'roster' AS what, player_id AS a, player_name AS b FROM roster WHERE player_id % 5 <> 4 OR player_id % 2 = 1
   UNION ALL SELECT 'donations', donation_id, tag FROM (SELECT *, row_number() OVER (PARTITION BY period_id, to_id ORDER BY period_start DESC, donation_id DESC) AS n FROM (
     SELECT donation_id, period_id, period_start, CASE WHEN player_id % 5 = 4 AND player_id % 2 = 0 THEN player_id - 1 ELSE player_id END AS to_id, CASE WHEN player_id % 5 = 4 THEN 'SOD' END AS tag FROM dons)) WHERE n = 1"""))
