@@ -140,7 +140,8 @@ def _moments(scale: float, factor: float) -> list[Column]:
     return [(m / scale).alias(f"m{i}") for i, m in enumerate(mean)] + [(factor * c / scale**2).alias(f"s{i}{j}") for (i, j), c in cov.items()]
 
 
-#: Groups up to which tables of a few rows a group are one partition, and so what is done to them one task.
+#: Groups up to which tables of a few rows a group and bin are one partition, once they have been added up in all tasks,
+#: and so what is done to them one task.
 TASK_GROUPS = 200
 
 
@@ -174,7 +175,7 @@ def estimates(rows: DataFrame, n_groups: int = 1) -> DataFrame:
     times), the one with the smallest determinant; the first on ties. By the number of groups their tables are broadcast
     and worked on in one task, or joined and dealt out."""
     hint = F.broadcast if n_groups <= BROADCAST_GROUPS else (lambda df: df)
-    small = (lambda df: df.coalesce(1)) if n_groups <= TASK_GROUPS else (lambda df: df)
+    small = (lambda df: df.repartition(1)) if n_groups <= TASK_GROUPS else (lambda df: df)
     n = len(STATS)
     factors = _factors(keep(small(_starts(rows, hint, small))), "start")
     values = rows.select("g", "size", *(F.col(f"q{i}") for i in range(n)), *((F.col(f"q{i}") / SCALE).alias(x) for i, x in enumerate(STATS)))
@@ -207,7 +208,7 @@ def outliers(measured: DataFrame, min_group: int) -> DataFrame:
     label = F.when(F.col("n") >= min_group, F.to_json(F.array("lang", "source"))).when(pooled >= min_group, F.to_json(F.array("lang"))).otherwise("[]")
     groups = keep(sizes.select("lang", "source", "n", label.alias("g")))
     n_groups = groups.count()
-    small = (lambda df: df.coalesce(1)) if n_groups <= TASK_GROUPS else (lambda df: df)
+    small = (lambda df: df.repartition(1)) if n_groups <= TASK_GROUPS else (lambda df: df)
     left = groups.where("g = '[]'").agg(F.sum("n")).first()[0] or 0
     # leftovers too few for an estimate of their own are judged by that of all texts
     others = groups.where("g <> '[]'").unionByName(groups.withColumn("g", F.lit("[]")))
