@@ -127,12 +127,16 @@ class VpTree:
                     self._descend(far, mine[left], at_leaf)
 
 
-def _blob(**arrays: np.ndarray) -> bytes:
+def to_blob(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
     return out.getvalue()
 
 
+def load_blob(data: bytes) -> dict[str, np.ndarray]:
+    return dict(np.load(io.BytesIO(data)))
+
+
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = table.column("id").to_numpy()
     flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -147,7 +151,7 @@ def _gather(key: tuple, table: pa.Table) -> pa.Table:
     """A block's queries as one binary value."""
     keys, x = _matrix(table)
     keys, first = np.unique(keys, return_index=True)
-    return _part(key, _blob(keys=keys, x=x[first]))
+    return _part(key, to_blob(keys=keys, x=x[first]))
 
 
 def _build_tree(k: int):
@@ -168,13 +172,13 @@ def _build_tree(k: int):
         lifted = np.concatenate((distinct, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]), axis=1)
         tree = VpTree(lifted)
         nodes = np.array(tree.nodes, np.float64)
-        return _part(key, _blob(x=distinct, lifted=lifted, order=tree.order, nodes=nodes, owner=group[again][same], keys=keys[again][same]))
+        return _part(key, to_blob(x=distinct, lifted=lifted, order=tree.order, nodes=nodes, owner=group[again][same], keys=keys[again][same]))
 
     return run
 
 
 def _load_tree(data: bytes) -> tuple[VpTree, dict]:
-    held = dict(np.load(io.BytesIO(data)))
+    held = load_blob(data)
     tree = VpTree.__new__(VpTree)
     tree.points, tree.order, tree.root = held["lifted"], held["order"], 0
     tree.nodes = [(int(a), int(b), int(v), r, int(i), int(o)) for a, b, v, r, i, o in held["nodes"].tolist()]
@@ -187,7 +191,7 @@ def _search(k: int, factor: float):
         ids, found, scores = [], [], []
         if len(blobs) == 2:
             tree, held = _load_tree(blobs["tree"])
-            block = np.load(io.BytesIO(blobs["block"]))
+            block = load_blob(blobs["block"])
             q, q_keys = block["x"], block["keys"]
             lifted = np.concatenate((q, np.zeros((len(q), 1))), axis=1)
             starts = np.searchsorted(held["owner"], np.arange(len(held["x"]) + 1))
