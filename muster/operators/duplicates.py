@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.functions.names import duplicate_key, name_key, proximity, similarity, tier
+from muster.operators.kept import kept
+from muster.operators.similarity import compared, deletions, similar
 from muster.operators.upsert import best_by
 
 
-def _deletions(key: Column) -> Column:
-    """A key and all keys with one character less: two keys at a distance of 1 or less share one of these."""
-    one_less = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1))), lambda k: F.concat(F.substring(key, 1, k - 1), F.substring(key, k + 1, F.length(key))))
-    return F.array_distinct(F.concat(F.array(key), one_less))
+#: Fixed value: the similarity from which two keys are strongly alike.
+CLOSE = 0.8
 
 
 def within_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -20,8 +20,8 @@ def within_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
     An equi-join on deletion neighbourhoods, so the cost follows the number of near pairs and not that of all pairs.
     """
-    a = left.select(*on, F.col("id").alias("l_id"), F.col("key").alias("l_key"), F.explode(_deletions(F.col("key"))).alias("near"))
-    b = right.select(*on, F.col("id").alias("r_id"), F.col("key").alias("r_key"), F.explode(_deletions(F.col("key"))).alias("near"))
+    a = left.select(*on, F.col("id").alias("l_id"), F.col("key").alias("l_key"), F.explode(deletions(F.col("key"))).alias("near"))
+    b = right.select(*on, F.col("id").alias("r_id"), F.col("key").alias("r_key"), F.explode(deletions(F.col("key"))).alias("near"))
     pairs = a.join(b, [*on, "near"]).drop("near").distinct()
     return pairs.where(F.levenshtein("l_key", "r_key") <= 1)
 
@@ -45,22 +45,22 @@ def resolve(names: DataFrame, roster: DataFrame, aliases: DataFrame, shortest: i
     return out.select(*keys, kind.alias("resolution"), player.alias("player_id"))
 
 
-def _lengths(key: Column, least: float) -> Column:
-    """Lengths that a key can have which is as similar as `least` to this one, or one edit away."""
-    n = F.length(key)
-    return F.sequence(F.least(n - 1, F.ceil(n * least).cast("int")), F.greatest(n + 1, F.floor(n / least).cast("int")))
+def resembling(names: DataFrame, roster: DataFrame, least: float = 0.6) -> DataFrame:
+    """Pairs (alliance_id, raw_name, player_id, player_name, proximity, similarity, and `since` where both have one) of names
+    with players of the same alliance whose keys are equal, strongly or weakly alike, and as similar as `least`.
 
-
-def resembling(names: DataFrame, roster: DataFrame) -> DataFrame:
-    """Pairs (alliance_id, raw_name, player_id, player_name, proximity, similarity) of names with players of the same
-    alliance whose keys are equal, strongly or weakly alike. Only keys of lengths that allow it are compared."""
-    a = names.select("alliance_id", "raw_name", duplicate_key(F.col("raw_name")).alias("a_key")).distinct()
-    a = a.withColumn("len", F.explode(_lengths(F.col("a_key"), 0.6)))
-    b = roster.select("alliance_id", "player_id", "player_name", duplicate_key(F.col("player_name")).alias("b_key")).withColumn("len", F.length("b_key"))
-    pairs = a.join(b, ["alliance_id", "len"]).withColumn("distance", F.levenshtein("a_key", "b_key"))
-    x, y, d = F.col("a_key"), F.col("b_key"), F.col("distance")
-    out = pairs.select("alliance_id", "raw_name", "player_id", "player_name", proximity(x, y, d).alias("proximity"), similarity(x, y, d).alias("similarity"))
-    return out.where("proximity <> 'none'")
+    Distinct keys are compared, by a join whose cost follows the number of near pairs. `since`, the order of arrival of
+    names and players, leaves pairs in which the player was there before the name.
+    """
+    timed = ["since"] if "since" in names.columns and "since" in roster.columns else []
+    a = names.select("alliance_id", "raw_name", duplicate_key(F.col("raw_name")).alias("l_key"), *(F.col(c).alias("__name_since") for c in timed)).distinct()
+    a = kept(a)  # names are brought into their normal form once, as the join reads keys many times
+    b = roster.select("alliance_id", "player_id", "player_name", duplicate_key(F.col("player_name")).alias("r_key"), *(F.col(c).alias("__player_since") for c in timed))
+    b = kept(b)
+    near = similar(a.select("alliance_id", F.col("l_key").alias("key")), b.select("alliance_id", F.col("r_key").alias("key")), ["alliance_id"], least)
+    out = near.join(a, ["alliance_id", "l_key"]).join(b, ["alliance_id", "r_key"])
+    out = out.where("__player_since < __name_since") if timed else out
+    return out.select("alliance_id", "raw_name", "player_id", "player_name", "proximity", "similarity")
 
 
 def roster_collisions(credited: DataFrame, roster: DataFrame) -> DataFrame:
@@ -70,55 +70,87 @@ def roster_collisions(credited: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def nearest_in_roster(names: DataFrame, roster: DataFrame) -> DataFrame:
-    """Of each name the player it resembles most, the smallest on ties; names that resemble nobody are left out."""
-    near = resembling(names, roster)
-    best = near.groupBy("alliance_id", "raw_name").agg(F.max_by(F.struct("player_id", "player_name", "proximity", "similarity"), F.struct("similarity", -F.col("player_id"))).alias("b"))
-    return best.select("alliance_id", "raw_name", "b.*")
+    """Of each name the player it resembles most, the smallest on ties; names that resemble nobody are left out.
 
+    Names strongly alike to somebody are settled first, with the few pairs that this takes; only the
+    others are compared more widely.
+    """
+    order = F.struct("similarity", -F.col("player_id"))
+    best_of = lambda near: near.groupBy("alliance_id", "raw_name").agg(F.max_by(F.struct("player_id", "player_name", "proximity", "similarity"), order).alias("b")).select("alliance_id", "raw_name", "b.*")
+    first = best_of(resembling(names, roster, CLOSE))
+    rest = names.join(first.select("alliance_id", "raw_name"), ["alliance_id", "raw_name"], "left_anti")
+    return first.unionByName(best_of(resembling(rest, roster)))
 
-def duplicate_pairs(members: DataFrame, cap: int = 500) -> DataFrame:
-    """Pairs of members of one context that may be one player, with their proximity, similarity and tier.
 
-    Contexts of more than `cap` members are dealt in blocks of about `cap`, and every block meets every block, so that
-    no task has more than about cap squared pairs at once.
-    """
-    n = F.count("*").over(Window.partitionBy("context_id"))
-    dealt = members.withColumn("blocks", F.ceil(n / cap).cast("int")).withColumn("own", F.pmod(F.xxhash64("player_id"), F.col("blocks")).cast("int"))
-    keyed = dealt.select("context_id", "player_id", "value", duplicate_key(F.col("player_name")).alias("key"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    a = keyed.select("context_id", F.col("own").alias("a_block"), F.col("other").alias("b_block"), F.col("player_id").alias("a_id"), F.col("key").alias("a_key"), F.col("value").alias("a_value"))
-    b = keyed.select("context_id", F.col("other").alias("a_block"), F.col("own").alias("b_block"), F.col("player_id").alias("b_id"), F.col("key").alias("b_key"), F.col("value").alias("b_value"))
-    pairs = a.join(b, ["context_id", "a_block", "b_block"]).where("a_id < b_id")
+def _keyed(members: DataFrame) -> DataFrame:
+    """Members (context_id, player_id, value) with the key of the player's name, the smallest of several."""
+    names = members.groupBy("player_id").agg(F.min("player_name").alias("name")).select("player_id", duplicate_key(F.col("name")).alias("key"))
+    return kept(members.select("context_id", "player_id", "value").join(names, "player_id"))
+
+
+def _same_key(members: DataFrame) -> DataFrame:
+    """(context_id, a_id, b_id, same, similarity) of all meetings of two players with equal keys."""
+    a = members.select("context_id", "key", F.col("player_id").alias("a_id"), F.col("value").alias("a_value"))
+    b = members.select("context_id", "key", F.col("player_id").alias("b_id"), F.col("value").alias("b_value"))
+    same = F.coalesce(F.col("a_value") == F.col("b_value"), F.lit(False)).alias("same")
+    return a.join(b, ["context_id", "key"]).where("a_id < b_id").select("context_id", "a_id", "b_id", same, F.lit(1.0).alias("similarity"))
+
+
+def _strongly_alike(members: DataFrame) -> DataFrame:
+    """(context_id, a_id, b_id, same, similarity) of all meetings of two players whose keys are strongly alike but not
+    equal. Pairs come from segments within contexts; they are counted once, then names are compared, then those that
+    are alike are looked up in their contexts."""
+    ids = (F.least("l_id", "r_id").alias("a_id"), F.greatest("l_id", "r_id").alias("b_id"))
+    pairs = compared(members.select("context_id", F.col("player_id").alias("id"), "key"), None, ["context_id"], CLOSE).select(*ids).distinct()
+    names = members.select("player_id", "key").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(names.select(F.col("player_id").alias(f"{side}_id"), F.col("key").alias(f"{side}_key")), f"{side}_id")
+    alike = _graded(pairs).where("proximity = 'strong'").select("a_id", "b_id", "similarity")
+    a = members.select("context_id", F.col("player_id").alias("a_id"), F.col("value").alias("a_value"))
+    b = members.select("context_id", F.col("player_id").alias("b_id"), F.col("value").alias("b_value"))
+    same = F.coalesce(F.col("a_value") == F.col("b_value"), F.lit(False)).alias("same")
+    return alike.join(a, "a_id").join(b, ["context_id", "b_id"]).select("context_id", "a_id", "b_id", same, "similarity")
+
+
+def _same_value(members: DataFrame) -> DataFrame:
+    """(context_id, a_id, b_id, a_key, b_key) of all meetings of two players with the same value: every one is a finding,
+    whatever the names, so an equi-join on context and value makes no pair in vain."""
+    a = members.select("context_id", "value", F.col("player_id").alias("a_id"), F.col("key").alias("a_key"))
+    b = members.select("context_id", "value", F.col("player_id").alias("b_id"), F.col("key").alias("b_key"))
+    return a.join(b, ["context_id", "value"]).where("a_id < b_id").drop("value")
+
+
+def _graded(pairs: DataFrame) -> DataFrame:
+    """Pairs of keys with their proximity and similarity, their distance worked out once a pair."""
+    p = pairs.select("*", F.explode(F.array(F.levenshtein("a_key", "b_key"))).alias("distance"))
     x, y, d = F.col("a_key"), F.col("b_key"), F.col("distance")
-    near = proximity(x, y, d)
-    out = pairs.withColumn("distance", F.levenshtein("a_key", "b_key"))
-    out = out.select("context_id", "a_id", "b_id", near.alias("proximity"), similarity(x, y, d).alias("similarity"), tier(near, F.coalesce(F.col("a_value") == F.col("b_value"), F.lit(False))).alias("tier"))
-    return out.where("tier is not null")
+    return p.withColumn("proximity", proximity(x, y, d)).withColumn("similarity", similarity(x, y, d)).drop("a_key", "b_key", "distance")
+
+
+def duplicate_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of members (context_id, player_id, player_name, value) of one context that may be one player, with their
+    proximity, similarity and tier."""
+    keyed = _keyed(members)
+    columns = ["context_id", "a_id", "b_id", "proximity", "similarity", "tier"]
+    close = _same_key(keyed).withColumn("proximity", F.lit("exact-key")).unionByName(_strongly_alike(keyed).withColumn("proximity", F.lit("strong")))
+    others = _graded(_same_value(keyed)).where("proximity in ('weak', 'none')").withColumn("same", F.lit(True))
+    return close.unionByName(others).withColumn("tier", tier(F.col("proximity"), F.col("same"))).select(*columns)
 
 
 def candidates(members: DataFrame) -> DataFrame:
     """The best finding of each pair of players that share contexts, and in how many other contexts the pair was found.
 
-    How near two names are does not depend on the context, so pairs are first counted over all contexts, which combines
-    before the shuffle, and names are compared once a pair. A pair's finding is high or medium in the contexts where
-    both have the same value and, for near names, medium in all others; the best is the one with the smallest context.
+    A pair's finding is high or medium in the contexts where both have the same value and, for near names, medium in all
+    others; the best is the one with the smallest context. Three joins find all: on equal keys, on segments of keys that
+    are alike, and on equal values; none of them makes pairs by context alone.
     """
-    rows = members.select("context_id", "player_id", "value")
-    a = rows.select("context_id", F.col("player_id").alias("a_id"), F.col("value").alias("a_value"))
-    b = rows.select("context_id", F.col("player_id").alias("b_id"), F.col("value").alias("b_value"))
-    same = F.coalesce(F.col("a_value") == F.col("b_value"), F.lit(False))
-    met = a.join(b, "context_id").where("a_id < b_id").groupBy("a_id", "b_id").agg(
-        F.count("*").alias("n"), F.min("context_id").alias("first"), F.count_if(same).alias("n_same"), F.min(F.when(same, F.col("context_id"))).alias("first_same")
-    )
-    names = members.groupBy("player_id").agg(F.min("player_name").alias("name")).select("player_id", duplicate_key(F.col("name")).alias("key"))
-    keyed = met.join(names.select(F.col("player_id").alias("a_id"), F.col("key").alias("a_key")), "a_id").join(names.select(F.col("player_id").alias("b_id"), F.col("key").alias("b_key")), "b_id")
-    keyed = keyed.withColumn("distance", F.levenshtein("a_key", "b_key"))
-    x, y, d = F.col("a_key"), F.col("b_key"), F.col("distance")
-    near = keyed.withColumn("proximity", proximity(x, y, d)).withColumn("similarity", similarity(x, y, d))
-    close, equal = F.col("proximity").isin("exact-key", "strong"), F.col("n_same") > 0
-    found = F.when(close, F.col("n")).otherwise(F.col("n_same"))
-    best = near.withColumn("tier", tier(F.col("proximity"), equal)).where("tier is not null")
-    context = F.when(equal, F.col("first_same")).otherwise(F.col("first"))
-    return best.select(context.alias("context_id"), "a_id", "b_id", "proximity", "similarity", "tier", (found - 1).alias("also_in_contexts"))
+    keyed = _keyed(members)
+    found = [F.count("*").alias("n"), F.min("context_id").alias("first"), F.count_if("same").alias("n_same"), F.min(F.when(F.col("same"), F.col("context_id"))).alias("first_same")]
+    parts = [rows.groupBy("a_id", "b_id").agg(*found, F.max("similarity").alias("similarity")).withColumn("proximity", F.lit(name)) for rows, name in ((_same_key(keyed), "exact-key"), (_strongly_alike(keyed), "strong"))]
+    equal = _same_value(keyed).withColumn("same", F.lit(True)).groupBy("a_id", "b_id", "a_key", "b_key").agg(*found)
+    both = parts[0].unionByName(parts[1]).unionByName(_graded(equal).where("proximity in ('weak', 'none')"))
+    context = F.when(F.col("n_same") > 0, F.col("first_same")).otherwise(F.col("first"))
+    return both.select(context.alias("context_id"), "a_id", "b_id", "proximity", "similarity", tier(F.col("proximity"), F.col("n_same") > 0).alias("tier"), (F.col("n") - 1).alias("also_in_contexts"))
 
 
 def latest_contexts(events: DataFrame, periods: DataFrame, n_events: int = 40, n_periods: int = 6) -> DataFrame:

@@ -193,12 +193,18 @@ def test_duplicates_of_donation_periods_are_found(spark, sf_dir):
 
 
 def test_pairs_of_large_contexts_are_found_whole(spark):
+    from muster.functions.names import proximity, similarity, tier
     from muster.operators.duplicates import duplicate_pairs
 
     rows = [("c" if k < 60 else "d", k, f"Player{k * 7 % 13}x{k % 5}", k % 4) for k in range(70)]
     members = spark.createDataFrame(rows, "context_id string, player_id bigint, player_name string, value bigint")
-    whole, blocks = (sorted(map(tuple, duplicate_pairs(members, cap).collect())) for cap in (500, 20))
-    assert whole == blocks and any(r[0] == "c" for r in blocks)
+    keyed = members.withColumn("key", F.lower("player_name"))
+    a, b = (keyed.select("context_id", *(F.col(c).alias(f"{s}_{n}") for c, n in (("player_id", "id"), ("key", "key"), ("value", "value")))) for s in "ab")
+    all_pairs = a.join(b, "context_id").where("a_id < b_id")
+    near = proximity(F.col("a_key"), F.col("b_key"))
+    want = all_pairs.select("context_id", "a_id", "b_id", near.alias("proximity"), similarity(F.col("a_key"), F.col("b_key")), tier(near, F.col("a_value") == F.col("b_value")).alias("tier")).where("tier is not null")
+    got = sorted(map(tuple, duplicate_pairs(members).collect()))
+    assert got == sorted(map(tuple, want.collect())) and any(r[0] == "c" for r in got)
 
 
 def test_entry_runs(spark):
