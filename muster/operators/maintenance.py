@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from muster.operators.kept import kept
 from muster.operators.upsert import best_by, latest_wins
 
 
@@ -101,6 +102,20 @@ def delete_and_restore(rows: DataFrame, gone: Column, id_col: str = "event_id")
     return kept, kept.unionByName(again)
 
 
+def final_targets(mapping: DataFrame) -> DataFrame:
+    """(player_id, canonical_id) where every canonical player stays: chains of merges are followed to their ends, by
+    doubling, so a chain of n merges takes log n joins. Merges that lead back to themselves are refused."""
+    to = kept(mapping.select("player_id", "canonical_id").where("player_id <> canonical_id").groupBy("player_id").agg(F.min("canonical_id").alias("canonical_id")))
+    n = to.count()
+    for _ in range(max(1, n.bit_length() + 1)):
+        further = to.select(F.col("player_id").alias("canonical_id"), F.col("canonical_id").alias("__next"))
+        moved = to.join(further, "canonical_id", "left")
+        if moved.where("__next is not null").isEmpty():
+            return to
+        to = kept(moved.select("player_id", F.coalesce("__next", "canonical_id").alias("canonical_id")))
+    raise ValueError("merges lead back to a player that is merged")
+
+
 def merge_duplicate_players(tables: dict[str, DataFrame], mapping: DataFrame) -> dict[str, DataFrame]:
     """Players merged by (player_id, canonical_id): `roster`, `participations` (event_id), `memberships` (joined_at),
     `aliases`, `corrections` and `donations` after it.
@@ -109,7 +124,7 @@ def merge_duplicate_players(tables: dict[str, DataFrame], mapping: DataFrame) ->
     then the duplicate's row is dropped, of several duplicates' rows the one with the smallest player stays. The
     duplicate's name becomes an alias; its corrections name the canonical player; its donations go with it.
     """
-    to = mapping.select("player_id", "canonical_id")
+    to = final_targets(mapping)
     gone = to.select("player_id")
 
     def moved(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -133,11 +148,11 @@ def merge_duplicate_players(tables: dict[str, DataFrame], mapping: DataFrame) ->
 def merged_roster(roster: DataFrame, mapping: DataFrame) -> DataFrame:
     """Players after duplicates (player_id, canonical_id) are merged: the canonical one has the largest power and the
     latest sight of all, and the rank of the one seen last (its own on ties and where nobody was seen)."""
-    joined = roster.join(mapping.select("player_id", "canonical_id"), "player_id", "left").withColumn("__own", F.col("canonical_id").isNull())
+    joined = roster.join(final_targets(mapping), "player_id", "left").withColumn("__own", F.col("canonical_id").isNull())
     to = F.coalesce("canonical_id", "player_id")
     best = joined.groupBy(to.alias("player_id")).agg(F.max("last_power").alias("__power"), F.max("last_seen_at").alias("__seen"), F.max_by(F.struct("last_rank"), F.struct("last_seen_at", "__own")).alias("__rank"))
-    kept = joined.where("__own").join(best, "player_id")
-    return kept.withColumns({"last_power": F.col("__power"), "last_seen_at": F.col("__seen"), "last_rank": F.col("__rank.last_rank")}).select(*roster.columns)
+    stay = joined.where("__own").join(best, "player_id")
+    return stay.withColumns({"last_power": F.col("__power"), "last_seen_at": F.col("__seen"), "last_rank": F.col("__rank.last_rank")}).select(*roster.columns)
 
 
 def apply_name_fixes(tables: dict[str, DataFrame], plan: DataFrame) -> dict[str, DataFrame]:
@@ -178,6 +193,11 @@ def raw_value(raw: Column, path: str) -> Column:
     return F.get_json_object(raw, f"$.{path}").try_cast("bigint")
 
 
+def stored_value(raw: Column, path: str, kind: str = "bigint") -> Column:
+    """A value out of a row's stored reading (a variant); null if it is not there or of another kind."""
+    return F.try_variant_get(raw, f"$.{path}", kind)
+
+
 def reset(tables: dict[str, DataFrame], keep: set[str]) -> dict[str, DataFrame]:
     """Every table emptied but those to keep."""
     return {name: df if name in keep else df.limit(0) for name, df in tables.items()}

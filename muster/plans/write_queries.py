@@ -108,33 +108,82 @@ def _event_decided(d: Domain) -> DataFrame:
   SELECT event_id, player_id, points, power, confidence, confidence >= 0 AND confidence < 0.5 AS needs_review FROM readings WHERE points IS NOT NULL
   UNION ALL SELECT event_id, player_id, points, power, confidence, needs_review FROM parts_r p WHERE participation_id % 3 > 0 AND NOT EXISTS (SELECT 1 FROM readings r WHERE r.event_id = p.event_id AND r.player_id = p.player_id AND r.points IS NOT NULL))""", EVENT_CAPTURES))
 def event_upsert(d: Domain) -> DataFrame:
-    state, _ = ingestion.upsert_events(_event_state(d), _event_decided(d))
+    state, _ = ingestion.upsert_events(_event_state(d), _event_decided(d), warn=False)
     return state["participations"].select("event_id", "player_id", "points", "power", "confidence", "needs_review")
 
 
 @query("event_upsert_players", sql("""SELECT r.player_id, CASE WHEN s.player_id IS NULL THEN r.last_power ELSE s.power END AS last_power, CASE WHEN s.player_id IS NULL THEN 'R0' ELSE 'R2' END AS last_rank FROM roster r LEFT JOIN
   (SELECT player_id, power FROM readings QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY ordinal DESC) = 1) s USING (player_id)""", EVENT_CAPTURES))
 def event_upsert_players(d: Domain) -> DataFrame:
-    state, _ = ingestion.upsert_events(_event_state(d), _event_decided(d))
+    state, _ = ingestion.upsert_events(_event_state(d), _event_decided(d), warn=False)
     return state["roster"].select("player_id", "last_power", "last_rank")
 
 
 @query("event_upsert_audit", sql("SELECT p.participation_id AS target_id, 'points' AS field, p.points AS old_value, r.points AS new_value FROM parts p JOIN readings r USING (event_id, player_id) WHERE participation_id % 3 > 0 AND participation_id % 4 = 0 AND r.points IS NOT NULL AND r.points <> p.points UNION ALL SELECT 0, 'aliases', 0, count(DISTINCT player_id) FROM readings WHERE player_id % 5 = 0", EVENT_CAPTURES))
 def event_upsert_audit(d: Domain) -> DataFrame:
     """Audit rows, and how many aliases the fuzzy matches added."""
-    state, out = ingestion.upsert_events(_event_state(d), _event_decided(d))
+    state, out = ingestion.upsert_events(_event_state(d), _event_decided(d), warn=False)
     n = lambda v: F.lit(v).cast("bigint")
     added = state["aliases"].agg(n(0).alias("target_id"), F.lit("aliases").alias("field"), n(0).alias("old_value"), F.count("*").alias("new_value"))
     return out["audit"].select("target_id", "field", "old_value", "new_value").unionByName(added)
 
 
+#: Newcomers that an event shows first, a donation under a name one edit away, and a later event under that and a third one.
+RECRUITS = "recruits AS (SELECT alliance_id, player_id, 'Rec' || regexp_replace(CAST(player_id AS VARCHAR), '(.)', '\\1\\1', 'g') AS name FROM roster WHERE player_id % 5 = 0)"
+
+
+@query("batch_in_order", sql("""SELECT 'player' AS what, name, player_id AS value FROM recruits UNION ALL SELECT 'player', name || 'qz', player_id FROM recruits UNION ALL SELECT 'alias', name || 'q', player_id FROM recruits
+  UNION ALL SELECT 'event', name, player_id FROM recruits UNION ALL SELECT 'event', name, player_id + 1 FROM recruits UNION ALL SELECT 'event', name || 'qz', player_id + 2 FROM recruits UNION ALL SELECT 'donation', name, player_id * 2 FROM recruits""", RECRUITS))
+def batch_in_order(d: Domain) -> DataFrame:
+    """A batch of events and donations in which a newcomer's variant is credited to the player that an earlier capture made,
+    and a variant of the variant, which is nobody's, makes a player."""
+    k = F.col("player_id")
+    named = d.roster.where("player_id % 5 = 0").select("alliance_id", "player_id", F.concat(F.lit("Rec"), F.regexp_replace(k.cast("string"), "(.)", "$1$1")).alias("name"))
+    shows = [(1, "event", "", 0), (2, "donation", "q", 0), (3, "event", "q", 1), (3, "event", "qz", 2)]
+    rows = None
+    for n, kind, ending, more in shows:
+        read = _member(name=F.concat("name", F.lit(ending)), rank=F.lit("R1"), power=k, points=k + more, alliance_honor=k * 2, confidence=F.lit(0.9))
+        part = named.select("alliance_id", F.lit(n).alias("n"), F.lit(kind).alias("kind"), (k * 10 + n).alias("place"), read.alias("member"))
+        rows = part if rows is None else rows.unionByName(part)
+    at = F.timestamp_seconds(F.lit(1_704_200_000) + F.col("n") * 86_400)
+    c = _capture(rows, ["alliance_id", "n", "kind"], event_type=F.col("n").cast("string"), event_datetime=at, message_at=at, period_type=F.lit("weekly"), file_hash=F.col("n").cast("string"))
+    c = c.withColumn("ordinal", F.col("alliance_id") * 10 + F.col("n"))
+    state = _event_state(d)
+    state |= {
+        "events": state["events"].limit(0), "participations": state["participations"].limit(0), "periods": d.donations.select("alliance_id", "period_start").limit(0),
+        "donations": d.donations.select(F.col("donation_id").alias("row_id"), "alliance_id", "period_start", "player_id", "honor", F.lit(None).cast("string").alias("alliance_tag"), "leaderboard_position", "confidence", "needs_review").limit(0),
+    }
+    none = d.spark.createDataFrame([], "alliance_id bigint, file_hash string, status string")
+    decided = ingestion.outcomes(c, none, d.spark.createDataFrame([("1",), ("3",)], "code string"))
+    out, _ = ingestion.upsert_batch(state, decided, ("event", "donation"), warn=False)
+    names = out["roster"].where("player_name like 'Rec%'").select("player_id", F.col("player_name").alias("name"))
+    row = lambda df, what, name, value: df.select(F.lit(what).alias("what"), F.col(name).alias("name"), value.cast("bigint").alias("value"))
+    owner = named.select("name", F.col("player_id").alias("of"))
+    base = lambda c: F.regexp_replace(c, "[qz]+$", "")
+    players = row(names.withColumn("base", base("name")).join(owner.withColumnRenamed("name", "base"), "base"), "player", "name", F.col("of"))
+    aliases = row(out["aliases"].join(names, "player_id").join(owner, "name"), "alias", "raw_name", F.col("of"))
+    return players.unionByName(aliases).unionByName(row(out["participations"].join(names, "player_id"), "event", "name", F.col("points"))).unionByName(row(out["donations"].join(names, "player_id"), "donation", "name", F.col("honor")))
+
+
+@query("raw_readings", sql("SELECT event_id, player_id, 'R2' AS player_rank, points, power, CASE WHEN player_id % 5 = 0 THEN 1 ELSE 0 END AS misread FROM readings WHERE points IS NOT NULL", EVENT_CAPTURES))
+def raw_readings(d: Domain) -> DataFrame:
+    """What the stored readings of participations say, and whether they show another name than the player's."""
+    state = _event_state(d)
+    held = state["participations"].withColumn("player_rank", F.lit("R0")).withColumn("raw_ocr", F.parse_json(F.lit(None).cast("string")))
+    out, _ = ingestion.upsert_events(state | {"participations": held}, _event_decided(d), warn=False)
+    rows = out["participations"].where("raw_ocr is not null").join(d.roster.select("player_id", "player_name"), "player_id")
+    value = lambda path, kind="bigint": maintenance.stored_value(F.col("raw_ocr"), path, kind)
+    return rows.select("event_id", "player_id", "player_rank", value("points").alias("points"), value("power").alias("power"), (value("name", "string") != F.col("player_name")).cast("int").alias("misread"))
+
+
 # donations
 
 
 def _donation_result(d: Domain) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     read = d.donations.where("donation_id % 2 = 0").join(d.roster.select("player_id", "player_name"), "player_id")
     k = F.col("donation_id")
-    name = F.when(k % 10 == 0, F.concat(F.lit("Newcomer "), k.cast("string"))).otherwise(F.col("player_name"))
+    # each digit twice, so that no newcomer's name is a variant of another's
+    name = F.when(k % 10 == 0, F.concat(F.lit("Newcomer "), F.regexp_replace(k.cast("string"), "(.)", "$1$1"))).otherwise(F.col("player_name"))
     member = _member(name=name, rank=F.lit("R2"), alliance_honor=F.col("honor") + k % 4, confidence=F.col("confidence"), leaderboard_position=F.col("leaderboard_position"))
     rows = read.select("alliance_id", "period_id", "period_start", k.alias("place"), member.alias("member"))
     at = F.col("period_start").cast("timestamp") + F.expr("INTERVAL 2 DAYS")
@@ -145,7 +194,12 @@ def _donation_result(d: Domain) -> tuple[dict[str, DataFrame], dict[str, DataFra
     corrections = d.donations.where("donation_id % 4 = 0").select(F.col("donation_id").alias("target_id"), F.lit("honor").alias("field"))
     state |= {"donations": held, "corrections": corrections, "periods": held.select("alliance_id", "period_start").distinct()}
     decided = ingestion.outcomes(c, none, d.spark.createDataFrame([("1",)], "code string"))
-    return ingestion.upsert_donations(state, decided)
+    return ingestion.upsert_donations(state, decided, warn=False)
+
+
+def _came_with() -> Column:
+    """The donation that a newcomer came with, out of the name."""
+    return F.regexp_replace(F.substring_index("player_name", " ", -1), r"(.)\1", "$1").cast("bigint")
 
 
 DONATION_CAPTURES = "given AS (SELECT * FROM dons_r WHERE donation_id % 2 = 0 AND alliance_id % 4 > 0)"
@@ -158,7 +212,7 @@ DONATION_CAPTURES = "given AS (SELECT * FROM dons_r WHERE donation_id % 2 = 0 AN
 def donation_upsert(d: Domain) -> DataFrame:
     """Newcomers' ids are hashes; they are shown as the donation they came with."""
     state, _ = _donation_result(d)
-    newcomers = state["roster"].where("player_name like 'Newcomer %'").select("player_id", (-F.substring_index("player_name", " ", -1).cast("bigint")).alias("shown"))
+    newcomers = state["roster"].where("player_name like 'Newcomer %'").select("player_id", (-_came_with()).alias("shown"))
     rows = state["donations"].join(newcomers, "player_id", "left").withColumn("player_id", F.coalesce("shown", "player_id"))
     return rows.select("alliance_id", F.col("period_start").cast("string").alias("period_start"), "player_id", "honor", "confidence")
 
@@ -171,7 +225,7 @@ def donation_upsert_side(d: Domain) -> DataFrame:
     state, out = _donation_result(d)
     none = F.lit(None).cast("bigint")
     newcomers = state["roster"].where("player_name like 'Newcomer %'").join(state["memberships"], ["alliance_id", "player_id"])
-    shown = F.substring_index("player_name", " ", -1).cast("bigint")
+    shown = _came_with()
     rows = out["audit"].select(F.lit("audit").alias("what"), F.col("target_id").alias("row_id"), "old_value", "new_value")
     rows = rows.unionByName(out["positions"].select(F.lit("positions").alias("what"), F.col("ordinal").alias("row_id"), none.alias("old_value"), none.alias("new_value")))
     return rows.unionByName(newcomers.select(F.lit("joined").alias("what"), shown.alias("row_id"), none.alias("old_value"), none.alias("new_value")))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from muster.operators import calendar, duplicates, ingestion, maintenance, reads, upsert
+from muster.operators import calendar, duplicates, ingestion, maintenance, reads, resolution, upsert
+from muster.operators.kept import kept
 from muster.plans.write_queries import MEMBER
 from muster.streaming import ingest
 from tests.test_operators import one
@@ -149,6 +152,98 @@ def test_posts_are_written(spark, types, state):
 # keyed writes
 
 
+def plain(df, *without):
+    rows = df.select(*(c for c in df.columns if c not in without))
+    rows = rows.select(*(F.to_json(c).alias(c) if t == "variant" else F.col(c) for c, t in rows.dtypes))
+    return sorted((tuple(r) for r in rows.collect()), key=str)
+
+
+WORDS = ["Bulleit", "Bulleitt", "Bulleittt", "Bullett", "bul leit", "ZORRO99", "ZORRO98", "ZORRO998", "Anny", "Anna", "Annaa", "LEON", "Krampus", "Krampu", "Krampuss"]
+
+
+def near(a: str, b: str) -> bool:
+    a, b = ("".join(c for c in x.lower() if c.isalnum()) for x in (a, b))
+    cut = lambda x: {x} | {x[:k] + x[k + 1 :] for k in range(len(x))}
+    one_edit = a == b or (len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1) or (len(a) != len(b) and (a in cut(b) or b in cut(a)))
+    return min(len(a), len(b)) >= 5 and one_edit
+
+
+def test_names_resolve_as_one_capture_after_the_other(spark):
+    """A hundred alliances, each a batch of its own, of names that are variants of few words; played through in a loop."""
+    draw, seen, roster, aliases, want = random.Random(3), [], [], [], {}
+    for alliance in range(100):
+        players = {w: alliance * 1000 + n for n, w in enumerate(draw.sample(WORDS, draw.randint(0, 3)))}
+        known = {"Bullett": 7} if draw.random() < 0.2 else {}
+        roster += [(alliance, i, w) for w, i in players.items()]
+        aliases += [(alliance, w, i) for w, i in known.items()]
+        held, credited = {w: (i, None) for w, i in players.items()}, dict(known)
+        for capture in range(draw.randint(1, 7)):
+            creates, shown, made, added = draw.random() < 0.7, set(draw.choices(WORDS, k=draw.randint(1, 4))), {}, {}
+            for w in shown:
+                seen.append((alliance, w, capture, creates))
+                close = [v for v in held if near(v, w)]
+                if w in credited:
+                    got = ("alias", credited[w])
+                elif w in held:
+                    got = ("exact", held[w][1] or held[w][0])
+                elif len(close) == 1:
+                    got = ("fuzzy", held[close[0]][1] or held[close[0]][0])
+                    added[w] = got[1]
+                else:
+                    got = ("ambiguous" if close else "new", w)
+                    if creates:
+                        made[w] = (None, w)
+                want[alliance, w, capture] = got
+            held |= made
+            credited |= added
+    make = spark.createDataFrame
+    found = resolution.resolve_in_order(make(seen, "alliance_id bigint, raw_name string, capture bigint, creates boolean"), make(roster, "alliance_id bigint, player_id bigint, player_name string"), make(aliases, "alliance_id bigint, raw_name string, player_id bigint"), 5)
+    name_of = {(r.alliance_id, r.i): r.w for r in make([(a, w) for a in range(100) for w in WORDS], "alliance_id bigint, w string").select("alliance_id", "w", F.xxhash64("alliance_id", "w").alias("i")).collect()}
+    got = {(r.alliance_id, r.raw_name, r.capture): (r.resolution, name_of.get((r.alliance_id, r.player_id), r.player_id)) for r in found.rows.collect()}
+    assert got == want
+    assert {r[1][0] for r in want.items()} == {"alias", "exact", "fuzzy", "ambiguous", "new"}
+
+
+def test_a_batch_equals_its_captures_one_by_one(spark, types, state):
+    """Mixed captures of all kinds, whole tables."""
+    draw = random.Random(1)
+    rows = []
+    for k in range(3):
+        m = [member(w, confidence=draw.random(), power=draw.randint(1, 99), points=draw.choice([None, k, 5]), alliance_honor=draw.randint(1, 9), attack_pct=1.0, raw_lines=w) for w in draw.choices(WORDS, k=6)]
+        at = f"2026-04-0{draw.randint(1, 7)} 15:00:00"
+        kind = ("event", "donation", "event")[k]
+        rows.append({"kind": kind, "event_type": "void_war", "event_datetime": at, "message_at": at, "period_type": "weekly", "members": m, "alliance_id": 1})
+    caps = captures(spark, *rows).withColumn("message_id", F.concat(F.lit("m"), F.col("ordinal").cast("string")))
+    variant = F.parse_json(F.lit(None).cast("string"))
+    state["participations"] = state["participations"].withColumns({"player_rank": F.lit(None).cast("string"), "raw_ocr": variant})
+    state["events"] = state["events"].withColumn("source_message_id", F.lit(None).cast("string"))
+    state["donations"] = state["donations"].withColumns({"player_rank": F.lit(None).cast("string"), "raw_ocr": variant, "updated_at": F.lit(None).cast("timestamp"), "source_message_id": F.lit(None).cast("string")})
+    decided, now = ingestion.outcomes(caps, state["uploads"], types), F.lit("2026-05-01").cast("timestamp")
+    whole, _ = ingestion.upsert_batch(state, decided, ("event", "donation"), now, warn=False)
+    step = state
+    for k in range(len(rows)):
+        step, _ = ingestion.upsert_batch(step, decided.where(F.col("ordinal") == k), ("event", "donation"), now, warn=False)
+        step = {name: kept(df) for name, df in step.items()}
+    for name in ("roster", "aliases", "events", "participations", "memberships", "periods", "donations"):
+        assert plain(whole[name]) == plain(step[name]), name
+    read = whole["participations"].where("raw_ocr is not null")
+    assert read.where(maintenance.stored_value(F.col("raw_ocr"), "points") != F.col("points")).count() == 0
+
+
+def test_chains_of_merges_reach_their_end(spark):
+    make = spark.createDataFrame
+    merges = make([(1, 2), (2, 3), (4, 1), (7, 8)], "player_id bigint, canonical_id bigint")
+    assert plain(maintenance.final_targets(merges)) == [(1, 3), (2, 3), (4, 3), (7, 8)]
+    roster = make([(1, k, f"n{k}", 10 - k, "R1", None) for k in (1, 2, 3, 4, 8)], "alliance_id bigint, player_id bigint, player_name string, last_power bigint, last_rank string, last_seen_at timestamp")
+    tables = {"roster": roster.select("alliance_id", "player_id", "player_name"), "participations": make([(9, 1), (8, 2), (9, 4)], "event_id bigint, player_id bigint"), "memberships": make([(1, 1, 5)], "alliance_id bigint, player_id bigint, joined_at bigint"), "aliases": make([(1, "x", 1)], "alliance_id bigint, raw_name string, player_id bigint"), "corrections": make([(1, 2)], "target_id bigint, player_id bigint"), "donations": make([(1, 3)], "donation_id bigint, player_id bigint")}
+    out = maintenance.merge_duplicate_players(tables, merges)
+    assert plain(out["roster"].select("player_id")) == [(3,), (8,)] and {r.player_id for r in out["participations"].collect()} == {3}
+    assert {r.player_id for r in out["aliases"].collect()} == {3} and plain(out["corrections"]) == [(1, 3)]
+    assert plain(maintenance.merged_roster(roster, merges).select("player_id", "last_power")) == [(3, 9), (8, 2)]
+    with pytest.raises(ValueError):
+        maintenance.final_targets(make([(1, 2), (2, 1)], "player_id bigint, canonical_id bigint"))
+
+
 def test_only_given_columns_are_replaced(spark):
     state = spark.createDataFrame([(1, "R1", 5), (2, "R2", None)], "k int, r string, power int")
     batch = spark.createDataFrame([(1, "R3", 1), (1, "R4", 2), (9, None, 3)], "k int, r string, ordinal int")
