@@ -330,7 +330,7 @@ def streaming_replay(d: Domain) -> DataFrame:
     base = ingest.scratch(d.spark)
     keys = ["player_id", "field"]
     for n, part in enumerate(("event_id % 2 = 0", "event_id % 2 = 1", "event_id % 2 = 0")):
-        rows.where(part).coalesce(1).write.parquet(f"{base}/in/{n}")
+        rows.where(part).write.parquet(f"{base}/in/{n}")
         out = ingest.ingest(d.spark, f"{base}/in/*", rows.schema, f"{base}/state", f"{base}/log", keys, [*keys, "event_id", "cents"], ["event_id"], files_per_batch=1000)
     return out.select(*keys, "event_id", "cents")
 

@@ -1,67 +1,117 @@
 """Continuous ingestion of captures: idempotent by content, the latest arrival wins.
 
-Each micro-batch becomes one versioned snapshot below `state_dir`; a batch that is run again writes the same version,
-so a restart neither loses nor doubles anything. Arrival order is (batch, ordinal), not event time; `by_batch` False
-orders by the columns of `order` alone.
+The state lies in buckets by a hash of its keys. A micro-batch reads and rewrites the buckets that its own keys fall into and
+no others; a manifest, written last, says in which batch each bucket was written, and is the commit: until it is there,
+readers and later batches see the state before. A batch that is run again writes the same folders again, so a restart
+neither loses nor doubles anything. Arrival order is (batch, ordinal), not event time; `by_batch` False orders by the
+columns of `order` alone.
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from muster.operators.kept import new_folder
 from muster.operators.upsert import best_by
 
+#: Buckets of a state, and of the hashes of its content.
+BUCKETS = 64
 
-def _versions(spark: SparkSession, state_dir: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
+
+def _listed(spark: SparkSession, folder: str) -> list[int]:
+    """The batches that have a folder below this one, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
     found = [re.fullmatch(r"v=(\d+)", s.getPath().getName()) for s in fs.listStatus(path)]
-    done = lambda v: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{state_dir}/v={v}/_SUCCESS"))
-    return sorted(v for m in found if m and done(v := int(m[1])))
+    return sorted(int(m[1]) for m in found if m)
+
+
+def _committed(spark: SparkSession, state_dir: str) -> list[int]:
+    """The batches whose manifests are complete; of older ones none is held."""
+    there = lambda v: spark._jvm.org.apache.hadoop.fs.Path(f"{state_dir}/manifest/v={v}/_SUCCESS")
+    fs = lambda p: p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [v for v in _listed(spark, f"{state_dir}/manifest") if fs(there(v)).exists(there(v))]
+
+
+def _manifest(spark: SparkSession, state_dir: str, version: int) -> dict[int, int]:
+    """In which batch each bucket was written; no more rows than there are buckets."""
+    return {r.bucket: r.version for r in spark.read.schema("bucket int, version bigint").parquet(f"{state_dir}/manifest/v={version}").collect()}
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared one that the cluster names; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{named.rstrip('/')}/ingest-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="muster-ingest-")
+    return new_folder(spark, "ingest")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _bucket(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
+
+
+def _numbers(df: DataFrame, column: str) -> list[int]:
+    """The buckets that occur, BUCKETS at most."""
+    return sorted(r[0] for r in df.select(column).distinct().collect())
+
+
 def merge_batch(batch: DataFrame, batch_id: int, state_dir: str, keys: list[str], content: list[str], order: list[str], by_batch: bool = True) -> None:
-    """The next snapshot: rows whose content was ever taken in are dropped, then the latest of each key stays.
+    """The next state: rows whose content was ever taken in are dropped, then the latest of each key stays.
 
-    The ledger below `state_dir` has a part for each batch with the hashes of what it took in; parts are only added, so
-    content that a later row superseded still counts as taken in. Of the snapshots the last two are held, which is what
-    a batch that is run again needs.
+    The ledger below `state_dir` has a part for each batch with the hashes of what it took in, dealt by buckets of the hash;
+    parts are only added, so content that a later row superseded still counts as taken in, and a batch reads the buckets
+    of its own hashes. The buckets of the last two states are held, which is what readers and a batch that is run again need.
     """
     spark = batch.sparkSession
-    older = [v for v in _versions(spark, state_dir) if v < batch_id]
-    taken = [f"{state_dir}/ledger/v={v}" for v in _versions(spark, f"{state_dir}/ledger") if v < batch_id]
-    numbered = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).withColumn("content_hash", F.sha2(F.to_json(F.struct(*content)), 256))
-    if taken:
-        numbered = numbered.join(spark.read.parquet(*taken), "content_hash", "left_anti")
-    numbered.select("content_hash").distinct().write.mode("overwrite").parquet(f"{state_dir}/ledger/v={batch_id}")
-    if older:
-        numbered = spark.read.parquet(f"{state_dir}/v={older[-1]}").unionByName(numbered)
-    latest = best_by(numbered, keys, F.struct(*(["batch_id"] if by_batch else []), *order))
-    latest.write.mode("overwrite").parquet(f"{state_dir}/v={batch_id}")
-    for v in older[:-1]:
-        _delete(spark, f"{state_dir}/v={v}")
+    before = [v for v in _committed(spark, state_dir) if v < batch_id]
+    held = _manifest(spark, state_dir, before[-1]) if before else {}
+    hashed = F.sha2(F.to_json(F.struct(*content)), 256)
+    rows = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).withColumn("content_hash", hashed).withColumn("hash_bucket", _bucket("content_hash")).persist()
+    try:
+        # a part of the ledger counts from the manifest of its batch on
+        taken = [f"{state_dir}/ledger/v={v}" for v in _listed(spark, f"{state_dir}/ledger") if before and v <= before[-1]]
+        new = rows
+        if taken:
+            schema = "content_hash string, hash_bucket int"
+            seen = spark.read.schema(schema).option("basePath", f"{state_dir}/ledger").parquet(*taken).where(F.col("hash_bucket").isin(_numbers(rows, "hash_bucket")))
+            new = rows.join(seen.select("content_hash"), "content_hash", "left_anti")
+        new.select("content_hash", "hash_bucket").distinct().write.mode("overwrite").partitionBy("hash_bucket").parquet(f"{state_dir}/ledger/v={batch_id}")
+        new = new.drop("hash_bucket")
+        touched = _numbers(new.withColumn("bucket", _bucket(*keys)), "bucket")
+        old = [f"{state_dir}/data/v={held[b]}/bucket={b}" for b in touched if b in held]
+        both = spark.read.schema(new.schema).parquet(*old).unionByName(new) if old else new
+        latest = best_by(both, keys, F.struct(*(["batch_id"] if by_batch else []), *order))
+        latest.withColumn("bucket", _bucket(*keys)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state_dir}/data/v={batch_id}")
+    finally:
+        rows.unpersist()
+    now = held | dict.fromkeys(touched, batch_id)
+    commit(spark, state_dir, batch_id, now)
+    # what the state before the last one alone refers to
+    for v in before[:-1]:
+        for b, n in set(_manifest(spark, state_dir, v).items()) - set(held.items()) - set(now.items()):
+            delete(spark, f"{state_dir}/data/v={n}/bucket={b}")
+        delete(spark, f"{state_dir}/manifest/v={v}")
+
+
+def commit(spark: SparkSession, state_dir: str, version: int, buckets: dict[int, int]) -> None:
+    """Makes a state the current one."""
+    spark.createDataFrame(sorted(buckets.items()), "bucket int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/manifest/v={version}")
+
+
+def snapshot(spark: SparkSession, state_dir: str, schema: StructType | str) -> DataFrame:
+    """The current state; without one, no rows."""
+    done = _committed(spark, state_dir)
+    paths = [f"{state_dir}/data/v={v}/bucket={b}" for b, v in sorted(_manifest(spark, state_dir, done[-1]).items())] if done else []
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, state_dir: str, checkpoint: str, keys: list[str], content: list[str], order: list[str], files_per_batch: int = 1, by_batch: bool = True) -> DataFrame:
@@ -69,7 +119,7 @@ def ingest(spark: SparkSession, source: str, schema: StructType, state_dir: str,
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     step = lambda batch, k: merge_batch(batch, k, state_dir, keys, content, order, by_batch)
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{state_dir}/v={_versions(spark, state_dir)[-1]}")
+    return snapshot(spark, state_dir, StructType(list(schema.fields)).add("batch_id", "long").add("content_hash", "string"))
 
 
 def follow(spark: SparkSession, changes: str, schema: StructType, checkpoint: str, refresh: Callable[[], DataFrame], seen: Callable[[DataFrame], None]) -> None:

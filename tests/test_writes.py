@@ -353,11 +353,43 @@ def test_superseded_content_stays_a_duplicate(spark, tmp_path):
         write([(1, value, 0)], name)
         out = run()
     assert [(r.k, r.v) for r in out.collect()] == [(1, "c")]
-    assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("v=")]) == 2
+    assert len(list((tmp_path / "state" / "manifest").iterdir())) == 2
     # a batch that is run again gives the same snapshot
     batch = spark.createDataFrame([(1, "b", 0)], schema)
     ingest.merge_batch(batch, 4, f"{tmp_path}/state", ["k"], ["k", "v"], ["ordinal"])
-    assert [(r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/state/v=4").collect()] == [(1, "c")]
+    assert [(r.k, r.v) for r in ingest.snapshot(spark, f"{tmp_path}/state", out.schema).collect()] == [(1, "c")]
+
+
+def written(folder):
+    return {(int(b.parent.name[2:]), int(b.name[7:])) for b in (folder / "data").glob("v=*/bucket=*")}
+
+
+def test_a_batch_rewrites_the_buckets_of_its_keys_alone(spark, tmp_path, monkeypatch):
+    state, schema = str(tmp_path), "k int, v string, ordinal bigint"
+    full = schema + ", batch_id bigint, content_hash string"
+    merge = lambda rows, n: ingest.merge_batch(spark.createDataFrame(rows, schema), n, state, ["k"], ["k", "v"], ["ordinal"])
+    now = lambda: {r.k: r.v for r in ingest.snapshot(spark, state, full).collect()}
+    assert now() == {}
+    merge([(k, "a", 0) for k in range(500)], 0)
+    assert {v for v, _ in written(tmp_path)} == {0} and len(written(tmp_path)) == ingest.BUCKETS
+    merge([(7, "b", 0)], 1)
+    assert len([b for v, b in written(tmp_path) if v == 1]) == 1 and now() == {k: "a" for k in range(500)} | {7: "b"}
+    # killed after the data and before the commit: readers see the state before, and the batch is run again
+    commit = ingest.commit
+    monkeypatch.setattr(ingest, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        merge([(7, "c", 0), (8, "c", 0)], 2)
+    assert now() == {k: "a" for k in range(500)} | {7: "b"}
+    monkeypatch.setattr(ingest, "commit", commit)
+    merge([(7, "c", 0), (8, "c", 0)], 2)
+    want = {k: "a" for k in range(500)} | {7: "c", 8: "c"}
+    assert now() == want
+    # content that was ever taken in, also of a batch whose rows were superseded; and a batch without news
+    merge([(7, "b", 9), (8, "a", 9)], 3)
+    assert now() == want and not [b for v, b in written(tmp_path) if v == 3]
+    # what no state of the last two refers to is gone
+    held = {(v, b) for m in (2, 3) for b, v in ingest._manifest(spark, state, m).items()}
+    assert written(tmp_path) == held and sorted(p.name for p in (tmp_path / "manifest").iterdir()) == ["v=2", "v=3"]
 
 
 def test_notices_make_readers_read_again(spark, tmp_path):
