@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -99,19 +100,39 @@ def strip_alliance_tag(name: Column) -> Column:
     return F.struct(tag.alias("tag"), F.when(tag.isNotNull(), tagged).when(salvage, salvaged).otherwise(whole).alias("name"))
 
 
+#: The byte that each character stands for where UTF-8 was read as Windows-1252 or Latin-1; the five bytes that the former
+#: leaves undefined were taken as control characters.
+_BYTES = {bytes([b]).decode("latin-1"): b for b in range(0x80, 0x100)} | {bytes([b]).decode("cp1252"): b for b in range(0x80, 0x100) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _class(first: int, last: int) -> str:
+    return "[" + "".join(re.escape(c) for c, b in _BYTES.items() if first <= b <= last) + "]"
+
+
+_MORE = _class(0x80, 0xBF)
+#: What two to four bytes of one character look like when they were read one by one.
+_DAMAGE = re.compile(f"{_class(0xC2, 0xDF)}{_MORE}|{_class(0xE0, 0xEF)}{_MORE}{{2}}|{_class(0xF0, 0xF4)}{_MORE}{{3}}")
+
+
+def _undamaged(match: re.Match) -> str:
+    """The character that a stretch of damage was, if such a one is likely in a name: of those of two bytes Latin, Greek and
+    Cyrillic letters and marks, since a capital before a quotation mark or a dash must stay what it is."""
+    try:
+        c = bytes(_BYTES[x] for x in match[0]).decode("utf-8")
+    except UnicodeDecodeError:
+        return match[0]
+    likely = c < "\u0250" or "\u0370" <= c < "\u0524" if len(match[0]) == 2 else unicodedata.category(c) not in ("Cn", "Co", "Cs")
+    return c if likely else match[0]
+
+
 @pandas_udf(StringType())
 def _repair_encoding(names: pd.Series) -> pd.Series:
-    """UTF-8 read as Latin-1 or Windows-1252 turned back, then the composed form."""
+    """UTF-8 read as Windows-1252 or Latin-1 turned back, wherever it stands in a name and however often it was done (each
+    time leaves fewer characters), then the composed form."""
 
     def fix(s: str) -> str:
-        for codec in ("cp1252", "latin-1"):
-            try:
-                back = s.encode(codec).decode("utf-8")
-            except UnicodeError:
-                continue
-            if len(back) < len(s):
-                s = back
-                break
+        while (t := _DAMAGE.sub(_undamaged, s)) != s:
+            s = t
         return unicodedata.normalize("NFC", s)
 
     return names.map(fix, na_action="ignore")

@@ -10,7 +10,7 @@ from muster.operators import accuracy, calendar, capture, duplicates, maintenanc
 from muster.plans import capture_queries, read_queries, write_queries  # noqa: F401  they register queries of their own
 from muster.plans.oracles import BOARD, DELTA, RATE, REVIEW, sql
 from muster.plans.registry import ORACLES, QUERIES, query  # noqa: F401
-from muster.sources.domain import Domain
+from muster.sources.domain import Domain, Secured
 from muster.streaming import ingest
 
 
@@ -91,6 +91,37 @@ def secured_leaderboard(d: Domain) -> DataFrame:
     return views.event_leaderboard(own)
 
 
+#: Of each view the alliance that a row of it belongs to.
+VIEWS = {
+    "event_leaderboard": "alliance_id", "participation_rate": "alliance_id", "probable_leavers": "alliance_id", "donation_leaderboard": "alliance_id", "donation_totals": "alliance_id", "stats_latest": "alliance_id",
+    "stats_history": "alliance_id", "event_import_delta": "CAST(split_part(event_id, '-', 1) AS BIGINT)", "needs_review": "alliance_id",
+}
+
+
+@query("secured_views", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{v}' AS view, CAST({of} AS BIGINT) AS alliance_id, count(*) AS n FROM ({ORACLES[v]}) GROUP BY ALL" for v, of in VIEWS.items()) + ") WHERE alliance_id % 4 = 1")
+def secured_views(d: Domain) -> DataFrame:
+    """How many rows of each alliance a user sees of each view, over tables that were secured once."""
+    acl = d.alliances.select("alliance_id", F.concat(F.lit("u"), (F.col("alliance_id") % 4).cast("string")).alias("user_id"))
+    own, out = Secured(d.spark, d.sf_dir, acl, "u1"), None
+    for name in VIEWS:
+        rows = getattr(views, name)(own)
+        if name == "event_import_delta":
+            rows = rows.withColumn("alliance_id", F.split_part("event_id", F.lit("-"), F.lit(1)).cast("bigint"))
+        part = rows.groupBy(F.lit(name).alias("view"), F.col("alliance_id").cast("bigint").alias("alliance_id")).agg(F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("encoding_repair", "SELECT p_partkey, (['é ' || p_name || ' é', '“' || p_name || '”', p_name || 'é', 'ж' || p_name || '日', 'É” ' || p_name])[p_partkey % 5 + 1] AS name FROM part")
+def encoding_repair(d: Domain) -> DataFrame:
+    """Damage inside sound text, with bytes that the code page leaves undefined, done twice, of letters of other scripts, and
+    what only looks like damage."""
+    k, p = F.col("p_partkey"), F.col("p_name")
+    marks = [("é ", " Ã©"), ("â€œ", "â€\x9d"), ("", "Ã\x83Â©"), ("Ð¶", "æ—¥"), ("É” ", "")]
+    read = F.get(F.array(*(F.concat(F.lit(a), p, F.lit(b)) for a, b in marks)), (k % 5).cast("int"))
+    return d.raw("part").select("p_partkey", names.normalize_name(read).alias("name"))
+
+
 @query("review_tallies", sql("SELECT kind, row_id, player_id, count(*) OVER (PARTITION BY player_id) AS of_player, count(*) OVER (PARTITION BY kind) AS of_kind FROM review", REVIEW))
 def review_tallies(d: Domain) -> DataFrame:
     rows = views.needs_review(d)

@@ -114,3 +114,20 @@ class Domain:
 
         g = e.groupBy("player_id", "recorded_date").agg(mean("click").alias("attack_pct"), mean("view").alias("hp_pct"), mean("purchase").alias("defense_pct"))
         return g.join(self.roster.select("player_id", "alliance_id", "player_name"), "player_id")
+
+
+class Secured(Domain):
+    """The tables as a user sees them: alliances and their players are those of the user's memberships (alliance_id,
+    user_id), and what hangs on them, also through a parent, follows; so every view on top shows the user's rows alone."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, acl: DataFrame, user: str):
+        super().__init__(spark, sf_dir)
+        self.allowed = acl.where(F.col("user_id") == user).select("alliance_id").distinct()
+
+    @cached_property
+    def alliances(self) -> DataFrame:
+        return Domain(self.spark, self.sf_dir).alliances.join(self.allowed, "alliance_id", "left_semi")
+
+    @cached_property
+    def roster(self) -> DataFrame:
+        return Domain(self.spark, self.sf_dir).roster.join(self.allowed, "alliance_id", "left_semi")
