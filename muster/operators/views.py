@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from muster.operators.ranking import ranked
 from muster.operators.upsert import best_by
 from muster.sources.domain import Domain
 
@@ -26,9 +27,8 @@ def percent(part: Column, of: Column) -> Column:
 def event_leaderboard(d: Domain, alliance_id: int | None = None) -> DataFrame:
     """Ranks within each event by points: ties share a rank and leave a gap."""
     p = d.participations if alliance_id is None else d.participations.where(F.col("alliance_id") == alliance_id)
-    rank = F.rank().over(Window.partitionBy("event_id").orderBy(F.desc_nulls_first("points"))).cast("bigint")
-    named = p.join(d.roster.select("player_id", "player_name"), "player_id")
-    return named.select("event_id", "alliance_id", "event_type", F.date_format("event_dt", "yyyy-MM-dd").alias("event_date"), "player_id", "player_name", "points", "power", "confidence", "needs_review", rank.alias("rank"))
+    named = ranked(p, "event_id", "points").join(d.roster.select("player_id", "player_name"), "player_id")
+    return named.select("event_id", "alliance_id", "event_type", F.date_format("event_dt", "yyyy-MM-dd").alias("event_date"), "player_id", "player_name", "points", "power", "confidence", "needs_review", "rank")
 
 
 def events_from(d: Domain, bounds: DataFrame, strict: bool = False) -> DataFrame:
@@ -80,9 +80,8 @@ def probable_leavers(d: Domain, missed: int = 3) -> DataFrame:
 
 
 def donation_leaderboard(d: Domain) -> DataFrame:
-    rank = F.rank().over(Window.partitionBy("period_id").orderBy(F.desc_nulls_first("honor"))).cast("bigint")
-    named = d.donations.join(d.roster.select("player_id", "player_name"), "player_id")
-    return named.select("period_id", "alliance_id", F.col("period_start").cast("string").alias("period_start"), F.date_add("period_start", 6).cast("string").alias("period_end"), "player_id", "player_name", "honor", "leaderboard_position", rank.alias("rank"))
+    named = ranked(d.donations, "period_id", "honor").join(d.roster.select("player_id", "player_name"), "player_id")
+    return named.select("period_id", "alliance_id", F.col("period_start").cast("string").alias("period_start"), F.date_add("period_start", 6).cast("string").alias("period_end"), "player_id", "player_name", "honor", "leaderboard_position", "rank")
 
 
 def donation_totals(d: Domain) -> DataFrame:
