@@ -118,13 +118,14 @@ def recurrence_rule(events: DataFrame) -> Column:
     return F.concat(F.lit("FREQ="), freq, until)
 
 
-def vevent(events: DataFrame, dtstamp: str, domain: str = "muster.example", with_rule: bool = True) -> DataFrame:
-    """One VEVENT of an hour a row, lines ended by CR LF; lines without content are left out."""
+def vevent(events: DataFrame, dtstamp: str, domain: str = "muster.example", with_rule: bool = True, key: Column | None = None) -> DataFrame:
+    """One VEVENT of an hour a row, lines ended by CR LF; lines without content are left out. `key`: what
+    the name of an event is made of, by default its id."""
     at = F.try_to_timestamp(F.concat_ws(" ", F.col("date").cast("string"), F.left("time", F.lit(5))), F.lit("yyyy-MM-dd HH:mm"))
     stamp = lambda t: F.date_format(t, "yyyyMMdd'T'HHmmss'Z'")
     named = lambda name, value: F.concat(F.lit(name), value)
     lines = [
-        F.lit("BEGIN:VEVENT"), named("UID:", F.concat_ws("-", F.col("event_id").cast("string"), F.concat(F.col("date").cast("string"), F.lit(f"@{domain}")))), F.lit(f"DTSTAMP:{dtstamp}"),
+        F.lit("BEGIN:VEVENT"), named("UID:", F.concat_ws("-", (F.col("event_id") if key is None else key).cast("string"), F.concat(F.col("date").cast("string"), F.lit(f"@{domain}")))), F.lit(f"DTSTAMP:{dtstamp}"),
         named("DTSTART:", stamp(at)), named("DTEND:", stamp(at + F.expr("INTERVAL 1 HOUR"))), named("SUMMARY:", escape(F.col("title"))),
         F.when(F.col("description") != "", named("DESCRIPTION:", escape(F.col("description")))), named("ORGANIZER:CN=", escape(F.col("author"))),
         named("RRULE:", recurrence_rule(events)) if with_rule else F.lit(None), F.lit("END:VEVENT"),
@@ -132,6 +133,35 @@ def vevent(events: DataFrame, dtstamp: str, domain: str = "muster.example", with
     return events.select("event_id", F.concat_ws("\r\n", *lines).alias("ics"))
 
 
+#: What a calendar document begins with, but for its maker, and ends with.
+HEAD, FOOT = ("BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//{maker}//EN", "CALSCALE:GREGORIAN"), "END:VCALENDAR"
+EOL = "\r\n"
+
+
+def vcalendar(events: DataFrame, dtstamp: str, first: str | None = None, last: str | None = None, maker: str = "Muster//Alliance Events") -> DataFrame:
+    """A calendar document as rows (part, occurs_on, event_id, text) in that order: head, blocks, foot. With a range of days
+    each occurrence in it is a block of its own without a rule (a month, a week); without one each event is a block with
+    its rule (a single event). Without events there are only head and foot."""
+    if first is None:
+        blocks = vevent(events, dtstamp).join(events.select("event_id", F.col("date").alias("occurs_on")), "event_id")
+    else:
+        at = expand(events, first, last).select("event_id", "occurs_on")
+        dated = events.join(at, "event_id").withColumn("date", F.col("occurs_on"))
+        own = F.struct("event_id", "occurs_on")
+        blocks = vevent(dated.withColumn("event_id", own), dtstamp, with_rule=False, key=F.col("event_id.event_id")).select("event_id.occurs_on", "event_id.event_id", "ics")
+    spark = events.sparkSession
+    ends = spark.createDataFrame([(0, EOL.join(HEAD).format(maker=maker)), (2, FOOT)], "part int, text string")
+    null = {c: F.lit(None).cast(blocks.schema[c].dataType) for c in ("occurs_on", "event_id")}
+    return blocks.select(F.lit(1).alias("part"), "occurs_on", "event_id", F.col("ics").alias("text")).unionByName(ends.select("part", *(v.alias(c) for c, v in null.items()), "text"))
+
+
+def write_document(rows: DataFrame, path: str) -> None:
+    """Writes a document as text files that, one after the other, are the document, every line ended by CR LF. Rows are
+    dealt out by ranges of their order, so no task has more than its part."""
+    order = ["part", "occurs_on", "event_id"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.option("lineSep", EOL).text(path)
+
+
 def encoded(text: Column) -> Column:
     """Percent-encoding of a part of an address: letters, digits and - _ . ! ~ * ' ( ) stand for themselves."""
     out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))

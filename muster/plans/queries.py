@@ -413,6 +413,16 @@ def ics_export(d: Domain) -> DataFrame:
     return calendar.vevent(_calendar(d).withColumn("author", F.lit("x")), "20260101T000000Z")
 
 
+@query("calendar_document", f"""WITH {CALENDAR}, hits AS (SELECT event_id, occurs_on, occurs_on + TIME '20:00' AS begins, o_orderpriority AS title FROM steps JOIN orders ON o_orderkey = event_id WHERE occurs_on BETWEEN DATE '1997-03-10' AND DATE '1997-03-16' AND (until IS NULL OR occurs_on <= until))
+  SELECT 1 AS part, CAST(occurs_on AS VARCHAR) AS occurs_on, event_id, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:' || event_id || '-' || occurs_on || '@muster.example', 'DTSTAMP:20260101T000000Z', 'DTSTART:' || {STAMP},
+  'DTEND:' || {STAMP.replace("begins,", "begins + INTERVAL 1 HOUR,")}, 'SUMMARY:' || title, 'DESCRIPTION:a' || chr(92) || ',b' || chr(92) || ';c' || chr(92) || chr(92) || 'd' || chr(92) || 'ne', 'ORGANIZER:CN=x', 'END:VEVENT') AS text FROM hits
+  UNION ALL SELECT 0, NULL, NULL, concat_ws(chr(13) || chr(10), 'BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//Muster//Alliance Events//EN', 'CALSCALE:GREGORIAN') UNION ALL SELECT 2, NULL, NULL, 'END:VCALENDAR'""")
+def calendar_document(d: Domain) -> DataFrame:
+    """A week's document, row by row."""
+    rows = calendar.vcalendar(_calendar(d).withColumn("author", F.lit("x")), "20260101T000000Z", "1997-03-10", "1997-03-16")
+    return rows.withColumn("occurs_on", F.col("occurs_on").cast("string"))
+
+
 @query("google_links", f"""WITH {ICS} SELECT event_id, 'https://calendar.google.com/calendar/render?action=TEMPLATE&text=' || replace(title, ' ', '%20') || '&dates=' || {STAMP} || '/' || {STAMP.replace("begins,", "begins + INTERVAL 1 HOUR,")} || '&details=a%2Cb%3Bc%5Cd%0Ae'
   || coalesce('&recur=RRULE%3AFREQ%3D' || replace(replace(freq, ';', '%3B'), '=', '%3D') || coalesce('%3BUNTIL%3D' || strftime(until, '%Y%m%d') || 'T235959Z', ''), '') AS url FROM rules""")
 def google_links(d: Domain) -> DataFrame:

@@ -345,6 +345,24 @@ def test_addresses_are_encoded(spark):
 # streams
 
 
+def test_a_calendar_document_is_its_files_in_order(spark, tmp_path):
+    kinds = "event_id int, type string, title string, date string, time string, description string, author string, recurrence string, recurrence_end string"
+    rows = [(k, "t", f"T{k}; x", f"2026-03-0{k}", "20:00", "", "me", "daily" if k == 2 else "none", None) for k in range(1, 5)]
+    events = spark.createDataFrame(rows, kinds).withColumns({c: F.col(c).cast("date") for c in ("date", "recurrence_end")})
+
+    def document(name, *args):
+        calendar.write_document(calendar.vcalendar(*args), str(tmp_path / name))
+        return b"".join(p.read_bytes() for p in sorted((tmp_path / name).glob("part-*"))).decode()
+
+    week = document("week", events.repartition(3), "S", "2026-03-02", "2026-03-04")
+    lines = week.split("\r\n")
+    assert lines[:4] == ["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//Muster//Alliance Events//EN", "CALSCALE:GREGORIAN"] and lines[-2:] == ["END:VCALENDAR", ""]
+    assert [x for x in lines if x.startswith("UID:")] == [f"UID:{k}-2026-03-0{d}@muster.example" for d, k in ((2, 2), (3, 2), (3, 3), (4, 2), (4, 4))]
+    assert "RRULE" not in week and "SUMMARY:T3\\; x" in lines and "\n" not in week.replace("\r\n", "")
+    assert "RRULE:FREQ=DAILY" in document("one", events.where("event_id = 2"), "S")
+    assert document("none", events.where("false"), "S").split("\r\n")[-3:] == ["CALSCALE:GREGORIAN", "END:VCALENDAR", ""]
+
+
 def test_superseded_content_stays_a_duplicate(spark, tmp_path):
     write = lambda rows, name: spark.createDataFrame(rows, "k int, v string, ordinal bigint").coalesce(1).write.parquet(str(tmp_path / "in" / name))
     schema = spark.createDataFrame([], "k int, v string, ordinal bigint").schema
