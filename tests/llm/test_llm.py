@@ -540,7 +540,7 @@ def test_query_matches_its_sql(spark, sf_dir, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_keeps_columns_and_copes_with_odd_rows(spark, sf_dir, docs, odd, none, tmp_path):

@@ -18,13 +18,7 @@ from tokenizers import Tokenizer
 from muster.llm import chats, merkle, negatives
 from muster.llm.hf_tokens import read_tokenizer
 from muster.llm.places import placed
-from muster.llm.registry import ORACLES, QUERIES
-from tests.oracle import differences
-
-
-@pytest.mark.parametrize("name", ["op11_hard_negatives", "op12_merkle"])
-def test_query_matches_its_sql(spark, sf_dir, name):
-    assert not differences(spark, QUERIES[name], ORACLES[name], sf_dir)
+from muster.llm.registry import QUERIES
 
 
 # places
