@@ -9,6 +9,7 @@ from muster.functions import names
 from muster.operators import accuracy, capture
 from muster.plans.oracles import sql
 from muster.plans.registry import query
+from muster.sources import captures
 from muster.sources.domain import Domain
 
 
@@ -131,3 +132,19 @@ def audit_verdicts(d: Domain) -> DataFrame:
 def stats_matched(d: Domain) -> DataFrame:
     a = F.col("attack_pct").cast("double")
     return d.stats.select("player_id", F.col("recorded_date").cast("string").alias("recorded_date"), accuracy.stats_match(a, a + F.when(F.col("player_id") % 2 == 0, 0.05).otherwise(0.06)).alias("same"))
+
+
+@query("model_answers", """SELECT p_partkey, n, CASE WHEN n > 0 THEN p_name END AS name, CASE WHEN n > 0 AND p_partkey % 3 < 2 THEN p_size END AS score, CASE WHEN n > 0 AND p_partkey % 2 = 0 THEN 'R2' END AS rank
+  FROM (SELECT *, CASE WHEN p_partkey % 5 = 4 THEN 0 ELSE 1 END AS n FROM part)""")
+def model_answers(d: Domain) -> DataFrame:
+    """What a language model's answers list: an object, a bare array, an object within prose that has braces of its own, and
+    answers that are broken; scores as numbers, as texts and as neither; entries without a name."""
+    k = F.col("p_partkey")
+    score = F.when(k % 3 == 0, F.col("p_size").cast("string")).when(k % 3 == 1, F.concat(F.lit('"'), F.col("p_size").cast("string"), F.lit('"'))).otherwise(F.lit('"many"'))
+    rank = F.when(k % 2 == 0, F.lit('"R2"')).otherwise(F.lit("2"))
+    rows = F.concat(F.lit('[{"name": " '), F.col("p_name"), F.lit(' ", "score": '), score, F.lit(', "rank": '), rank, F.lit('}, {"name": " "}, 7]'))
+    whole = F.concat(F.lit('{"members": '), rows, F.lit("}"))
+    text = F.when(k % 5 == 0, whole).when(k % 5 == 1, rows).when(k % 5 == 4, F.concat(F.lit("{broken "), rows)).otherwise(F.concat(F.lit("As asked: "), whole, F.lit(" {that} is all")))
+    listed = d.raw("part").select("p_partkey", captures.answer_members(text).alias("m"))
+    first = F.get("m", F.lit(0))
+    return listed.select("p_partkey", F.size("m").alias("n"), first["name"].alias("name"), first["score"].alias("score"), first["rank"].alias("rank"))
