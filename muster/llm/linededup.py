@@ -1,4 +1,4 @@
-"""Line dedup: multi-line passages that repeat anywhere in the corpus are removed but for their first occurrence.
+"""Two plainer rules of line dedup, by pairs of lines and by disjoint chunks; the query and the pipeline use `linechunks`.
 
 A text is cut at line feeds. `dedup_passages` compares all pairs of neighbouring lines of which one has a word. A pair
 that stands earlier in the corpus, by key and place, goes, unless it overlaps the first one. Every repeated run of two
@@ -12,7 +12,7 @@ combined likewise; a hash whose bytes differ removes nothing. Only then document
 `dedup_lines` is the coarser rule over disjoint chunks: a rolling hash over the hashes of the last `WINDOW` lines ends a
 chunk after a line where it is 0 modulo `AVERAGE`. A chunk has at least MIN_LINES lines (but a text's last may be
 shorter) and at most MAX_LINES; chunks are compared by 128-bit digests, then by their bytes. It leaves the ends of
-passages, and most short ones, standing; no query uses it.
+passages, and most short ones, standing.
 
 A place is removed only from rows of its key whose text has the pair there; other texts of that key stay as they are.
 A null or empty text has one empty line or none and is left as it is. Equal rows (same key, same text) hold the same
@@ -27,11 +27,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.llm.bpe import batches
-from muster.llm.tables import keep, load
+from muster.llm.tables import keep
 
 WINDOW, AVERAGE, MIN_LINES, MAX_LINES = 2, 2, 2, 32
 _MASK = (1 << 64) - 1
@@ -218,8 +218,3 @@ def _shaped(docs: DataFrame, nos: DataFrame, cut: Callable, id_col: str, text_co
     out = joined.mapInArrow(cut, schema)
     named = {c: F.col(f"c{k}") for k, c in enumerate(others)} | {text_col: F.col("text")}
     return out.select(*(named[c].alias(c) for c in docs.columns if c in named), *added)
-
-
-def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_passages(load(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.length("text").cast("bigint").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

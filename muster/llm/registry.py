@@ -10,7 +10,7 @@ from muster.llm.bpe import op1_byte_bpe
 from muster.llm.chats import op13_chat_format
 from muster.llm.idcoder import op9_token_files
 from muster.llm.licenses import op2_license_scan
-from muster.llm.linededup import op10_line_dedup
+from muster.llm.linechunks import op10_line_dedup
 from muster.llm.merkle import op12_merkle, oracle as merkle_sql
 from muster.llm.neardup import op4_near_dedup
 from muster.llm.negatives import op11_hard_negatives, oracle as negatives_sql
