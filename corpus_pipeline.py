@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm.hf_tokens import read_tokenizer
-from muster.llm.linededup import dedup_passages
+from muster.llm.linechunks import dedup_chunks
 from muster.llm.neardup import near_duplicates
 from muster.llm.packing import pack
 from muster.llm.quality import judge
@@ -36,7 +36,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages of lines go; so does a document that consisted of them alone, a copy of others."""
-    cut = dedup_passages(docs).where((F.col("removed_chunks") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    cut = dedup_chunks(docs).where((F.col("removed_chunks") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
