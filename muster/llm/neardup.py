@@ -19,7 +19,8 @@ A signature discards a pair whose share of equal values lies six and a half stan
 which for a linked pair has a chance of less than one in 10**10.
 
 Shingles are compared by 64-bit hashes. Sets are made again from the texts for classes that have a family,
-rather than moved for all documents. Repeated rows are equal sets; rows that share a key count as one document;
+rather than moved for all documents. Repeated rows are equal sets; rows that share a key count as one document,
+linked by any of its texts (its rows with words have one component);
 null keys and empty sets keep to themselves (a null key has a null component and a null `kept`). An empty table
 gives no rows; extra columns, whatever their names, are left out.
 """
@@ -66,15 +67,19 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return h
 
 
+def fingerprint(s: np.ndarray) -> tuple[int, int, int]:
+    """Two sums over a set and its size, which tell sets apart whatever the order of their hashes."""
+    return int(np.add.reduce(mix(s)).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(1)), initial=0).astype(np.uint64).view(np.int64)), len(s)
+
+
 def _signatures(k: int, rows: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in batches(parts):
             n, f1, f2, bands, short = [], [], [], [], []
             for s in shingle_sets(texts, k):
                 sig = signature(s)
-                n.append(len(s))
-                f1.append(int(np.add.reduce(mix(s)).view(np.int64)))
-                f2.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(1)), initial=0).astype(np.uint64).view(np.int64)))
+                for column, value in zip((f1, f2, n), fingerprint(s), strict=True):
+                    column.append(value)
                 bands.append(band_keys(sig, rows).view(np.int64) if len(s) else np.zeros(0, np.int64))
                 short.append((mix(sig) & np.uint64(255)).astype(np.uint8).tobytes())
             flat, ends = np.concatenate(bands), np.cumsum([0] + [len(b) for b in bands])
@@ -87,9 +92,11 @@ def _signatures(k: int, rows: int):
 
 def _sets(k: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in batches(parts):
-            data = [s.tobytes() for s in shingle_sets(texts, k)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["rep", "set"])
+        for _, texts in batches(parts):
+            sets = list(shingle_sets(texts, k))
+            marks = [fingerprint(s) for s in sets]
+            columns = [pa.array([m[c] for m in marks], pa.int64()) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in sets], pa.binary())], names=["f1", "f2", "n", "set"])
 
     return run
 
@@ -122,14 +129,15 @@ def _least(percent: int) -> float:
 
 
 class _Sets:
-    """Sets and signatures of some classes, and their labels: classes of one label are joined already."""
+    """Sets and signatures of some classes, and their labels: classes of one label are joined already, as those of one
+    key are from the start."""
 
-    def __init__(self, table: pa.Table, percent: int, label: np.ndarray | None = None):
+    def __init__(self, table: pa.Table, percent: int, label: np.ndarray):
         self.percent, self.least = percent, _least(percent)
         self.sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
         self.sizes = np.array([len(s) for s in self.sets])
         self.short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(len(self.sets), -1)
-        self.label = np.arange(len(self.sets)) if label is None else label
+        self.label = label
 
     def join(self, x: int, other: np.ndarray) -> Iterator[int]:
         """Those of `other` that are linked with `x` and were not joined with it, each once its label is x's."""
@@ -158,7 +166,7 @@ def _join_blocks(percent: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(parts, ("family", "own")):
             reps = table.column("rep").to_numpy()
-            held = _Sets(table, percent)
+            held = _Sets(table, percent, np.unique(reps, return_inverse=True)[1].ravel().copy())
             rest = np.arange(len(reps))
             for x in rest.tolist():
                 for _ in held.join(x, rest[x + 1 :]):
@@ -222,13 +230,13 @@ def _roots(members: DataFrame, percent: int, block: int) -> DataFrame:
     n_of = members.groupBy("family").agg(F.count("*").alias("rows")).where(F.col("rows") > block)
     large = _small(keep(n_of))
     inner = keep(_blocks(members, large, block).mapInArrow(_join_blocks(percent), JOINED))
-    roots = inner.select("rep", "root")
+    roots = inner.select("rep", "root").distinct()  # a key with several texts has several sets
     again = inner.where("rep = root").join(large.select("family"), "family").select("family", "rep", "short", "set")
     n_roots = keep(again.groupBy("family").agg(F.count("*").alias("rows")).where("rows > 1"))
     if not n_roots.limit(1).count():
         return roots
     again = again.join(_small(n_roots).select("family"), "family")
-    outer = keep(_blocks(again, _small(n_roots), block).mapInArrow(_join_blocks(percent), JOINED).select("family", F.col("rep").alias("root"), F.col("root").alias("outer")))
+    outer = keep(_blocks(again, _small(n_roots), block).mapInArrow(_join_blocks(percent), JOINED).select("family", F.col("rep").alias("root"), F.col("root").alias("outer")).distinct())
     roots = keep(roots.join(outer.select("root", "outer"), "root", "left").select("rep", F.coalesce("outer", "root").alias("root")))
     links = _block_links(members, roots, outer, percent, block)
     if links is None:
@@ -264,6 +272,20 @@ def _block_links(members: DataFrame, roots: DataFrame, outer: DataFrame, percent
     return keep(dealt.mapInArrow(_join_pairs(percent), "a bigint, b bigint"))
 
 
+def _joined_by_keys(useful: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """`found` (rep, root), with the classes of every key that has several texts joined as well."""
+    same = ["f1", "f2", "n"]
+    bounds = [f(c).alias(f"{c}_{side}") for c in same for side, f in (("low", F.min), ("high", F.max))]
+    several = useful.groupBy("doc").agg(*bounds).where(" or ".join(f"{c}_low <> {c}_high" for c in same)).select("doc")
+    own = keep(useful.select("doc", *same).join(several, "doc").distinct())
+    if not own.limit(1).count():
+        return found
+    own = own.join(classes.select("rep", *same), same)
+    links = own.join(own.groupBy("doc").agg(F.min("rep").alias("root")), "doc").select("rep", "root").where("rep <> root")
+    joined = components(found.unionByName(links), "rep", "root")
+    return joined.select(F.col("node").alias("rep"), F.col("component").alias("root")).where("rep <> root")
+
+
 def near_duplicates(docs: DataFrame, percent: int, k: int = 5, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: its key, n_shingles, component_id (smallest key reachable over links), kept."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
@@ -280,13 +302,13 @@ def near_duplicates(docs: DataFrame, percent: int, k: int = 5, block: int = 256,
     stars = near.select(first.alias("a"), F.explode(F.transform("leaders", lambda x: F.when(x == first, F.col("rep")).otherwise(x))).alias("b"))
     family = keep(components(stars.distinct()).select(F.col("node").alias("rep"), F.col("component").alias("family")))
 
-    members = family.join(classes.groupBy("rep").agg(F.min("short").alias("short")), "rep")
-    sets = texts.join(family.select(F.col("rep").alias("doc")), "doc", "left_semi").mapInArrow(_sets(k), "rep bigint, set binary")
-    members = keep(members.join(sets.groupBy("rep").agg(F.min("set").alias("set")), "rep"))
-    found = _roots(members, percent, block).where("rep <> root")
+    same = ["f1", "f2", "n"]
+    members = family.join(classes.select("rep", "short", *same), "rep")
+    sets = texts.join(family.select(F.col("rep").alias("doc")), "doc", "left_semi").mapInArrow(_sets(k), "f1 bigint, f2 bigint, n bigint, set binary")
+    members = keep(members.join(sets.groupBy(*same).agg(F.min("set").alias("set")), same).select("family", "rep", "short", "set"))
+    found = _joined_by_keys(useful, classes, _roots(members, percent, block).where("rep <> root"))
 
     labelled = classes.join(found, "rep", "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("component"))
-    # a key with several texts joins their classes
     # rows that are in no class are dealt by their keys and, by a size that no class has, match none
     is_useful = F.expr("n > 0 and doc is not null")
     out = signed.select("doc", F.col("n").alias("own_n"), F.when(is_useful, F.col("f1")).otherwise(F.xxhash64("doc", F.col("f2"))).alias("f1"), "f2", F.when(is_useful, F.col("n")).otherwise(F.lit(-1).cast("bigint")).alias("n"))
