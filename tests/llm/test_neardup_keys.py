@@ -44,7 +44,7 @@ def test_random_repeated_keys_equal_brute_force(spark, block):
 
 
 def test_sketches_of_changed_texts_are_found(spark):
-    """Recall at the threshold: pairs whose similarity lies just above it, all of which must be linked."""
+    """Recall: pairs with a similarity of 0.89 to 0.92, all of which must be linked."""
     draw = random.Random(12)
     rows, linked = [], set()
     for k in range(0, 1200, 2):
