@@ -26,6 +26,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that both sides are dealt out for: tables that grow with the input look small by the size of
+    their compressed files, and whole ones, sent round, pass through the driver."""
+    return df.hint("merge")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from muster.functions.names import proximity, similarity
+from muster.operators.duplicates import resolve, within_one
 from muster.operators.similarity import compared, similar
 
 
@@ -43,3 +44,29 @@ def test_rows_compared_follow_near_pairs(spark):
     df = spark.createDataFrame(names, "g string, key string").withColumn("id", F.col("key"))
     assert compared(df, None, ["g"], 0.8).count() < 400
     assert compared(df, None, ["g"], 0.6).count() < 20_000
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbourhoods_are_never_sent_round(spark):
+    """Neighbourhoods of a small file are many times its size, which the estimate of a plan doesn't know."""
+    draw = random.Random(5)
+    make = lambda n: [(draw.choice([0, 1]), k, "".join(draw.choices("abc", k=draw.randint(0, 5)))) for k in range(n)]
+    left, right = make(60), make(80)
+    a, b = (spark.createDataFrame(rows, "g int, id int, key string") for rows in (left, right))
+    out = within_one(a, b, ["g"])
+    assert "Broadcast" not in plan_of(out)
+    near = lambda x, y: x == y or any(x[:i] + x[i + 1 :] in (y, y[:j] + y[j + 1 :]) or y[:j] + y[j + 1 :] == x for i in range(len(x) + 1) for j in range(len(y) + 1) if i == j or len(x) != len(y))
+    want = sorted((g, i, j, x, y) for g, i, x in left for h, j, y in right if g == h and abs(len(x) - len(y)) <= 1 and near(x, y))
+    assert sorted((r.g, r.l_id, r.r_id, r.l_key, r.r_key) for r in out.collect()) == want
+
+
+def test_rosters_are_never_sent_round(spark):
+    names = spark.createDataFrame([(1, "Anna"), (1, "Annax"), (1, "Otto"), (1, "Zoe")], "alliance_id bigint, raw_name string")
+    roster = spark.createDataFrame([(1, 1, "Anna"), (1, 2, "Ottos"), (1, 3, "Otta")], "alliance_id bigint, player_id bigint, player_name string")
+    aliases = spark.createDataFrame([], "alliance_id bigint, raw_name string, player_id bigint")
+    out = resolve(names, roster, aliases)
+    assert "Broadcast" not in plan_of(out)
+    assert sorted((r.raw_name, r.resolution, r.player_id) for r in out.collect()) == [("Anna", "exact", 1), ("Annax", "fuzzy", 1), ("Otto", "ambiguous", None), ("Zoe", "new", None)]
