@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from muster.functions.times import paris_week_start
 from muster.operators.duplicates import nearest_in_roster, roster_collisions
+from muster.operators.kept import kept, unsent
 from muster.operators.resolution import Resolved, resolve_in_order
 from muster.operators.upsert import best_by, first_wins, highest_confidence, latest_wins, membership_sync, reversal_audit
 from muster.sources.domain import needs_review
@@ -130,7 +131,7 @@ def _joined(memberships: DataFrame, rows: DataFrame) -> DataFrame:
 def _held_ids(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
     """`rows` with the row_id that their key has in the table, or a hash of the key."""
     held = table.select(*key, F.col("row_id").alias("__row"))
-    return rows.join(held, key, "left").withColumn("row_id", F.coalesce("__row", F.xxhash64(*key))).drop("__row")
+    return rows.join(unsent(held), key, "left").withColumn("row_id", F.coalesce("__row", F.xxhash64(*key))).drop("__row")
 
 
 def _messages(captures: DataFrame) -> list[Column]:
@@ -200,13 +201,14 @@ def upsert_batch(state: dict[str, DataFrame], decided: DataFrame, kinds: tuple[s
     of these and updated_at, which is `now`; messages come from the captures' message_id.
     Without `warn` no warnings are worked out.
     """
-    members = {k: unique_members(decided, k) for k in kinds}
+    decided = kept(decided)
+    members = {k: kept(unique_members(decided, k)) for k in kinds}
     seen = None
     for k, m in members.items():
         part = m.select("alliance_id", F.col("name").alias("raw_name"), "capture", F.lit(k != "player_stats").alias("creates"))
         seen = part if seen is None else seen.unionByName(part)
     found = resolve_in_order(seen, state["roster"], state["aliases"], SHORTEST_KEY)
-    rows = {k: m.join(found.rows.withColumnRenamed("raw_name", "name"), ["alliance_id", "name", "capture"]) for k, m in members.items()}
+    rows = {k: m.join(unsent(found.rows.withColumnRenamed("raw_name", "name")), ["alliance_id", "name", "capture"]) for k, m in members.items()}
     new_aliases = found.aliases.select("alliance_id", "raw_name", "player_id", F.lit(AUTO).alias("created_by"), F.col("capture").alias("ordinal"))
     out, side = dict(state), {}
     out["aliases"] = first_wins(state["aliases"], new_aliases, ["alliance_id", "raw_name"])

@@ -70,3 +70,17 @@ def test_rosters_are_never_sent_round(spark):
     out = resolve(names, roster, aliases)
     assert "Broadcast" not in plan_of(out)
     assert sorted((r.raw_name, r.resolution, r.player_id) for r in out.collect()) == [("Anna", "exact", 1), ("Annax", "fuzzy", 1), ("Otto", "ambiguous", None), ("Zoe", "new", None)]
+
+
+def test_names_that_only_known_players_are_near_take_no_rounds(spark, monkeypatch):
+    """Variants of known players are near one another too, but none of them makes a player that another could be."""
+    from muster.operators import resolution
+
+    rounds, settled = [], resolution._settled
+    monkeypatch.setattr(resolution, "_settled", lambda v: rounds.append(1) or settled(v))
+    roster = spark.createDataFrame([(1, k, f"player{k}") for k in range(11, 17)], "alliance_id bigint, player_id bigint, player_name string")
+    seen = spark.createDataFrame([(1, f"player{k}x", k, True) for k in range(11, 17)], "alliance_id bigint, raw_name string, capture bigint, creates boolean")
+    aliases = spark.createDataFrame([], "alliance_id bigint, raw_name string, player_id bigint")
+    out = resolution.resolve_in_order(seen, roster, aliases, 5)
+    assert sorted((r.raw_name, r.resolution, r.player_id) for r in out.rows.collect()) == [(f"player{k}x", "fuzzy", k) for k in range(11, 17)]
+    assert not rounds and out.created.isEmpty()
