@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions.names import proximity, similarity
-from muster.operators.kept import kept
+from muster.operators.kept import kept, unsent
 
 
 def deletions(key: Column) -> Column:
@@ -104,9 +104,9 @@ def compared(left: DataFrame, right: DataFrame | None, on: list[str], least: flo
         layouts = rows.select("length", "skip").distinct().withColumn("layout", F.filter(of, lambda p: p["shorter"] < p["longer"]) if shorter else of)
         return rows.join(kept(layouts), ["length", "skip"]).select(*on, F.col("id").alias(name), "key", F.explode("layout").alias("p")).select(*on, name, part)
 
-    one = parts(left, _segments(least), "l_id").join(parts(left if right is None else right, _stretches(least), "r_id"), [*on, "__part"])
+    one = parts(left, _segments(least), "l_id").join(unsent(parts(left if right is None else right, _stretches(least), "r_id")), [*on, "__part"])
     if right is not None:
-        one = one.unionByName(parts(left, _stretches(least), "l_id", True).join(parts(right, _segments(least), "r_id", True), [*on, "__part"]))
+        one = one.unionByName(parts(left, _stretches(least), "l_id", True).join(unsent(parts(right, _segments(least), "r_id", True)), [*on, "__part"]))
     return one.where("l_id <> r_id").select(*on, "l_id", "r_id")
 
 
@@ -119,9 +119,9 @@ def similar(left: DataFrame, right: DataFrame, on: list[str], least: float = 0.6
     a, b = (df.select(*on, "key").where("key is not null").distinct() for df in (left, right))
     # a distance taken out of an array is worked out once a pair: what is asked of it later isn't asked of the expression
     distance = F.explode(F.array(F.levenshtein("l_key", "r_key"))).alias("distance")
-    exact = a.join(b, [*on, "key"]).select(*on, F.col("key").alias("l_key"), F.col("key").alias("r_key"), F.lit(0).alias("distance"))
+    exact = a.join(unsent(b), [*on, "key"]).select(*on, F.col("key").alias("l_key"), F.col("key").alias("r_key"), F.lit(0).alias("distance"))
     near = lambda df, name: df.where(F.length("key") <= 5).select(*on, F.col("key").alias(name), F.explode(deletions(F.col("key"))).alias("near"))
-    short = near(a, "l_key").join(near(b, "r_key"), [*on, "near"]).where((F.least(F.length("l_key"), F.length("r_key")) < 5) & (F.col("l_key") != F.col("r_key"))).select(*on, "l_key", "r_key", distance)
+    short = near(a, "l_key").join(unsent(near(b, "r_key")), [*on, "near"]).where((F.least(F.length("l_key"), F.length("r_key")) < 5) & (F.col("l_key") != F.col("r_key"))).select(*on, "l_key", "r_key", distance)
     edits = _edits(F.greatest(F.length("l_key"), F.length("r_key")), least)
     ids = lambda df: df.select(*on, F.col("key").alias("id"), "key")
     long_ = compared(ids(a), ids(b), on, least).withColumnsRenamed({"l_id": "l_key", "r_id": "r_key"}).select(*on, "l_key", "r_key", distance).where(F.col("distance") <= edits)

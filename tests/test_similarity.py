@@ -84,3 +84,16 @@ def test_names_that_only_known_players_are_near_take_no_rounds(spark, monkeypatc
     out = resolution.resolve_in_order(seen, roster, aliases, 5)
     assert sorted((r.raw_name, r.resolution, r.player_id) for r in out.rows.collect()) == [(f"player{k}x", "fuzzy", k) for k in range(11, 17)]
     assert not rounds and out.created.isEmpty()
+
+
+def test_nearest_players_are_found_among_few(spark, monkeypatch):
+    """Names one edit from a player are settled by the pairs of the closest names alone."""
+    from muster.operators import duplicates
+
+    asked, whole = [], duplicates.resembling
+    monkeypatch.setattr(duplicates, "resembling", lambda n, r, least=0.6: asked.append(least) or whole(n, r, least))
+    roster = spark.createDataFrame([(1, k, f"Customer#{k:09d}") for k in range(300)], "alliance_id bigint, player_id bigint, player_name string")
+    names = roster.where("player_id % 4 = 0").selectExpr("alliance_id", "replace(player_name, '#0', '#Z') as raw_name")
+    got = duplicates.nearest_in_roster(names, roster).collect()
+    assert sorted((r.raw_name, r.player_id) for r in got) == [(f"Customer#Z{k:08d}", k) for k in range(0, 300, 4)]
+    assert asked == [0.9]
