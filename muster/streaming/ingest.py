@@ -69,9 +69,12 @@ def merge_batch(batch: DataFrame, batch_id: int, state_dir: str, keys: list[str]
 
     The ledger below `state_dir` has a part for each batch with the hashes of what it took in, dealt by buckets of the hash;
     parts are only added, so content that a later row superseded still counts as taken in, and a batch reads the buckets
-    of its own hashes. The buckets of the last two states are held, which is what readers and a batch that is run again need.
+    of its own hashes. Where batches have no part in the order (`by_batch` False) and all of the order is content, content that
+    comes again never wins, so there is no ledger. The buckets of the last two states are held, which is what readers and a batch that is run again need.
     """
     spark = batch.sparkSession
+    # the same content has the same place in the order, so that it never wins by coming again
+    with_ledger = by_batch or not set(order) <= set(content)
     before = [v for v in _committed(spark, state_dir) if v < batch_id]
     held = _manifest(spark, state_dir, before[-1]) if before else {}
     hashed = F.sha2(F.to_json(F.struct(*content)), 256)
@@ -80,16 +83,17 @@ def merge_batch(batch: DataFrame, batch_id: int, state_dir: str, keys: list[str]
         # a part of the ledger counts from the manifest of its batch on
         taken = [f"{state_dir}/ledger/v={v}" for v in _listed(spark, f"{state_dir}/ledger") if before and v <= before[-1]]
         new = rows
-        if taken:
+        if taken and with_ledger:
             schema = "content_hash string, hash_bucket int"
             seen = spark.read.schema(schema).option("basePath", f"{state_dir}/ledger").parquet(*taken).where(F.col("hash_bucket").isin(_numbers(rows, "hash_bucket")))
             new = rows.join(seen.select("content_hash"), "content_hash", "left_anti")
-        new.select("content_hash", "hash_bucket").distinct().write.mode("overwrite").partitionBy("hash_bucket").parquet(f"{state_dir}/ledger/v={batch_id}")
+        if with_ledger:
+            new.select("content_hash", "hash_bucket").distinct().write.mode("overwrite").partitionBy("hash_bucket").parquet(f"{state_dir}/ledger/v={batch_id}")
         new = new.drop("hash_bucket")
         touched = _numbers(new.withColumn("bucket", _bucket(*keys)), "bucket")
         old = [f"{state_dir}/data/v={held[b]}/bucket={b}" for b in touched if b in held]
         both = spark.read.schema(new.schema).parquet(*old).unionByName(new) if old else new
-        latest = best_by(both, keys, F.struct(*(["batch_id"] if by_batch else []), *order))
+        latest = best_by(both, keys, F.struct("batch_id", *order) if by_batch else F.struct(*order, -F.col("batch_id")))
         latest.withColumn("bucket", _bucket(*keys)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state_dir}/data/v={batch_id}")
     finally:
         rows.unpersist()

@@ -417,3 +417,15 @@ def test_notices_make_readers_read_again(spark, tmp_path):
         notices.coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
         ingest.follow(spark, f"{tmp_path}/in/*", notices.schema, f"{tmp_path}/log", lambda n=n: spark.range(n), lambda df: seen.append(df.count()))
     assert seen == [1, 2]
+
+
+def test_order_by_content_needs_no_ledger(spark, tmp_path):
+    """Content that comes again never wins where its order is content too; the row kept is that of its first batch."""
+    schema = "k int, v bigint, ordinal bigint"
+    merge = lambda rows, n, content: ingest.merge_batch(spark.createDataFrame(rows, schema), n, f"{tmp_path}/{len(content)}", ["k"], content, ["ordinal"], by_batch=False)
+    for content in (["k", "v", "ordinal"], ["k", "v"]):
+        for n, rows in enumerate(([(1, 5, 1), (2, 5, 9)], [(1, 6, 2)], [(1, 5, 1 if len(content) == 3 else 3), (2, 5, 9)])):
+            merge(rows, n, content)
+        out = ingest.snapshot(spark, f"{tmp_path}/{len(content)}", "k int, v bigint, ordinal bigint, batch_id bigint, content_hash string")
+        assert sorted((r.k, r.v, r.batch_id) for r in out.collect()) == [(1, 6, 1), (2, 5, 0)]
+        assert (tmp_path / str(len(content)) / "ledger").exists() == (len(content) == 2)
