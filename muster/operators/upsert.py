@@ -94,17 +94,19 @@ def apply_corrections(tables: dict[str, DataFrame], corrections: DataFrame) -> t
     of a missing row is an error row with code P0002, of a column that may not be corrected one with 22023; neither
     changes anything or counts as a value before.
     """
-    held = None
-    for name, df in tables.items():
-        fields = [f for f in CORRECTABLE.get(name, ()) if f in df.columns]
-        part = df.select(F.lit(name).alias("target_table"), F.col("row_id").alias("target_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("bigint").alias("stored")) for f in fields))).alias("c"))
-        part = part.select("target_table", "target_id", "c.*")
+    # a narrow row of numbers a row of the tables: rows of long names that repeat look small where they are dealt, and aren't
+    own = {name: [f for f in CORRECTABLE.get(name, ()) if f in df.columns] for name, df in tables.items()}
+    every = sorted({f for fields in own.values() for f in fields})
+    held, number, legal = None, F.lit(None).cast("int"), F.lit(False)
+    for k, (name, df) in enumerate(tables.items()):
+        stored = (F.col(f).cast("bigint") if f in own[name] else F.lit(None).cast("bigint") for f in every)
+        part = df.select(F.lit(k).alias("__table"), F.col("row_id").alias("target_id"), *(c.alias(f"__{f}") for c, f in zip(stored, every)))
         held = part if held is None else held.unionByName(part)
+        number = F.when(F.col("target_table") == name, k).otherwise(number)
+        legal = legal | ((F.col("target_table") == name) & F.col("field").isin(*own[name]))
     place = ["target_table", "target_id", "field"]
-    legal = F.lit(False)
-    for name, df in tables.items():
-        legal = legal | ((F.col("target_table") == name) & F.col("field").isin(*[f for f in CORRECTABLE.get(name, ()) if f in df.columns]))
-    known = corrections.join(held.withColumn("__there", F.lit(True)), place, "left")
+    known = corrections.withColumn("__table", number).join(held.withColumn("__there", F.lit(True)), ["__table", "target_id"], "left")
+    known = known.withColumn("stored", F.coalesce(*(F.when(F.col("field") == f, F.col(f"__{f}")) for f in every), F.lit(None).cast("bigint"))).drop(*(f"__{f}" for f in every))
     known = known.withColumn("error", F.when(~F.coalesce(legal, F.lit(False)), "22023").when(F.col("__there").isNull(), "P0002"))
     before = F.lag(F.struct("new_value")).over(Window.partitionBy(*place).orderBy("ordinal"))
     good = known.where("error is null").withColumn("__before", before)
@@ -114,11 +116,11 @@ def apply_corrections(tables: dict[str, DataFrame], corrections: DataFrame) -> t
     last = known.where("error is null").groupBy(*place).agg(F.max_by(F.struct("new_value"), "ordinal").alias("fixed"))
     out = {}
     for name, df in tables.items():
-        fields = [f for f in CORRECTABLE.get(name, ()) if f in df.columns]
-        own = last.where(F.col("target_table") == name).groupBy(F.col("target_id").alias("row_id"))
-        own = own.agg(*(F.max(F.when(F.col("field") == f, F.col("fixed"))).alias(f"__{f}") for f in fields))
+        fields = own[name]
+        fixed = last.where(F.col("target_table") == name).groupBy(F.col("target_id").alias("row_id"))
+        fixed = fixed.agg(*(F.max(F.when(F.col("field") == f, F.col("fixed"))).alias(f"__{f}") for f in fields))
         value = lambda f: F.when(F.col(f"__{f}").isNull(), F.col(f)).otherwise(F.col(f"__{f}.new_value").cast(df.schema[f].dataType))  # noqa: B023, E731
-        out[name] = df.join(own, "row_id", "left").withColumns({f: value(f) for f in fields}).select(*df.columns)
+        out[name] = df.join(fixed, "row_id", "left").withColumns({f: value(f) for f in fields}).select(*df.columns)
     return out, audit
 
 
