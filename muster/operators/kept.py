@@ -32,6 +32,13 @@ def unsent(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def dealt(rows: DataFrame, keys: list[str], a_task: int = 250_000) -> DataFrame:
+    """`rows` dealt by `keys` to as many tasks as hold about `a_task` rows each, so that what a task sorts doesn't grow with
+    the input; few rows stay as they are."""
+    n = -(-rows.count() // a_task)
+    return rows.repartition(max(n, rows.sparkSession.sparkContext.defaultParallelism), *keys) if n > 1 else rows
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from muster.operators import upsert
+from pyspark.sql import functions as F
+
+from muster.operators import stats_chat, upsert
+from muster.operators.kept import dealt
 
 
 def test_tables_are_not_spread_into_fields_for_corrections(spark):
@@ -17,3 +20,13 @@ def test_tables_are_not_spread_into_fields_for_corrections(spark):
     assert got == [(1, None, 3, None), (2, 3, None, None), (3, None, 4, "22023"), (4, 9, 8, None), (5, None, 8, "P0002"), (6, None, 8, "22023"), (7, None, 8, "22023"), (8, None, 8, "22023")]
     assert sorted(map(tuple, out["at_participations"].collect())) == [(1, 5, None), (2, 6, 7)]
     assert "Generate" not in audit._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_chats_are_dealt_by_their_number(spark, monkeypatch):
+    lines = spark.range(4000).select((F.col("id") % 500).alias("capture_id"), F.col("id").alias("line_no"), F.concat(F.lit("Player"), F.col("id").cast("string")).alias("line"))
+    parts = dealt(lines, ["capture_id"], 100)
+    assert parts.rdd.getNumPartitions() == 40 and parts.select("capture_id", F.spark_partition_id()).distinct().count() == 500
+    asked = []
+    monkeypatch.setattr(stats_chat, "dealt", lambda rows, keys: asked.append(keys) or dealt(rows, keys, 100))
+    plan = stats_chat.parse(lines)._jdf.queryExecution().executedPlan().toString()
+    assert asked == [["capture_id"]] and "REPARTITION_BY_NUM" in plan
