@@ -54,6 +54,7 @@ class Model:
         if self.bits + _EVENT_BITS > 32:
             raise ValueError("the vocabulary is too large for this coder")
         self.seen = np.zeros(vocabulary, np.int64)
+        self.fresh: list[np.ndarray] = []  # ids of the steps since the last refresh, which alone asks how often each was seen
         self.mask2 = (1 << 18) - 1
         self.order2 = np.zeros(self.mask2 + 1, np.int32)  # id << 3 | confidence
         self.order1 = np.zeros(vocabulary + 1, np.int32)
@@ -68,6 +69,9 @@ class Model:
         if self.step < self.due:
             return
         self.due = max(1, min(2 * self.step, self.step + 32))
+        if self.fresh:
+            self.seen += np.bincount(np.concatenate(self.fresh), minlength=self.vocabulary)
+            self.fresh = []
         room = (1 << self.bits) - self.vocabulary
         total = int(self.seen.sum())
         freq = (self.seen * room // total if total else np.full(self.vocabulary, room // self.vocabulary, np.int64)) + 1
@@ -98,7 +102,7 @@ class Model:
         for table, at, e, p in ((self.order2, self.at2, self.e2, self.p2), (self.order1, self.at1, self.e1, self.p1)):
             c = e & 7
             table[at] = np.where(p == ids, e + (c < 7), np.where(c > 0, e - c + (c >> 1), ids << 3))
-        self.seen += np.bincount(ids, minlength=self.vocabulary)
+        self.fresh.append(ids)
         n = len(ids)
         self.before2[:n] = self.before1[:n]
         self.before1[:n] = ids

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from muster.operators import stats_chat, upsert
@@ -30,3 +31,15 @@ def test_lines_of_chats_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(stats_chat, "dealt", lambda rows, keys: asked.append(keys) or dealt(rows, keys, 100))
     plan = stats_chat.parse(lines)._jdf.queryExecution().executedPlan().toString()
     assert asked == [["capture_id"]] and "REPARTITION_BY_NUM" in plan
+
+
+def test_ids_are_counted_when_the_table_is_made_anew(monkeypatch):
+    """Counting over the whole vocabulary costs more than a step does: once a refresh, not once a step."""
+    from muster.llm import idcoder
+
+    counted, whole = [], np.bincount
+    monkeypatch.setattr(idcoder.np, "bincount", lambda x, minlength=0: counted.append(minlength) or whole(x, minlength=minlength))
+    ids = np.random.default_rng(1).integers(0, 900, 64 * 300)
+    words, used = idcoder.encode_ids(ids, 1000)
+    assert 0 < counted.count(1000) <= 9
+    assert (idcoder.decode_ids(words, used, len(ids), 1000) == ids).all()
